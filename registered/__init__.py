@@ -6,7 +6,7 @@ from importlib import import_module
 
 from registered.base import QUERIES, SQL
 
-for _part in ("files",):
+for _part in ("files", "projects"):
     import_module(f"registered.{_part}")
 
 __all__ = ["QUERIES", "SQL"]

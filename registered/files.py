@@ -217,7 +217,7 @@ from {events}"""
 @query("listing_to_inventory", f"""
 select event_id, path, regexp_extract(path, '[^/]*$') as name, size, mtime_ms as mtime,
   case when path like '%.Dat' then 'dat' else '' end as ext
-from ({_LISTING_SQL.format(ms="cast(epoch_ms(ts) as bigint)", events="events")})
+from ({_LISTING_SQL.format(ms="cast(epoch_us(ts) // 1000 as bigint)", events="events")})
 where kind = 'file' and path not like '%/.Spotlight%' and path not like '%/.Trashes'
   and path not like '%/Time Machine Backups/%'""")
 def _(spark, sf_dir):

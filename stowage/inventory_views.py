@@ -75,10 +75,16 @@ def spark_text(name: str) -> str:
 
 
 def duckdb_text(name: str) -> str:
-    return _expand(name, "cast(epoch_ms({c}) as bigint)", ", unnest([0, 1, 2]) as c(c)")
+    if name == "files_all":
+        return f"select * from ({duckdb_text('files_proj')}) union all by name " \
+               f"select * replace (cast(scan_order + 3 as int) as scan_order) from ({duckdb_text('files_li')})"
+    return _expand(name, "cast(epoch_us({c}) // 1000 as bigint)", ", unnest([0, 1, 2]) as c(c)")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "files_all":
+        loose = view(spark, sf_dir, "files_li")
+        return view(spark, sf_dir, "files_proj").unionByName(loose.withColumn("scan_order", loose.scan_order + 3))
     table = VIEWS[name][0]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(spark_text(name).replace(f"from {table}", "from {source}"), source=source)
