@@ -27,13 +27,18 @@ def _tree(source: str) -> str:
     return ABOVE.format(source=source)
 
 
+def _detect(files, settings):
+    own = materialize(projects.own_folders(files, settings.rules, "path"))
+    return own, projects.detect_projects(own, settings)
+
+
 @query("folder_rollup", using("files_li", """
 select scan_order, folder, count(*) as file_count, cast(sum(size) as bigint) as total_bytes,
   count(*) filter (len(segs) = level + 1) as own_files,
   cast(len(list_filter(string_split(folder, '/'), lambda x: x <> '')) as int) as depth
 from tree group by scan_order, folder""", tree=_tree("files_li")))
 def _(spark, sf_dir):
-    rolled = projects.folder_rollup(view(spark, sf_dir, "files_li"), order="path")
+    rolled = projects.folder_rollup(projects.own_folders(view(spark, sf_dir, "files_li"), (), "path"))
     return rolled.select("scan_order", "folder", "file_count", "total_bytes", "own_files", "depth")
 
 
@@ -57,7 +62,7 @@ where rule_id is not null and not regexp_matches(folder || '/', '/node_modules/'
 @query("match_folders_nested", using("files_proj", _MIXED_SQL, tree=_tree("files_proj")))
 def _(spark, sf_dir):
     settings = ProjectSettings(rules=_MIXED, detect_nested=True)
-    found = projects.detect_projects(view(spark, sf_dir, "files_proj"), settings, "path")
+    found = _detect(view(spark, sf_dir, "files_proj"), settings)[1]
     return found.select("scan_order", "folder", "rule_id", "file_count", "total_bytes")
 
 
@@ -66,7 +71,7 @@ select m.* from matches m where not exists (
   select 1 from matches o where o.scan_order = m.scan_order and starts_with(m.folder, o.folder || '/'))""",
     tree=_tree("files_proj"), matches=_MIXED_SQL))
 def _(spark, sf_dir):
-    found = projects.detect_projects(view(spark, sf_dir, "files_proj"), ProjectSettings(rules=_MIXED), "path")
+    found = _detect(view(spark, sf_dir, "files_proj"), ProjectSettings(rules=_MIXED))[1]
     return found.select("scan_order", "folder", "rule_id", "file_count", "total_bytes")
 
 
@@ -76,14 +81,15 @@ select scan_order, folder, 'Photo shoot' as rule_name, count(*) as file_count,
 from tree where level = 1 and folder like '%/work' group by scan_order, folder
 having count(*) filter (ext = 'jpg') >= 30""", tree=_tree("files_proj")))
 def _(spark, sf_dir):
-    found = projects.detect_projects(view(spark, sf_dir, "files_proj"), ProjectSettings(), "path")
+    found = _detect(view(spark, sf_dir, "files_proj"), ProjectSettings())[1]
     return found.select("scan_order", "folder", "rule_name", "file_count", "total_bytes")
 
 
 def _parts(spark, sf_dir, source="files_proj"):
     files = view(spark, sf_dir, source)
-    found = materialize(projects.detect_projects(files, SETTINGS, "path"))
-    holders = materialize(projects.folder_projects(files, found))
+    own, found = _detect(files, SETTINGS)
+    found = materialize(found)
+    holders = materialize(projects.folder_projects(own, found))
     tagged = projects.tag_files(files, holders)
     items = materialize(projects.signature_items(tagged, SETTINGS.opaque))
     return files, found, tagged, items

@@ -40,25 +40,44 @@ def sanitize_for_path(text) -> Column:
     return F.coalesce(F.when(trimmed != "", trimmed), F.lit("unknown"))
 
 
+def clean_path(path) -> Column:
+    """Path with one slash between segments and none at the end; the root itself becomes empty."""
+    path = _col(path)
+    messy = F.contains(path, F.lit("//")) | F.endswith(path, F.lit("/"))
+    return F.when(messy, F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"/\z", "")).otherwise(path)
+
+
 def segments(path) -> Column:
     """Non-empty path segments."""
     return F.filter(F.split(_col(path), "/"), lambda part: part != "")
 
 
 def path_depth(path) -> Column:
-    return F.size(segments(path))
+    """Number of non-empty segments, counted by slashes so that it stays in generated code."""
+    clean = clean_path(F.concat(F.lit("/"), _col(path)))
+    clean = F.regexp_replace(clean, r"\A/{2,}", "/")
+    return F.length(clean) - F.length(F.replace(clean, F.lit("/"), F.lit("")))
+
+
+def at_depth(path, depth) -> Column:
+    """The first ``depth`` segments of a clean absolute path."""
+    cut = F.substring_index if isinstance(depth, int) else None
+    if cut is not None:
+        return cut(_col(path), "/", depth + 1)
+    return F.call_function("substring_index", _col(path), F.lit("/"), (depth + 1).cast("int"))
+
+
+def parent(path) -> Column:
+    """Folder of a clean absolute path."""
+    path = _col(path)
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def ancestors(path, root) -> Column:
     """Folders that hold ``path``: from just below ``root`` down to the file's own folder."""
-    base = F.when(_col(root) == "/", F.lit("")).otherwise(F.regexp_replace(_col(root), r"/+\z", ""))
-    parts, top = segments(path), path_depth(root)
-    levels = F.size(parts) - top - 1
-    chain = F.transform(
-        F.sequence(F.lit(1), levels),
-        lambda n: F.concat(base, F.lit("/"), F.array_join(F.slice(parts, top + 1, n), "/")),
-    )
-    return F.when(levels > 0, chain).otherwise(F.array().cast("array<string>"))
+    clean, top, own = clean_path(path), path_depth(root), path_depth(path) - 1
+    chain = F.transform(F.sequence(top + 1, own), lambda d: at_depth(clean, d))
+    return F.when(own > top, chain).otherwise(F.array().cast("array<string>"))
 
 
 def rel_path(path, folder) -> Column:
@@ -126,4 +145,10 @@ def signature_item(rel, size) -> Column:
 
 def has_segment(path, names) -> Column:
     """True when any segment of ``path`` is one of ``names`` (exact match)."""
-    return F.exists(F.split(_col(path), "/"), lambda part: part.isin(list(names))) if names else F.lit(False)
+    if not names:
+        return F.lit(False)
+    return _col(path).rlike(r"(?s)(?:\A|/)(?:" + "|".join(map(_literal, names)) + r")(?:/|\z)")
+
+
+def _literal(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "_-" or ord(c) > 127 else "\\" + c for c in text)

@@ -81,10 +81,16 @@ def duckdb_text(name: str) -> str:
     return _expand(name, "cast(epoch_us({c}) // 1000 as bigint)", ", unnest([0, 1, 2]) as c(c)")
 
 
+def _spread(source: DataFrame) -> DataFrame:
+    """Use all cores on a table that is stored in fewer splits than there are cores."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "files_all":
         loose = view(spark, sf_dir, "files_li")
         return view(spark, sf_dir, "files_proj").unionByName(loose.withColumn("scan_order", loose.scan_order + 3))
     table = VIEWS[name][0]
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    source = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     return spark.sql(spark_text(name).replace(f"from {table}", "from {source}"), source=source)

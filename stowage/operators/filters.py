@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.buckets import age_bucket, category, parse_size
-from stowage.functions.names import path_depth, segments, top_folder
+from stowage.functions.names import has_segment, path_depth, top_folder
 from stowage.operators.dedup import hide_duplicates, only_duplicates
 
 # Places a scan never enters.
@@ -35,18 +35,17 @@ def hygiene(path="path", root="root", skip_time_machine: bool = True, is_dir=Non
     """
     path = F.col(path) if isinstance(path, str) else path
     root = F.col(root) if isinstance(root, str) else root
-    parts, top = segments(path), path_depth(root)
-    below = F.slice(parts, top + 1, F.greatest(F.size(parts) - top, F.lit(0)))
-    bad = F.exists(below, lambda s: F.startswith(s, F.lit(SYSTEM_PREFIX)) | s.isin(SYSTEM_NAMES))
+    stem = F.regexp_replace(root, r"/+\z", "")
+    below = F.substr(path, F.length(stem) + 2)
+    bad = has_segment(below, SYSTEM_NAMES) | below.rlike(r"(?:\A|/)" + SYSTEM_PREFIX.replace(".", r"\."))
     for place in SYSTEM_DIRS:
         inside = (path == place) | F.startswith(path, F.lit(place + "/"))
         root_inside = (root == place) | F.startswith(root, F.lit(place + "/"))
         bad = bad | (inside & ~root_inside)
     if skip_time_machine:
-        folders = F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0)))
-        bad = bad | F.exists(folders, lambda s: s.isin(TIME_MACHINE_DIRS))
-        if is_dir is not None:
-            bad = bad | (is_dir & F.element_at(parts, -1).isin(TIME_MACHINE_DIRS))
+        whole = has_segment(below, TIME_MACHINE_DIRS)
+        folders = has_segment(F.regexp_replace(below, r"(?s)(?:\A|/)[^/]*\z", ""), TIME_MACHINE_DIRS)
+        bad = bad | (folders if is_dir is None else F.when(is_dir, whole).otherwise(folders))
     return ~bad
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.globs import glob_match
-from stowage.functions.names import ancestors, path_depth, rel_path, segments, signature_item
+from stowage.functions.names import (
+    at_depth, has_segment, parent, rel_path, signature_item,
+)
 from stowage.operators.rules import ProjectSettings, first_match, leaf_facts
 from stowage.operators.skew import HOT_ROWS, attach, join_spread
 from stowage.session import materialize
@@ -17,21 +19,48 @@ BROADCAST_ROWS = 300_000
 
 
 def _located(files: DataFrame) -> DataFrame:
-    """Files with a path, with their own folder and file name; the root loses a trailing slash."""
-    root = F.coalesce(F.nullif(F.regexp_replace("root", r"/+\z", ""), F.lit("")), F.lit("/"))
-    parts = segments("path")
-    top = path_depth("root")
-    base = F.when(F.col("root") == "/", F.lit("")).otherwise(F.col("root"))
-    below = F.slice(parts, top + 1, F.greatest(F.size(parts) - top - 1, F.lit(0)))
-    folder = F.when(F.size(below) > 0, F.concat(base, F.lit("/"), F.array_join(below, "/"))).otherwise(F.col("root"))
-    return (
-        files.filter("path is not null and path <> ''").withColumn("root", root)
-        .withColumn("folder", folder).withColumn("file_name", F.element_at(parts, -1))
-    )
+    """Files with a path, with their own folder and file name.
+
+    Every path is clean (single slashes) and lies below its scan's root, as a
+    scanner writes it. Folders are kept without a trailing slash, so the root
+    of a file system is the empty string until the result is shown.
+    """
+    return files.filter("path is not null and path <> ''").select(
+        *[c for c in files.columns if c not in ("root", "folder", "file_name")],
+        F.rtrim("root", F.lit("/")).alias("root"), parent("path").alias("folder"),
+        F.substring_index("path", "/", -1).alias("file_name"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) == "", F.lit("/")).otherwise(F.col(c)) for c in ("root", "folder")})
+
+
+def _depth(folder) -> Column:
+    return F.length(folder) - F.length(F.translate(folder, "/", ""))
 
 
-def _own_folders(files: DataFrame, facts: dict, order: str) -> DataFrame:
-    """One row per folder that directly holds files."""
+def _above(folders: DataFrame, include_root: bool, include_self: bool) -> DataFrame:
+    """Repeat each folder row per folder at or above it, down from the scan root.
+
+    Adds ``at`` (that folder) and ``child`` (the name of the next folder on the
+    way down, null at the folder itself).
+    """
+    own = _depth("folder")
+    first = _depth(F.rtrim("root", F.lit("/"))) + (0 if include_root else 1)
+    last = own - (0 if include_self else 1)
+    repeated = folders.withColumn("_d", F.explode(F.when(first <= last, F.sequence(first, last))))
+    deeper = F.substring_index(at_depth("folder", F.col("_d") + 1), "/", -1)
+    return repeated.withColumns({
+        "at": at_depth("folder", F.col("_d")), "child": F.when(F.col("_d") < own, deeper)}).drop("_d")
+
+
+def own_folders(files: DataFrame, rules=(), order: str = "ord") -> DataFrame:
+    """One row per folder that directly holds files, with the facts that ``rules`` ask of its files.
+
+    The only step of detection that reads every file. Store it when both the
+    projects and their files are wanted.
+    """
+    facts = leaf_facts(rules)
     leaves: list[Column] = []
     for (op, glob), column in facts.items():
         if op == "file":
@@ -39,82 +68,75 @@ def _own_folders(files: DataFrame, facts: dict, order: str) -> DataFrame:
         elif op == "count":
             leaves.append(F.count_if(glob_match("file_name", glob)).alias(column))
     return _located(files).groupBy(*SCAN, "folder").agg(
-        F.count("*").alias("files"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"),
+        F.count("*").alias("own_files"), F.sum(F.coalesce("size", F.lit(0))).alias("own_bytes"),
         F.min(order).alias("first_ord"), *leaves,
     )
 
 
-def folder_rollup(files: DataFrame, facts: dict | None = None, order: str = "ord") -> DataFrame:
+def folder_rollup(own: DataFrame, rules=()) -> DataFrame:
     """Every folder below a scan root, and the root, with what lies anywhere below it.
 
-    Files are first reduced to their own folder; only those folder rows are
-    repeated per ancestor. The child through which an ancestor is reached is
-    known at that moment, so rules on child folders need no second grouping.
+    Works on ``own_folders``: files are reduced to their own folder before
+    anything is repeated per ancestor. The child through which an ancestor is
+    reached is known at that moment, so rules on child folders need no second
+    grouping.
     """
-    facts = facts or {}
-    own = _own_folders(files, facts, order)
-    chain = F.concat(F.array("root"), ancestors(F.concat("folder", F.lit("/.")), "root"))
-    reached = own.withColumn("_chain", chain).select(
-        "*", F.posexplode("_chain").alias("_level", "_at"),
-    ).withColumn("_child", F.get("_chain", F.col("_level") + 1))
-    here = F.col("_at") == F.col("folder")
-    child_name = F.element_at(F.split("_child", "/"), -1)
+    facts = leaf_facts(rules)
+    reached = _above(own, include_root=True, include_self=True)
+    here = F.col("at") == F.col("folder")
     leaves = []
     for (op, glob), column in facts.items():
         if op == "file":
             leaves.append(F.max(F.when(here, F.col(column))).alias(column))
         elif op == "dir":
-            leaves.append(F.max(F.coalesce(glob_match(child_name, glob), F.lit(False)).cast("int")).alias(column))
+            leaves.append(F.max(F.coalesce(glob_match("child", glob), F.lit(False)).cast("int")).alias(column))
         else:
             leaves.append(F.sum(column).alias(column))
-    rolled = reached.groupBy(*SCAN, F.col("_at").alias("path_")).agg(
-        F.sum("files").alias("file_count"), F.sum("bytes").alias("total_bytes"),
-        F.coalesce(F.sum(F.when(here, F.col("files"))), F.lit(0)).alias("own_files"),
+    rolled = reached.groupBy(*SCAN, "at").agg(
+        F.sum("own_files").alias("file_count"), F.sum("own_bytes").alias("total_bytes"),
+        F.coalesce(F.sum(F.when(here, F.col("own_files"))), F.lit(0)).alias("own_files"),
         F.min("first_ord").alias("first_ord"), *leaves,
-    ).withColumnRenamed("path_", "folder")
-    name = F.coalesce(F.nullif(F.element_at(F.split("folder", "/"), -1), F.lit("")), F.col("folder"))
-    return rolled.withColumn("depth", path_depth("folder")).withColumn("folder_name", name)
+    ).withColumnRenamed("at", "folder")
+    named = rolled.withColumns({"depth": _depth("folder"), "folder_name": F.substring_index("folder", "/", -1)})
+    return _shown(named)
 
 
 def not_opaque(names) -> Column:
     """No folder from the scan root (itself included) down to this one is opaque."""
     if not names:
         return F.lit(True)
-    top = F.greatest(path_depth("root") - 1, F.lit(0))
-    parts = segments("folder")
-    from_root = F.slice(parts, top + 1, F.size(parts) - top)
-    return ~F.exists(from_root, lambda s: s.isin(list(names)))
+    # From the root's own name downwards: cut what lies before that name.
+    before = F.length("root") - F.length(F.substring_index("root", "/", -1))
+    return ~has_segment(F.substr(F.col("folder"), before + 1), names)
 
 
-def match_folders(files: DataFrame, settings: ProjectSettings, order: str = "ord") -> DataFrame:
+def match_folders(own: DataFrame, settings: ProjectSettings) -> DataFrame:
     """Folders that satisfy a rule, with the first rule that holds."""
-    facts = leaf_facts(settings.rules)
-    folders = folder_rollup(files, facts, order)
+    folders = folder_rollup(own, settings.rules)
     eligible = folders.filter((F.col("folder") != F.col("root")) & not_opaque(settings.opaque))
-    matched = eligible.withColumn("_rule", first_match(settings.rules, facts)).filter("_rule is not null")
-    return matched.select(
+    matched = eligible.withColumn("_rule", first_match(settings.rules, leaf_facts(settings.rules)))
+    return matched.filter("_rule is not null").select(
         *SCAN, "folder", "depth", "file_count", "total_bytes", "first_ord", "_rule.*")
 
 
 def outermost(matches: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Drop a match that lies inside another one."""
-    above = ancestors("folder", "root")
-    inner = matches.select("scan_order", F.col("folder").alias("inner"), F.explode(above).alias("folder"))
+    inner = _above(matches, include_root=False, include_self=False).select(
+        "scan_order", F.col("folder").alias("inner"), F.col("at").alias("folder"))
     held = join_spread(inner, matches.select("scan_order", "folder"), ["scan_order", "folder"], "left_semi", hot_rows)
     nested = held.select("scan_order", F.col("inner").alias("folder")).distinct()
     return matches.join(nested, ["scan_order", "folder"], "left_anti")
 
 
 def detect_projects(
-    files: DataFrame, settings: ProjectSettings = ProjectSettings(), order: str = "ord",
-    hot_rows: int | None = HOT_ROWS,
+    own: DataFrame, settings: ProjectSettings = ProjectSettings(), hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Project folders of every scan.
+    """Project folders of every scan, from ``own_folders``.
 
     ``project_key`` identifies a project; ``first_ord`` and ``depth`` give the
     order in which projects were first seen.
     """
-    matches = match_folders(files, settings, order)
+    matches = match_folders(own, settings)
     if not settings.detect_nested:
         matches = outermost(materialize(matches, "matches"), hot_rows)
     drive = F.coalesce(F.nullif("drive_name", F.lit("")), F.lit("drive"))
@@ -123,11 +145,10 @@ def detect_projects(
         F.concat(drive, F.lit("::"), F.col("folder")).alias("project_id"), "*")
 
 
-def folder_projects(files: DataFrame, projects: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def folder_projects(own: DataFrame, projects: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Which project each file-holding folder belongs to (several when projects nest)."""
-    own = _located(files).groupBy(*SCAN, "folder").agg(F.count("*").alias("own_files"))
-    reached = own.select("scan_order", F.col("folder").alias("holder"), "own_files",
-                         F.explode(ancestors(F.concat("folder", F.lit("/.")), "root")).alias("folder"))
+    reached = _above(own, include_root=False, include_self=True).select(
+        "scan_order", F.col("folder").alias("holder"), "own_files", F.col("at").alias("folder"))
     few = projects.select("scan_order", "folder", "project_key")
     found = join_spread(reached, few, ["scan_order", "folder"], "inner", hot_rows)
     return found.select("scan_order", F.col("holder").alias("folder"), "project_key",
@@ -169,7 +190,7 @@ def signature_items(tagged: DataFrame, opaque, count_repeats: bool = True) -> Da
     rel = rel_path("path", "project_folder")
     plain = tagged.withColumn("_rel", rel)
     if opaque:
-        plain = plain.filter(~F.exists(F.split("_rel", "/"), lambda s: s.isin(list(opaque))))
+        plain = plain.filter(~has_segment("_rel", opaque))
     items = plain.select("project_key", signature_item("_rel", "size").alias("item"))
     if not count_repeats:
         return items

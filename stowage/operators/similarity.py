@@ -93,14 +93,7 @@ def _prefix_index(reps: DataFrame, items: DataFrame, t: float, hot_rows: int | N
     # Two items with one token only add candidates, which the exact count then refuses.
     token = F.xxhash64("block.rule_id", "block.bucket", "item")
     rows = rows.select("project_key", "n", *SKETCH, token.alias("token"))
-    spread = materialize(rows, "tokens")
-    frequency = spread.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = frequency if hot_rows is None else materialize(frequency, "frequency")
-    hot = None
-    if hot_rows is not None:
-        hot = common.filter(F.col("df") > hot_rows).select("token")
-        hot = hot if hot.limit(1).count() else None
-    shared = join_spread(spread, common, ["token"], "inner", None, hot)
+    shared = with_group(rows, ["token"], {"df": F.count("*")}, hot_rows).filter("df > 1")
     # Items nobody else has come first in the ranking, so they shorten what is left to take.
     shared = with_group(shared, ["project_key"], {"n_shared": F.count("*")}, hot_rows)
     prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - SLACK) + 1

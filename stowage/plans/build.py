@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from stowage.functions.names import base_name, dupe_key, file_ext, flat_dst, mirrored_dst, utf16_length
 from stowage.operators.dedup import ORDER, TIE_BREAKS, dedupe_files
-from stowage.operators.projects import detect_projects, folder_projects, signature_items, tag_files
+from stowage.operators.projects import (
+    detect_projects, folder_projects, own_folders, signature_items, tag_files,
+)
 from stowage.operators.reports import plan_totals, rule_stats
 from stowage.operators.rules import ProjectSettings
 from stowage.operators.similarity import similar_groups
@@ -182,9 +184,9 @@ def build_plan(
     chosen = None
     loose, parts = files, []
     if settings.enabled:
-        order = options.order[-1]
-        projects = materialize(detect_projects(files, settings, order, hot_rows), "projects")
-        holders = materialize(folder_projects(files, projects, hot_rows), "holders")
+        own = materialize(own_folders(files, settings.rules, options.order[-1]), "folders")
+        projects = materialize(detect_projects(own, settings, hot_rows), "projects")
+        holders = materialize(folder_projects(own, projects, hot_rows), "holders")
         tagged = tag_files(files, holders, "inner", hot_rows)
         items = materialize(signature_items(tagged, settings.opaque), "items")
         groups = similar_groups(projects, items, settings.effective_threshold, options.blocking, hot_rows)
