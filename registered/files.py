@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registered.base import NOW_LI_MS, NOW_MS, query, using
+from registered.base import NOW_LI_MS, query, using
 from stowage.functions import buckets, names
 from stowage.functions.globs import glob_match
 from stowage.inventory_views import view

@@ -94,3 +94,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = VIEWS[name][0]
     source = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     return spark.sql(spark_text(name).replace(f"from {table}", "from {source}"), source=source)
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same view over a stream of the table's files."""
+    table = VIEWS[name][0]
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.sql(spark_text(name).replace(f"from {table}", "from {source}"), source=source)

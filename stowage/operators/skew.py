@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.session import materialize
+
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 20_000
 
@@ -121,3 +123,39 @@ def join_spread(
         return out
     few = small.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
     return out.unionByName(warm.join(F.broadcast(few), keys, how))
+
+
+SMALL_ROWS = 10_000
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", hot_rows: int | None = HOT_ROWS,
+               limit: int = SMALL_ROWS) -> DataFrame:
+    """Join with a table that is usually tiny: broadcast once its size is checked, else spread."""
+    if small.limit(limit + 1).count() <= limit:
+        return attach(big, small, keys, how)
+    return join_spread(big, small, keys, how, hot_rows)
+
+
+def running_count(
+    df: DataFrame, key: str, order: list[str], flag: Column, name: str, hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Add how many rows of the same key up to this one (in ``order``) satisfy ``flag``.
+
+    A hot key is cut into ranges of the order: ranges are counted apart, and
+    the totals of the ranges before are added.
+    """
+    up_to_here = (Window.unboundedPreceding, Window.currentRow)
+    one = F.when(flag, 1).otherwise(0)
+    cold, hot = split_hot(df, [key], hot_groups(df, [key], hot_rows))
+    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(*up_to_here)
+    out = cold.withColumn(name, F.sum(one).over(whole))
+    if hot is None:
+        return out
+    # Stored, so that the number of a range cannot change between its two uses.
+    cut = materialize(hot.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy(key, "_range").agg(F.sum(one).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(*up_to_here)
+    counted = cut.withColumn("_own", F.sum(one).over(inside)).join(totals, [key, "_range"])
+    return out.unionByName(counted.withColumn(name, F.col("_own") + F.col("_before")).select(*out.columns))
