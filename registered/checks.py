@@ -133,11 +133,11 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ trash log
 
-_LOG = """select src_path as path, event_id, at, size, drive_name,
+_LOG = """select src_path as path, event_id, at_ms, size, drive_name,
   case when status = 'copied' then 'trashed' when status = 'skipped-exists' then 'trashed'
        when status = 'source-missing' then 'restored' else 'deleted' end as status,
   status = 'skipped-exists' as is_live, drive_name in ('E0', 'E1') as is_mounted,
-  at >= {limit} as is_kept
+  at_ms >= {limit} as is_kept
 from outcomes_ev"""
 _LIMIT = NOW_MS - 30 * 24 * 3600 * 1000
 _OUTCOME = """select *, case when not is_kept then 'pruned' when status = 'restored' then 'acknowledged' when status = 'deleted' then 'deleted'
@@ -146,7 +146,7 @@ _OUTCOME = """select *, case when not is_kept then 'pruned' when status = 'resto
 
 def trash_parts(spark, sf_dir):
     events = view(spark, sf_dir, "outcomes_ev")
-    seen = F.date_format(F.timestamp_millis("at"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    seen = F.date_format(F.timestamp_millis("at_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     status = F.when(F.col("status").isin("copied", "skipped-exists"), "trashed").when(
         F.col("status") == "source-missing", "restored").otherwise("deleted")
     entries = events.select(F.col("src_path").alias("path"), seen.alias("queued_at"), status.alias("status"))
@@ -187,7 +187,7 @@ def _(spark, sf_dir):
 
 
 @query("trash_retention", using("outcomes_ev", f"""
-select src_path as path from outcomes_ev where at >= {NOW_MS - 24 * 3600 * 1000}"""))
+select src_path as path from outcomes_ev where at_ms >= {NOW_MS - 24 * 3600 * 1000}"""))
 def _(spark, sf_dir):
     log = trash_parts(spark, sf_dir)[0]
     return trash.apply_retention(log, NOW_MS, label="24h").entries.select("path")

@@ -223,7 +223,7 @@ where kind = 'file' and path not like '%/.Spotlight%' and path not like '%/.Tras
 def _(spark, sf_dir):
     from stowage.sources.inventory import inventory_from_listing
 
-    listing = view(spark, sf_dir, "outcomes_ev").select("event_id", F.col("at").alias("mtime_ms")).join(
+    listing = view(spark, sf_dir, "outcomes_ev").select("event_id", F.col("at_ms").alias("mtime_ms")).join(
         spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     listing = spark.sql(_LISTING_SQL.format(ms="mtime_ms", events="{listing}"), listing=listing)
     records = inventory_from_listing(

@@ -53,7 +53,7 @@ select page_id, split_part(split_part(url, '/', 3), '?', 1) as drive_name,
 from pages"""),
     "outcomes_ev": ("events", """
 select event_id, concat('/Volumes/E', cast(user_id % 4 as string), '/f', cast(event_id as string)) as src_path,
-  concat('E', cast(user_id % 4 as string)) as drive_name, {ms:ts} as at,
+  concat('E', cast(user_id % 4 as string)) as drive_name, {ms:ts} as at_ms,
   case event_type when 'click' then 'copied' when 'view' then 'copied'
     when 'purchase' then 'skipped-exists' when 'signup' then 'source-missing' else 'failed' end as status,
   cast(floor(value * 100) as bigint) as size

@@ -7,14 +7,16 @@ the destination, and by other entries that are *called* ``stem (2).ext``:
 those hold their slot from their first request on.
 
 So the work is split. How often a name is requested, and how many requests
-came before a blocking one, are grouped counts. Which slots are skipped is
-decided on one row per distinct contended name. Every entry then computes its
-slot from its own request number.
+came before a blocking one, are grouped counts. Slots blocked by files at the
+destination are skipped with a window. Only families in which an entry is
+itself called like a numbered slot are settled in Python, on one row per
+distinct name, never per file. Every entry then computes its slot from its own
+request number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.names import base_name, dotted_ext
@@ -48,8 +50,21 @@ def _numbering(names: DataFrame) -> DataFrame:
     )
 
 
-def _slot_runs(contended: DataFrame) -> DataFrame:
-    """``(name, from_rank, shift)``: from that request on, slot = request number + shift."""
+def _runs_past_existing(contended: DataFrame) -> DataFrame:
+    """Runs where only files at the destination block slots: each one shifts the requests behind it by one."""
+    taken = contended.filter("exists").select(F.explode(F.array(
+        F.struct(F.col("name").alias("name"), F.lit(1).alias("k")),
+        F.struct(F.col("parent").alias("name"), F.col("k").alias("k")))).alias("s")).select("s.*")
+    wanted = contended.filter("requests > 0").select("name")
+    before = F.row_number().over(Window.partitionBy("name").orderBy("k")) - 1
+    return taken.filter("name is not null and k is not null").join(wanted, "name", "left_semi").withColumn(
+        "_before", before).select(
+        "name", (F.col("k") - F.col("_before")).cast("long").alias("from_rank"),
+        (F.col("_before") + 1).cast("long").alias("shift"))
+
+
+def _runs_past_requests(contended: DataFrame) -> DataFrame:
+    """Runs where entries are themselves called like numbered slots, one name family at a time."""
 
     def settle(rows):
         import pandas as pd
@@ -112,16 +127,18 @@ def resolve_flat_names(
     requests = asked.withColumn("_child", F.lit(None).cast("string"))
     both = requests.unionByName(blockers, allowMissingColumns=True)
     ranked = running_count(both, "_base", order, F.col("_child").isNull(), "_rank", hot_rows)
-    if blockers.limit(1).count():
+    if blockers.limit(1).count() == 0:
+        runs = _runs_past_existing(contended)
+    else:
         ranked = materialize(ranked, "ranked")
         earlier = ranked.filter("_child is not null").select(F.col("_child").alias("name"), F.col("_rank").alias("earlier"))
-        contended = contended.join(earlier, "name", "left").fillna({"earlier": 0})
-    else:
-        contended = contended.withColumn("earlier", F.lit(0).cast("long"))
-    runs = _slot_runs(contended.select("family", "name", "parent", "k", "requests", "exists", "earlier"))
+        mixed = contended.filter("requests > 0 and parent is not null").select("family").distinct()
+        facts = contended.join(mixed, "family", "left_semi").join(earlier, "name", "left").fillna({"earlier": 0})
+        runs = _runs_past_existing(contended.join(mixed, "family", "left_anti")).unionByName(_runs_past_requests(
+            facts.select("family", "name", "parent", "k", "requests", "exists", "earlier")))
     by_name = runs.groupBy(F.col("name").alias("_base")).agg(
         F.sort_array(F.collect_list(F.struct("from_rank", "shift"))).alias("_runs"))
     placed = join_spread(ranked.filter("_child is null"), by_name, ["_base"], "left", hot_rows)
-    shift = F.expr("coalesce(element_at(filter(_runs, r -> r.from_rank <= _rank), -1).shift, 0)")
+    shift = F.expr("coalesce(try_element_at(filter(_runs, r -> r.from_rank <= _rank), -1).shift, 0)")
     return placed.withColumn("dst_name", numbered(F.col("_base"), F.col("_rank") + shift)).select(
         *entries.columns, "dst_name")

@@ -49,8 +49,11 @@ def _name_keys(df: DataFrame, ident: list[str], uuid: str, name: str, swap: bool
     whole, parts = F.array(low), words
     keys = [(1, F.array(F.lower(F.nullif(F.col(uuid), F.lit(""))))), (2, F.array(F.col(name))), (3, whole),
             (4, parts if swap else whole), (5, whole if swap else parts)]
-    pairs = F.flatten(F.array(*[F.transform(v, lambda k, kind=kind: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-                                for kind, v in keys]))
+
+    def labelled(kind: int, values: Column) -> Column:
+        return F.transform(values, lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+
+    pairs = F.flatten(F.array(*[labelled(kind, values) for kind, values in keys]))
     exploded = df.select(*ident, F.explode(pairs).alias("_p"))
     return exploded.select(*ident, "_p.kind", "_p.key").filter("key is not null")
 
