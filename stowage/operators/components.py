@@ -45,8 +45,8 @@ def connected_components(
         # Done when it is a forest of stars: nobody points at a node that itself points elsewhere.
         centres = current.select(F.col("a").alias("node"))
         leaves = current.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
-        if leaves.filter("n > 1").limit(1).count() == 0 and \
-                leaves.join(centres, "node", "left_semi").limit(1).count() == 0:
+        bad = leaves.filter("n > 1").unionByName(leaves.join(centres, "node", "left_semi"))
+        if bad.limit(1).count() == 0:
             break
         current = materialize(_small_star(_large_star(current, hot_rows), hot_rows), "edges")
     labels = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
