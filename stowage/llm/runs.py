@@ -124,11 +124,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space; none crosses a text's end."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than ``gaps`` (white space); none crosses a text's end."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     begins, stops = inside.copy(), np.zeros(len(data) + 1, bool)
     begins[1:] &= ~inside[:-1]
     stops[1:] = inside
