@@ -1,4 +1,8 @@
-"""Corpus preparation in stages; each reads what the one before has kept."""
+"""Corpus preparation in stages; each reads what the one before has kept.
+
+Nothing that is read by a stage is held in memory between stages: every result
+is written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm.tables import documents
+from stowage.llm import decontamination, mixing, quality, sharding, simhash_dedup
+from stowage.llm.tables import documents, reachable
 from stowage.session import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash_dedup.keep_one_of_each(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return sharding.assign(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", reachable(good_quality)),
+    ("near_duplicates", reachable(one_of_each)),
+    ("decontamination", reachable(clean_of_benchmark)),
+    ("mixing", reachable(to_weights)),
+    ("sharding", reachable(in_shards)),
+]
+# The classifier, the fingerprints and the subset sums have no SQL form.
 ORACLE_SQL: str | None = None
 
 

@@ -4,7 +4,7 @@ Vectors are cut into two halves, each with a codebook of its own; a cell is a
 pair of centroids. A query visits cells in the order of the sum of the two
 squared distances, which a heap yields without looking at all pairs, until the
 cells it has seen hold enough entries. The entries are ranked by their exact
-distance.
+distance, in blocks of entries that share their first centroid.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.session import materialize
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
-CELL = 64  # entries that an average cell should hold
-CODES = 256  # centroids of a half, at most
-ENTRIES = 6_000  # entries to visit for a query
+CODES = 128  # centroids of a half, at most
+SHARE = 0.35  # of all entries, to visit for a query: vectors without clusters need that for a recall above 0.9
+LEAST = 2_000  # entries to visit at least
+BLOCK = 1 << 14  # entries, and queries, that meet in one group at most (about)
 NEIGHBOURS = 10
 EVERY = 100  # rows with an id divisible by this are the queries
 SEED = 23
@@ -87,45 +88,63 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
-
-
 def _stack(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column("vector")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def build(rows: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> tuple[Codebooks | None, DataFrame]:
+def build(rows: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Codebooks | None, DataFrame]:
     """Codebooks from a bounded sample, and every row with its ``cell``, stored."""
-    total = rows.count()
     drawn = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(sample).select("vector").collect()
     if not drawn:
         return None, rows.withColumn("cell", F.lit(0))
     x = np.array([r.vector for r in drawn])
-    k = max(1, min(CODES, len(x), math.isqrt(total // cell)))
+    k = max(1, min(codes, len(x) // 4))
     cut = max(1, x.shape[1] // 2)
     books = Codebooks((_kmeans(x[:, :cut], k), _kmeans(x[:, cut:], k) if x.shape[1] > cut else np.zeros((1, 0))),
                       np.zeros(0, np.int64))
 
     def placed(batches):
         for batch in batches:
-            if batch.num_rows:
-                at = np.concatenate([books.cells(_stack(batch.slice(a, 4096)))
-                                     for a in range(0, batch.num_rows, 4096)])
-                yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int32))],
-                                      names=[*batch.schema.names, "cell"])
-
-    index = materialize(rows.mapInArrow(placed, "vec_id long, vector array<double>, cell int"), "cells")
-    books.counts = np.zeros(k * len(books.halves[1]), np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most CODES squared
-        books.counts[r.cell] = r["count"]
-    return books, index
-
-
-def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS, entries: int = ENTRIES,
-           sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                at = books.cells(_stack(part)).astype(np.int32)
+                yield pa.record_batch([*part.columns, pa.array(at)], names=[*part.schema.names, "cell"])
+
+    return books, materialize(rows.mapInArrow(placed, "vec_id long, vector array<double>, cell int"), "cells")
+
+
+def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int) -> pa.Table:
+    """The nearest visited entries of each query of a block."""
+    def matrix(table):
+        column = table["vector"].combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    ids, points = entries["vec_id"].to_numpy(), matrix(entries)
+    second = entries["cell"].to_numpy() % width
+    asked, vectors, visited = queries["query_id"].to_numpy(), matrix(queries), queries["seconds"].to_pylist()
+    size = (points ** 2).sum(axis=1)
+    out = []
+    for i, query in enumerate(vectors):
+        open_cells = np.zeros(width, bool)
+        open_cells[visited[i]] = True
+        near = np.flatnonzero(open_cells[second] & (ids != asked[i]))
+        if not len(near):
+            continue
+        # The expanded square picks who can be among the nearest; the measure itself decides.
+        rough = size[near] - 2 * points[near] @ query
+        if len(near) > neighbours:
+            border = np.partition(rough, neighbours - 1)[neighbours - 1]
+            near = near[rough <= border + 1e-9 * (abs(border) + size.max() + query @ query)]
+        exact = np.sqrt(((points[near] - query) ** 2).sum(axis=1))
+        order = np.lexsort((ids[near], exact))[:neighbours]
+        out.append((np.full(len(order), asked[i]), ids[near][order], exact[order]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(columns, names=["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS, share: float = SHARE,
+           sample: int = SAMPLE, codes: int = CODES, block: int = BLOCK) -> DataFrame:
     """The nearest neighbours of each query: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose ``vec_id`` is divisible by ``every``; every other
@@ -133,44 +152,64 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
     Ranks run from 1, ties go to the smaller id; a query with fewer candidates
     gets them all. Rows without an id, and vectors that are null, empty, zero or
     hold a null or a component that is not finite take no part, nor do vectors
-    of another length than the commonest. Rows that repeat an id are told apart
-    as candidates by nothing, so one of them stands for all. Of equal vectors no
-    more than can be reported (the smallest ids) are compared. Other columns are
-    ignored; an empty table gives an empty result.
+    of another length than the commonest. Of rows that repeat an id one stands
+    for all. Of equal vectors no more than can be reported (the smallest ids)
+    are compared. Other columns are ignored; an empty table gives an empty result.
     """
     rows = usable(vectors)
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.filter(F.size("vector") == (lengths.n if lengths else 0)).dropDuplicates(["vec_id"])
-    books, index = build(materialize(rows, "vectors"), sample, cell)
+    books, index = build(materialize(rows, "vectors"), sample, codes)
     if books is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    width = len(books.halves[1])
 
     # Equal vectors share all distances: the smallest ids are enough, whatever their number. The ranks are
     # limited by map tasks before the shuffle, so a vector that very many rows have is not gathered.
     equal = Window.partitionBy("cell", "vector").orderBy("vec_id")
-    entry = index.withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") <= neighbours + 1).drop("_n")
+    entry = materialize(index.withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") <= neighbours + 1)
+                        .drop("_n"), "entries")
+    books.counts = np.zeros(len(books.halves[0]) * width, np.int64)
+    for r in entry.groupBy("cell").count().collect():  # at most ``codes`` squared
+        books.counts[r.cell] = r["count"]
+    total = int(books.counts.sum())
+    enough = max(LEAST, math.ceil(share * total), neighbours + 1)
+    # Blocks of bounded size: a first centroid's entries, and the queries that visit it, in so many parts each.
+    by_first = books.counts.reshape(-1, width).sum(axis=1)
+    entry_parts = [int(-(-n // block)) or 1 for n in by_first]
+    query_parts = -(-index.filter(F.col("vec_id") % every == 0).count() // block) or 1
 
     def probes(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, vector = batch.column("vec_id"), batch.column("vector")
-            first, second = books.distances(_stack(batch))
-            seen = [books.visit(f, s, max(entries, neighbours + 1)) for f, s in zip(first, second)]
-            at = np.repeat(np.arange(batch.num_rows), [len(s) for s in seen])
-            for a in range(0, len(at), 10_000):
-                part = pa.array(at[a:a + 10_000])
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                first, second = books.distances(_stack(one))
+                seen = np.array(books.visit(first[0], second[0], enough), np.int64)
+                part = hash(int(one.column("vec_id")[0].as_py())) % query_parts
+                keys, lists = [], []
+                for code in np.unique(seen // width):
+                    for p in range(entry_parts[code]):
+                        keys.append((int(code), p, part))
+                        lists.append(seen[seen // width == code] % width)
+                at = pa.array(np.zeros(len(keys), np.int64))
                 yield pa.record_batch(
-                    [ids.take(part), vector.take(part),
-                     pa.array(np.concatenate([np.array(s, np.int32) for s in seen])[a:a + 10_000])],
-                    names=["query_id", "query", "cell"])
+                    [*(pa.array(k, pa.int32()) for k in zip(*keys)), one.column("vec_id").take(at),
+                     one.column("vector").take(at), pa.array(lists, pa.list_(pa.int32()))],
+                    names=["code", "entry_part", "query_part", "query_id", "vector", "seconds"])
 
     asked = index.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(
-        probes, "query_id long, query array<double>, cell int")
-    pairs = asked.join(entry.hint("shuffle_merge"), "cell").filter("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", distance(F.col("query"), F.col("vector")).alias("score"))
+        probes, "code int, entry_part int, query_part int, query_id long, vector array<double>, seconds array<int>")
+    code = F.floor(F.col("cell") / width).cast("int")
+    parts = F.element_at(F.array(*[F.lit(n) for n in entry_parts]), code + 1)
+    kept = entry.select(
+        code.alias("code"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("entry_part"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("query_part"), "vec_id", "vector", "cell")
+
+    keys = ["code", "entry_part", "query_part"]
+    near = asked.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInArrow(
+        lambda q, e: _nearest(q, e, width, neighbours), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select(
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select(
         "query_id", "rank", "vec_id", "score")
 
 

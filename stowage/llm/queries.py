@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stowage.llm import substring_dedup, suffix_dedup
+from stowage.llm import (
+    decontamination, licenses, mixing, multi_index, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup,
+    token_counts,
+)
+from stowage.llm.tables import reachable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-for _module in (substring_dedup, suffix_dedup):
-    QUERIES.update(_module.QUERIES)
+for _module in (substring_dedup, token_counts, mixing, multi_index, decontamination, licenses, suffix_dedup, sharding,
+                quality, simhash_dedup):
+    QUERIES.update({name: reachable(query) for name, query in _module.QUERIES.items()})
     SQL.update(_module.SQL)

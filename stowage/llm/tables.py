@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.session import materialize
 
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,6 +20,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def reachable(query: Callable) -> Callable:
+    """Let Python workers import this package also where it is not installed but run from its folder."""
+    @wraps(query)
+    def run(spark: SparkSession, *rest):
+        given = spark.sparkContext.environment
+        path = given.get("PYTHONPATH", "")
+        if _HOME not in path.split(os.pathsep):
+            given["PYTHONPATH"] = os.pathsep.join(filter(None, [path, _HOME]))
+        return query(spark, *rest)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
