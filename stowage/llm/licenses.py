@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from stowage.llm.tables import documents
 
-# Spellings that count as equal (first becomes second).
+# Words and phrases that count as equal (the first becomes the second).
 SPELLINGS = [
-    ("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
-    ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
-    ("calibre", "caliber"), ("catalogue", "catalog"), ("centre", "center"), ("favour", "favor"),
-    ("favourite", "favorite"), ("fulfil", "fulfill"), ("initialise", "initialize"), ("judgement", "judgment"),
-    ("labour", "labor"), ("merchantability and fitness", "merchantability fitness"), ("optimise", "optimize"),
-    ("organisation", "organization"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
-    ("recognise", "recognize"), ("utilise", "utilize"), ("while", "whilst"), ("wilful", "willful"),
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"),
+    ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("catalogue", "catalog"),
+    ("centre", "center"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
+    ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"),
+    ("licenced", "licensed"), ("optimise", "optimize"), ("organisation", "organization"), ("practise", "practice"),
+    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("utilise", "utilize"),
+    ("while", "whilst"), ("wilful", "willful"),
+]
+PHRASES = [
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"),
-    ("copyright holder", "copyright owner"), ("http www", "https www"),
+    ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
 ]
 
 # Texts of known licences and of lines that name one.
@@ -57,29 +59,33 @@ PERFORMANCE OF THIS SOFTWARE."""),
 
 # Patterns that Java and RE2 read alike.
 NOTICE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+BLANK = "[ \n]+"
+
 
+def _spelt(text: Column, pairs: list[tuple[str, str]], gap: str) -> Column:
+    for one, other in pairs:
+        text = F.replace(text, F.lit(f"{gap}{one}{gap}"), F.lit(f"{gap}{other}{gap}"))
+    return text
 
-def canonical(text: Column) -> Column:
-    """The text as it is compared: words in lower case with two spaces between, without copyright lines."""
+
+def plain_lines(text: Column) -> Column:
+    """Lower case, words between blanks, equal spellings, no copyright lines; line ends stay."""
     words = F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE, " "), BETWEEN, "  ")
-    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for one, other in SPELLINGS:
-        # Two spaces stand between words, so that neighbours do not share one.
-        out = F.replace(out, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
-    return F.trim(out)
+    # Two blanks stand between words, so that neighbours to be replaced do not share one.
+    return _spelt(F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" ")), SPELLINGS, " ")
 
 
-def digest(text: Column) -> Column:
-    """Null where nothing is left of the text."""
-    kept = canonical(text)
+def digest(plain: Column) -> Column:
+    """Digest of plain lines as one text; null where nothing is left of it."""
+    kept = F.trim(_spelt(F.regexp_replace(plain, BLANK, " "), PHRASES, " "))
     return F.when(kept != "", F.sha2(kept, 256))
 
 
 def known_licences(spark: SparkSession, licences: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``digest, licence`` of the known texts, one row per digest."""
     table = spark.createDataFrame(licences, "licence string, text string")
-    return table.select(digest(F.col("text")).alias("digest"), "licence").filter("digest is not null").groupBy(
+    return table.select(digest(plain_lines(F.col("text"))).alias("digest"), "licence").filter("digest is not null").groupBy(
         "digest").agg(F.min("licence").alias("licence"))
 
 
@@ -94,8 +100,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     empty table gives an empty result. ``known`` has ``digest`` (unique) and
     ``licence``; how it is joined is left to its size.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("digest"),
-                       F.split("text", "\n").alias("lines"))
+    plain = plain_lines(F.col("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(plain).alias("digest"),
+                       F.split(plain, "\n").alias("lines"))
     lines = rows.select("row", "doc_id", "digest", F.explode_outer("lines").alias("line")).select(
         "row", "doc_id", "digest", digest(F.col("line")).alias("line_digest"))
     named = known.select(F.col("digest").alias("line_digest"), F.col("licence").alias("line_licence"))
@@ -109,29 +116,39 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), known_licences(spark))
 
 
-def _sql(text: str) -> str:
-    """The canonical digest of a DuckDB expression."""
-    def quoted(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_spelt(text: str, pairs: list[tuple[str, str]]) -> str:
+    for one, other in pairs:
+        text = f"replace({text}, {_quoted(f' {one} ')}, {_quoted(f' {other} ')})"
+    return text
+
+
+def _sql_plain(text: str) -> str:
+    words = f"regexp_replace(regexp_replace(lower({text}), {_quoted(NOTICE)}, ' ', 'g'), {_quoted(BETWEEN)}, '  ', 'g')"
+    return _sql_spelt(f"' ' || replace({words}, chr(10), ' ' || chr(10) || ' ') || ' '", SPELLINGS)
+
 
-    words = f"regexp_replace(regexp_replace(lower({text}), {quoted(NOTICE)}, ' ', 'g'), {quoted(BETWEEN)}, '  ', 'g')"
-    out = f"' ' || trim({words}, ' ') || ' '"
-    for one, other in SPELLINGS:
-        out = f"replace({out}, {quoted(' ' + one.replace(' ', '  ') + ' ')}, {quoted(' ' + other.replace(' ', '  ') + ' ')})"
-    return f"case when trim({out}, ' ') <> '' then sha256(trim({out}, ' ')) end"
+def _sql_digest(plain: str) -> str:
+    kept = "trim({}, ' ')".format(_sql_spelt(f"regexp_replace({plain}, {_quoted('[ ' + chr(92) + 'n]+')}, ' ', 'g')", PHRASES))
+    return f"case when {kept} <> '' then sha256({kept}) end"
 
 
 def _oracle() -> str:
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
     return f"""
-with known as (select digest, min(licence) as licence from (select {_sql('text')} as digest, licence
-    from (values {values}) v(licence, text)) where digest is not null group by digest),
-texts as (select doc_id, text, {_sql('text')} as digest from documents),
-lines as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+with known as (select digest, min(licence) as licence from (select {_sql_digest('plain')} as digest, licence
+    from (select {_sql_plain('text')} as plain, licence from (values {values}) v(licence, text)))
+    where digest is not null group by digest),
+texts as (select doc_id, {_sql_plain('text')} as plain from documents),
+lines as (select doc_id, unnest(string_split(plain, chr(10))) as line from texts),
 found as (select doc_id, string_agg(distinct licence, ',' order by licence) as line_licences
-    from (select doc_id, {_sql('line')} as digest from lines) l join known using (digest) group by doc_id)
+    from (select doc_id, {_sql_digest('line')} as digest from lines) l join known using (digest) group by doc_id),
+whole as (select doc_id, {_sql_digest('plain')} as digest from texts)
 select t.doc_id, t.digest, k.licence, coalesce(f.line_licences, '') as line_licences
-from texts t left join known k on t.digest = k.digest left join found f on t.doc_id = f.doc_id"""
+from whole t left join known k on t.digest = k.digest left join found f on t.doc_id = f.doc_id"""
 
 
 QUERIES = {"op6_licenses": op6_licenses}
