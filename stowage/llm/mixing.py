@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3  # a target, and what is taken of a document, in sizes
 SEED = 17
 STRETCH = 1 << 14  # words of budget left to the dynamic programme
-BIN = 1024  # documents of one length that one rank is drawn from
+BIN = 128  # documents of one length among which the border is looked for, about
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
