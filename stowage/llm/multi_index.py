@@ -116,6 +116,9 @@ def build(rows: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Co
 
 def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int) -> pa.Table:
     """The nearest visited entries of each query of a block."""
+    if not queries.num_rows or not entries.num_rows:  # a block that only one side has
+        return pa.table([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names=["query_id", "vec_id", "score"])
+
     def matrix(table):
         column = table["vector"].combine_chunks()
         return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)

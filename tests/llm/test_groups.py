@@ -170,3 +170,11 @@ def test_shards(make, awkward, nothing):
     texts = Counter(len((r.text or "").encode()) + 1 for r in awkward.collect())
     assert Counter(r.size for r in rows) == texts
     assert {r.text_crc32 for r in rows} == {zlib.crc32((r.text or "").encode()) for r in awkward.collect()}
+
+
+def test_more_parts_than_entries_change_nothing(make):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(400, 8)).tolist())]
+    docs = make(rows, "vec_id long, embedding array<double>")
+    one, many = ({tuple(r) for r in multi_index.search(docs, every=20, block=b).collect()} for b in (1 << 14, 3))
+    assert one == many and len(one) == 200
