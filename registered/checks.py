@@ -104,6 +104,37 @@ def _predicted(spark, sf_dir, mode):
     return preflight.predict_outcomes(resolved, files.filter("ext <> 'pdf'"), there, "/Volumes/Backup/", mode, "src_path")
 
 
+@query("predict_outcomes_flat", using("files_li", """
+select src_path, case when scan_order <> 1 then '/Volumes/Backup/' || case when slot = 1 then name
+    else regexp_replace(name, '\\.[^.]*$', '') || ' (' || slot || ').' || ext end end as dst_path,
+  case when scan_order = 1 then 'source-missing' else 'copied' end as predicted
+from (select path as src_path, name, ext, scan_order,
+    row_number() over (partition by name, scan_order = 1 order by path) as slot
+  from (select *, row_number() over (partition by size, name, ext order by scan_order, path) as rn from files_li)
+  where rn = 1)"""))
+def _(spark, sf_dir):
+    files = view(spark, sf_dir, "files_li")
+    live, nothing = files.filter("scan_order <> 1"), files.select("path").limit(0)
+    resolved = preflight.resolve_destinations(
+        entries_of(spark, sf_dir), "/Volumes/Backup", "flat", nothing, "src_path", live=live)
+    return preflight.predict_outcomes(resolved, live, nothing, "/Volumes/Backup", "additive", "src_path").select(
+        "src_path", "dst_path", "predicted")
+
+
+@query("predict_outcomes_offline", using("files_li", """
+select src_path, case drive_name when 'D1' then 'skipped-volume-unavailable' when 'D2' then 'failed'
+    else case when ext = 'pdf' then 'source-missing' else 'copied' end end as predicted
+from entries where status = 'pending' and (drive_name <> 'D2' or ext <> 'pdf')""", entries=ENTRIES))
+def _(spark, sf_dir):
+    files = view(spark, sf_dir, "files_li")
+    live, nothing = files.filter("ext <> 'pdf'"), files.select("path").limit(0)
+    entries = entries_of(spark, sf_dir).withColumn("needs_swap", F.col("drive_name") == "D1")
+    resolved = preflight.resolve_destinations(entries, "/Volumes/Backup", "mirrored", nothing, "src_path", live=live)
+    out = preflight.predict_outcomes(resolved, live, nothing, "/Volumes/Backup", "overwrite", "src_path",
+                                     protected=["/Volumes/Backup/D2"])
+    return out.filter("drive_name <> 'D2' or ext <> 'pdf'").select("src_path", "predicted")
+
+
 @query("flat_names", using("files_li", """
 select path, case when slot = 1 then name else regexp_replace(name, '\\.[^.]*$', '') || ' (' || slot || ').' || ext end as dst_name
 from (select path, name, ext, case when ext = 'mp4' and p_partkey is not null then case when p_size > 25 then 2 else 1 end else 0 end

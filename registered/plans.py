@@ -72,6 +72,58 @@ def _(spark, sf_dir):
     return edit.apply_outcomes(entries, outcomes_of(entries)).select("src_path", "status", "error", "copied_at")
 
 
+@query("apply_outcomes_internal", using("files_li", """
+select e.src_path, case when e.status = 'pending' then 'copied' else e.status end as status,
+  case when e.status = 'pending' then e.mtime end as copied_at
+from (select 'x/' || src_path as src_path, status, mtime from entries) e""", entries=ENTRIES))
+def _(spark, sf_dir):
+    # Picked files: their entries, and the reports on them, name no drive.
+    entries = entries_of(spark, sf_dir).withColumns({
+        "src_path": F.concat(F.lit("x/"), "src_path"), "drive_name": F.lit(None).cast("string")})
+    told = entries.filter("status = 'pending'").select(
+        "src_path", "drive_name", F.lit("copied").alias("status"), F.col("mtime").alias("at"))
+    return edit.apply_outcomes(entries, told).select("src_path", "status", "copied_at")
+
+
+@query("apply_outcomes_repeated", using("files_li", """
+select e.src_path, coalesce(o.status, e.status) as status, o.error,
+  case when o.status = 'copied' then o.at end as copied_at
+from entries e left join outcomes o on o.src_path = e.src_path""", entries=ENTRIES, outcomes=OUTCOMES))
+def _(spark, sf_dir):
+    entries = entries_of(spark, sf_dir)
+    last = outcomes_of(entries).withColumn("seq", F.lit(2))
+    before = last.withColumns({"status": F.lit("failed"), "error": F.lit("EAGAIN"), "seq": F.lit(1)})
+    return edit.apply_outcomes(entries, last.unionByName(before), ["seq"]).select(
+        "src_path", "status", "error", "copied_at")
+
+
+@query("plan_reset_unknown", using("files_li", """
+select src_path, cast(null as varchar) as status, 'kept' as error, mtime as copied_at from entries""", entries=ENTRIES))
+def _(spark, sf_dir):
+    entries = entries_of(spark, sf_dir).withColumns({
+        "status": F.lit(None).cast("string"), "error": F.lit("kept"), "copied_at": F.col("mtime")})
+    return edit.plan_reset(entries).select("src_path", "status", "error", "copied_at")
+
+
+@query("stored_plan_order", using("files_li", """
+select src_path, status, row_number() over (partition by drive_name order by src_path) as place
+from after join (select src_path, drive_name from entries) using (src_path)""",
+    entries=ENTRIES, outcomes=OUTCOMES, after=AFTER))
+def _(spark, sf_dir):
+    import uuid
+
+    from pyspark.sql import Window
+
+    from stowage.session import work_dir
+
+    folder = f"{work_dir(spark)}/stowage/plan-{uuid.uuid4().hex}"
+    first = plan_store.write_plan(spark, entries_of(spark, sf_dir).orderBy("src_path"), {"id": "p"}, folder)
+    entries, header = plan_store.read_plan(spark, folder)
+    plan_store.write_plan(spark, edit.apply_outcomes(entries, outcomes_of(entries)), header, folder, first)
+    place = F.row_number().over(Window.partitionBy("drive_name").orderBy("ord")).cast("long")
+    return plan_store.read_plan(spark, folder)[0].select("src_path", "status", place.alias("place"))
+
+
 @query("plan_reset", using("files_li", """
 select src_path, case when status in ('failed', 'source-missing') then 'pending' else status end as status,
   case when status not in ('failed', 'source-missing') then error end as error, copied_at from after""",

@@ -39,9 +39,9 @@ where c.c = 0 or (c.c = 1 and (l_orderkey + l_partkey) % 10 <> 0)
    or (c.c = 2 and l_partkey % 20 <> 0)"""),
     "files_doc": ("documents", """
 select cast(substring(source, 4) as int) as scan_order, source as drive_name,
-  concat('/Volumes/', source) as root, concat(substring(md5(text), 1, 8), '.txt') as name,
+  concat('/Volumes/', source) as root, concat(md5(text), '.txt') as name,
   concat('/Volumes/', source, '/', lang, '/d', cast(doc_id % 10 as string), '/',
-         cast(doc_id as string), '/', substring(md5(text), 1, 8), '.txt') as path,
+         cast(doc_id as string), '/', md5(text), '.txt') as path,
   n_chars as size, cast(1700000000000 + doc_id * 60000 as bigint) as mtime, 'txt' as ext
 from documents"""),
     "files_pg": ("pages", """

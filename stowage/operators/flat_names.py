@@ -39,13 +39,13 @@ def numbered(name: Column, slot: Column) -> Column:
 def _numbering(names: DataFrame) -> DataFrame:
     """Adds the name of which this one is a numbered slot (``parent``, ``k``), and the unnumbered ``family``."""
     stem, ext = _parts("name")
-    pattern = r"(?s)\A(.+) \(([1-9][0-9]{0,8})\)\z"
-    k = F.expr("try_cast(nullif(_k, '') as int)")
+    pattern = r"(?s)\A(.+) \(([1-9][0-9]*)\)\z"
+    k = F.expr("try_cast(nullif(_k, '') as bigint)")
     return (
         names.withColumn("_k", F.regexp_extract(stem, pattern, 2))
         .withColumn("k", F.when(k >= 2, k))
         .withColumn("parent", F.when(F.col("k").isNotNull(), F.concat(F.regexp_extract(stem, pattern, 1), ext)))
-        .withColumn("family", F.concat(F.regexp_replace(stem, r"(?: \([1-9][0-9]{0,8}\))+\z", ""), ext))
+        .withColumn("family", F.concat(F.regexp_replace(stem, r"(?: \([1-9][0-9]*\))+\z", ""), ext))
         .drop("_k")
     )
 
@@ -53,7 +53,7 @@ def _numbering(names: DataFrame) -> DataFrame:
 def _runs_past_existing(contended: DataFrame) -> DataFrame:
     """Runs where only files at the destination block slots: each one shifts the requests behind it by one."""
     taken = contended.filter("exists").select(F.explode(F.array(
-        F.struct(F.col("name").alias("name"), F.lit(1).alias("k")),
+        F.struct(F.col("name").alias("name"), F.lit(1).cast("long").alias("k")),
         F.struct(F.col("parent").alias("name"), F.col("k").alias("k")))).alias("s")).select("s.*")
     wanted = contended.filter("requests > 0").select("name")
     before = F.row_number().over(Window.partitionBy("name").orderBy("k")) - 1

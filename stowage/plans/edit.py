@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +108,7 @@ def plan_update_settings(header: dict, **changes) -> dict:
 
 def plan_reset(entries: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Turn finished entries back to pending, so that the plan can run again."""
-    again = F.col("status").isin(list(only or RESETTABLE))
+    again = F.coalesce(F.col("status").isin(list(only or RESETTABLE)), F.lit(False))
     return entries.withColumns({
         "copied_at": F.when(~again, F.col("copied_at")), "error": F.when(~again, F.col("error")),
         "status": F.when(again, F.lit("pending")).otherwise(F.col("status")),
@@ -146,23 +148,31 @@ def plan_save_as(
 
 
 def apply_outcomes(
-    entries: DataFrame, outcomes: DataFrame, order: list[str] | None = None, hot_rows: int | None = HOT_ROWS,
+    entries: DataFrame, outcomes: DataFrame, order: list[str] | None = None,
 ) -> DataFrame:
     """Entries with the status, error and copy time that a copier reports.
 
     Matched on drive and source path where outcomes name the drive, else on
-    the path. With ``order`` the last report of a file counts. A drive with
-    very many entries spreads, as the path is part of the key.
+    the path; picked and internal files have no drive, and null matches null.
+    With ``order`` the last report of a file counts; without it a file may be
+    reported once only, and a second report fails the query, as does a status
+    that is not known. A drive with very many entries spreads, as the path is
+    part of the key.
     """
     keys = ["drive_name", "src_path"] if "drive_name" in outcomes.columns else ["src_path"]
-    reports = outcomes.filter(F.col("status").isin(list(STATUSES)))
+    status = F.when(F.col("status").isin(list(STATUSES)), F.col("status")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown outcome status: "), F.coalesce("status", F.lit("null")))))
+    error = F.col("error") if "error" in outcomes.columns else F.lit(None).cast("string")
+    at = F.col("at") if "at" in outcomes.columns else F.lit(None).cast("long")
+    told = F.struct(status.alias("_status"), error.alias("_error"), at.alias("_at"))
     if order:
-        latest = F.max_by(F.struct(*[c for c in ("status", "error", "at") if c in outcomes.columns]), F.struct(*order))
-        reports = reports.groupBy(*keys).agg(latest.alias("_o")).select(*keys, "_o.*")
-    error = F.col("error") if "error" in reports.columns else F.lit(None).cast("string")
-    at = F.col("at") if "at" in reports.columns else F.lit(None).cast("long")
-    small = reports.select(*keys, F.col("status").alias("_status"), error.alias("_error"), at.alias("_at"))
-    joined = entries.join(small, keys, "left")
+        report = F.max_by(told, F.struct(*order))
+    else:
+        report = F.when(F.count("*") == 1, F.first(told)).otherwise(
+            F.raise_error(F.lit("a file is reported twice; give the order of reports")))
+    small = outcomes.groupBy(*keys).agg(report.alias("_o")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_o.*")
+    on = reduce(and_, [entries[k].eqNullSafe(small[f"_{k}"]) for k in keys])
+    joined = entries.join(small, on, "left")
     told = F.col("_status").isNotNull()
     return joined.withColumns({
         "status": F.coalesce("_status", "status"),

@@ -82,13 +82,14 @@ def match_mounts(groups: DataFrame, mounts: DataFrame) -> DataFrame:
 
 
 def current_sources(entries: DataFrame, matched: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Adds ``src_now``: where the source file is today, given where its drive is mounted."""
+    """Adds ``src_now``, where the source file is today given where its drive is mounted, and ``needs_swap``."""
     tagged = entries.withColumn("group_key", drive_key())
     places = matched.select("group_key", F.col("drive_name").alias("_drive"), "mount_path")
     joined = join_small(tagged, places, ["group_key"], "left", hot_rows)
     moved = F.col("mount_path").isNotNull() & (F.col("group_key") != "internal") & F.col("_drive").isNotNull()
     now = F.when(moved, rebase_path("src_path", "_drive", "mount_path")).otherwise(F.col("src_path"))
-    return joined.withColumn("src_now", now).drop("_drive", "mount_path")
+    swap = F.col("mount_path").isNull() & (F.col("group_key") != "internal")
+    return joined.withColumn("src_now", now).withColumn("needs_swap", swap).drop("_drive", "mount_path")
 
 
 def verify_sources(entries: DataFrame, live: DataFrame, mounts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -119,13 +120,18 @@ def space_check(entries: DataFrame, free_bytes: int | None) -> DataFrame:
     return need.withColumn("fits", F.coalesce(free >= F.col("pending_bytes") + FREE_MARGIN, F.lit(True)))
 
 
-def destination_error(destination: str, protected: list[str] = ()) -> str | None:
-    """Why a destination is refused, or None."""
+def destination_error(
+    destination: str, protected: list[str] = (), dest_mode: str = "additive", existing: DataFrame | None = None,
+) -> str | None:
+    """Why a destination is refused, or None. A fresh one must hold nothing of what ``existing`` lists."""
     clean = destination.rstrip("/")
     if not clean:
         return "destination is the root" if destination else "no destination"
     if any(clean == p.rstrip("/") or clean.startswith(p.rstrip("/") + "/") for p in protected):
         return "destination is protected"
+    if dest_mode == "fresh" and existing is not None and existing.filter(
+            F.startswith("path", F.lit(clean + "/"))).limit(1).count():
+        return "destination is not empty"
     return None
 
 
@@ -157,11 +163,23 @@ def in_run_order(entries: DataFrame, order: str = "ord", hot_rows: int | None =
 
 def resolve_destinations(
     entries: DataFrame, destination: str, layout: str, existing: DataFrame, order: str = "ord",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS, live: DataFrame | None = None, source: str = "src_path",
 ) -> DataFrame:
-    """Adds ``dst_path`` to pending entries. ``existing`` lists full paths at the destination."""
+    """Adds ``dst_path`` to pending entries. ``existing`` lists full paths at the destination.
+
+    With ``live`` (the source paths that can be read) only entries that a run
+    would get to copy are given a place: one that is missing, or whose drive
+    has to be plugged in (``needs_swap``), takes no name from another.
+    """
     root = destination.rstrip("/")
     rows = pending_only(entries)
+    if live is not None:
+        there = live.select(F.col("path").alias(source)).distinct()
+        ready = F.lit(True) if "needs_swap" not in rows.columns else ~F.coalesce("needs_swap", F.lit(False))
+        named = resolve_destinations(
+            rows.filter(ready).join(there, source, "left_semi"), destination, layout, existing, order, hot_rows)
+        rest = rows.filter(~ready).unionByName(rows.filter(ready).join(there, source, "left_anti"))
+        return named.unionByName(rest.withColumn("dst_path", F.lit(None).cast("string")).select(named.columns))
     if layout != "flat":
         return rows.withColumn("dst_path", F.concat(F.lit(root + "/"), mirrored_path()))
     direct = existing.filter(F.startswith("path", F.lit(root + "/"))).select(
@@ -172,27 +190,37 @@ def resolve_destinations(
 
 def predict_outcomes(
     resolved: DataFrame, live: DataFrame, existing: DataFrame, destination: str, dest_mode: str,
-    order: str = "ord", source: str = "src_path", hot_rows: int | None = HOT_ROWS,
+    order: str = "ord", source: str = "src_path", hot_rows: int | None = HOT_ROWS, protected: list[str] = (),
 ) -> DataFrame:
     """Adds the status a run would give each entry (``predicted``) and why (``reason``).
 
+    A drive that has to be plugged in (``needs_swap``) makes the entry
+    unavailable before its source is looked for. A destination at or below a
+    protected folder fails, entry by entry.
+
     Of several entries with one destination the first that can be read
     creates the file; the later ones find it there.
     """
     present = live.select(F.col("path").alias(source)).distinct().withColumn("_live", F.lit(True))
     there = existing.select(F.col("path").alias("dst_path")).distinct().withColumn("_there", F.lit(True))
     joined = resolved.join(present, source, "left").join(there, "dst_path", "left")
-    readable = pick_first(joined.filter("_live"), ["dst_path"], [F.col(order)], {}, hot_rows)
-    unread = joined.filter("_live is null").withColumn("is_winner", F.lit(True))
+    away = F.coalesce("needs_swap", F.lit(False)) if "needs_swap" in resolved.columns else F.lit(False)
+    read = F.col("_live").isNotNull() & ~away
+    readable = pick_first(joined.filter(read), ["dst_path"], [F.col(order)], {}, hot_rows)
+    unread = joined.filter(~read).withColumn("is_winner", F.lit(True))
     exists = F.col("_there").isNotNull() | ~F.col("is_winner")
     unsafe = F.rtrim("dst_path", F.lit("/")) == destination.rstrip("/")
-    status = F.when(F.col("_live").isNull(), F.lit("source-missing")).when(unsafe, F.lit("failed"))
+    for folder in protected:
+        stem = folder.rstrip("/")
+        unsafe = unsafe | (F.col("dst_path") == stem) | F.startswith("dst_path", F.lit(stem + "/"))
+    status = F.when(away, F.lit("skipped-volume-unavailable")).when(
+        F.col("_live").isNull(), F.lit("source-missing")).when(unsafe, F.lit("failed"))
     if dest_mode == "additive":
         status = status.when(exists, F.lit("skipped-exists"))
     elif dest_mode == "fresh":
         status = status.when(exists, F.lit("failed"))
     status = status.otherwise(F.lit("copied"))
-    reason = F.when(F.col("_live").isNull(), F.lit(None)).when(unsafe, F.lit("unsafe-destination")).when(
+    reason = F.when(away | F.col("_live").isNull(), F.lit(None)).when(unsafe, F.lit("unsafe-destination")).when(
         exists & F.lit(dest_mode == "fresh"), F.lit("EEXIST")).when(exists & F.lit(dest_mode == "overwrite"), F.lit("overwritten"))
     both = readable.unionByName(unread)
     return both.withColumns({"predicted": status, "reason": reason}).select(*resolved.columns, "predicted", "reason")

@@ -7,25 +7,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.schemas import ENTRY_FIELDS, ENTRY_JSON, PLAN_HEADER
 from stowage.sources.inventory import _exists, read_ndjson
 
-PREVIEW_CAP = 50_000
+# JSON name of an entry's place in the plan.
+POSITION = "position"
 
 
 def to_json_names(entries: DataFrame) -> DataFrame:
-    return entries.select(*[F.col(ours).alias(theirs) for ours, theirs, _ in ENTRY_FIELDS if ours in entries.columns])
+    place = [F.col("ord").alias(POSITION)] if "ord" in entries.columns else []
+    return entries.select(
+        *[F.col(ours).alias(theirs) for ours, theirs, _ in ENTRY_FIELDS if ours in entries.columns], *place)
 
 
 def from_json_names(rows: DataFrame) -> DataFrame:
-    extra = [c for c in ("ord",) if c in rows.columns]
-    return rows.select(*[F.col(theirs).alias(ours) for ours, theirs, _ in ENTRY_FIELDS], *extra)
+    place = [F.coalesce(POSITION, "ord.line").alias("ord")] if POSITION in rows.columns else []
+    return rows.select(*[F.col(theirs).alias(ours) for ours, theirs, _ in ENTRY_FIELDS], *place)
+
+
+def placed(entries: DataFrame) -> DataFrame:
+    """Entries with ``ord``, their place in the plan, as a long.
+
+    Places that are there stay; entries without one (new ones) come behind the
+    last in the order in which they stand. Places increase but have gaps.
+    """
+    if "ord" not in entries.columns:
+        return entries.withColumn("ord", F.monotonically_increasing_id())
+    last = entries.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+    return entries.withColumn("_line", F.monotonically_increasing_id()).withColumn(
+        "ord", F.coalesce("ord", F.lit(last + 1) + F.col("_line"))).drop("_line")
 
 
 def read_entries(spark: SparkSession, path) -> DataFrame:
-    """Entries of a plan with their place in the file; lines that are not JSON are dropped."""
-    return from_json_names(read_ndjson(spark, path, ENTRY_JSON))
+    """Entries of a plan with their place in it; lines that are not JSON are dropped.
+
+    A file that holds no places gives those of its lines.
+    """
+    return from_json_names(read_ndjson(spark, path, T.StructType([*ENTRY_JSON.fields, T.StructField(POSITION, T.LongType())])))
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "error") -> None:
@@ -44,16 +64,28 @@ def read_header(spark: SparkSession, path: str) -> dict | None:
     return json.loads(row.value) if row else None
 
 
-def write_plan(spark: SparkSession, entries: DataFrame, header: dict, folder: str) -> str:
+class StalePlan(RuntimeError):
+    """Another version was stored since the one that was edited."""
+
+
+def write_plan(spark: SparkSession, entries: DataFrame, header: dict, folder: str, base: str | None = None) -> str:
     """Store a new version of a plan and then point at it.
 
+    The order of entries is stored with them. ``base`` is the version that
+    ``entries`` were made from: if the plan has moved on meanwhile, nothing is
+    pointed at and ``StalePlan`` is raised.
+
     The pointer table is append-only and the newest row counts, so a reader
     sees the old version or the new one. Nothing that may be read is
     overwritten, and ``entries`` may come from an older version of the plan.
     """
     version = uuid.uuid4().hex
-    write_entries(entries, f"{folder}/versions/{version}/entries")
+    if base is not None and current_version(spark, folder) != base:
+        raise StalePlan(f"{folder} is no longer at {base}")
+    write_entries(placed(entries), f"{folder}/versions/{version}/entries")
     write_header(spark, header, f"{folder}/versions/{version}/header")
+    if base is not None and current_version(spark, folder) != base:
+        raise StalePlan(f"{folder} is no longer at {base}")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1) \
         .write.mode("append").parquet(f"{folder}/current")
     return version
@@ -76,8 +108,9 @@ def read_plan(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
 
 
 def preview(entries: DataFrame, limit: int | None = None, order: str = "ord") -> DataFrame:
-    """First entries in plan order, 50,000 at most; zero or no limit gives them all."""
-    return entries.orderBy(order).limit(min(limit, PREVIEW_CAP)) if limit else entries
+    """First entries in plan order; zero or no limit gives them all, in order."""
+    ordered = entries.orderBy(order)
+    return ordered.limit(limit) if limit else ordered
 
 
 def parse_headers(texts: DataFrame) -> DataFrame:

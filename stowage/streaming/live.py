@@ -17,7 +17,7 @@ from stowage.operators.reports import bytes_if, bytes_of
 from stowage.plans.edit import apply_outcomes
 from stowage.schemas import INVENTORY
 from stowage.session import work_dir
-from stowage.sources.plan_store import read_plan, write_plan
+from stowage.sources.plan_store import current_version, read_plan, write_plan
 
 
 def stream_inventory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -70,8 +70,9 @@ def stream_apply_outcomes(outcomes: DataFrame, plan_folder: str, order: list[str
     def update(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.limit(1).count():
+            base = current_version(spark, plan_folder)
             entries, header = read_plan(spark, plan_folder)
-            write_plan(spark, apply_outcomes(entries, batch, order), header, plan_folder)
+            write_plan(spark, apply_outcomes(entries, batch, order), header, plan_folder, base)
 
     return (outcomes.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
