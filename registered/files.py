@@ -304,3 +304,18 @@ select count(*) filter (status in ('pending', 'copied')) as total_files,
   count(*) filter (status = 'source-error') as error_count from outcomes_ev"""))
 def _(spark, sf_dir):
     return reports.recompute_totals(view(spark, sf_dir, "outcomes_ev"))
+
+
+@query("dedupe_one_hot_key", """
+with f as (select l_orderkey, l_linenumber, case when l_orderkey % 3 = 0 then '.DS_Store'
+    else 'part_' || l_partkey end as name from lineitem)
+select l_orderkey, l_linenumber, name, row_number() over (partition by name order by l_orderkey, l_linenumber) = 1 as is_winner,
+  count(*) over (partition by name) as copies from f""")
+def _(spark, sf_dir):
+    from stowage.operators.skew import pick_first, with_group
+
+    # A third of all rows have one key.
+    name = F.when(F.col("l_orderkey") % 3 == 0, ".DS_Store").otherwise(F.concat(F.lit("part_"), "l_partkey"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", name.alias("name"))
+    marked = pick_first(rows, ["name"], [F.col("l_orderkey"), F.col("l_linenumber")], {})
+    return with_group(marked, ["name"], {"copies": F.count("*")})

@@ -10,26 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.operators.skew import HOT_ROWS, guard, with_group
+from stowage.operators.skew import with_group
 from stowage.session import materialize
 
 
-def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour at the smallest node around."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = with_group(both, ["a"], {"low": F.min("b")}, hot_rows)
+    low = with_group(both, ["a"], {"low": F.min("b")})
     return low.filter("b > a").select(F.least("a", "low").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Point a node and its smaller neighbours at the smallest of them. Edges run ``a < b``."""
-    low = with_group(edges, ["b"], {"low": F.min("a")}, hot_rows)
+    low = with_group(edges, ["b"], {"low": F.min("a")})
     moved = low.filter("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     return moved.union(low.select(F.col("low").alias("a"), "b")).distinct()
 
 
 def connected_components(
-    edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int | None = HOT_ROWS,
+    edges: DataFrame, nodes: DataFrame | None = None,
 ) -> DataFrame:
     """``(node, component)`` for an edge table ``(a, b)``; the component is its smallest node.
 
@@ -39,8 +39,6 @@ def connected_components(
     current = materialize(
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "edges")
-    # A round never makes more edges than there are, so the first count bounds every group.
-    hot_rows = guard(current, None if hot_rows is None else max(hot_rows // 2, 1))
     while True:
         # Done when it is a forest of stars: nobody points at a node that itself points elsewhere.
         centres = current.select(F.col("a").alias("node"))
@@ -48,7 +46,7 @@ def connected_components(
         bad = leaves.filter("n > 1").unionByName(leaves.join(centres, "node", "left_semi"))
         if bad.limit(1).count() == 0:
             break
-        current = materialize(_small_star(_large_star(current, hot_rows), hot_rows), "edges")
+        current = materialize(_small_star(_large_star(current)), "edges")
     labels = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
     labels = labels.unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
     if nodes is None:

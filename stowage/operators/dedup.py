@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.names import utf16_length
-from stowage.operators.skew import HOT_ROWS, pick_first, with_group
+from stowage.operators.skew import pick_first, with_group
 
 KEY = ["size", "name", "ext"]
 TIE_BREAKS = ("firstScanned", "newest", "oldest", "shortestPath", "largest")
@@ -48,12 +48,11 @@ def _with_key(files: DataFrame) -> DataFrame:
 
 def dedupe_files(
     files: DataFrame, tie_break: str = "firstScanned", order: tuple[str, ...] = ORDER,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All files, with ``is_winner`` and the ``winner_path`` of each duplicate group."""
     tie_order(tie_break, order)
     ranked = _plain([F.col(c) for c in order], tie_break)
-    return pick_first(_with_key(files), KEY, ranked, {"winner_path": F.col("path")}, hot_rows)
+    return pick_first(_with_key(files), KEY, ranked, {"winner_path": F.col("path")})
 
 
 def dedupe_winners(
@@ -71,9 +70,9 @@ def dedupe_winners(
     )
 
 
-def only_duplicates(files: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def only_duplicates(files: DataFrame) -> DataFrame:
     """Files that share size, name and extension with another one; adds ``copies``."""
-    counted = with_group(_with_key(files), KEY, {"copies": F.count("*")}, hot_rows)
+    counted = with_group(_with_key(files), KEY, {"copies": F.count("*")})
     return counted.filter("copies > 1")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.names import base_name, dotted_ext
-from stowage.operators.skew import HOT_ROWS, guard, join_spread, running_count
+from stowage.operators.skew import running_count
 from stowage.session import materialize
 
 
@@ -101,14 +101,13 @@ def _runs_past_requests(contended: DataFrame) -> DataFrame:
 
 
 def resolve_flat_names(
-    entries: DataFrame, existing: DataFrame, order: list[str], hot_rows: int | None = HOT_ROWS,
+    entries: DataFrame, existing: DataFrame, order: list[str],
 ) -> DataFrame:
     """Adds ``dst_name`` to every entry.
 
     ``existing`` lists the names directly at the destination (``name``);
     ``order`` is the order in which entries are copied.
     """
-    hot_rows = guard(entries, hot_rows)
     own = F.nullif(F.col("name"), F.lit("")) if "name" in entries.columns else F.lit(None)
     asked = entries.withColumn("_base", F.coalesce(own, base_name("src_path")))
     wanted = asked.groupBy(F.col("_base").alias("name")).agg(
@@ -126,7 +125,7 @@ def resolve_flat_names(
         F.col("parent").alias("_base"), "first.*", F.col("name").alias("_child"))
     requests = asked.withColumn("_child", F.lit(None).cast("string"))
     both = requests.unionByName(blockers, allowMissingColumns=True)
-    ranked = running_count(both, "_base", order, F.col("_child").isNull(), "_rank", hot_rows)
+    ranked = running_count(both, "_base", order, F.col("_child").isNull(), "_rank")
     if blockers.limit(1).count() == 0:
         runs = _runs_past_existing(contended)
     else:
@@ -138,7 +137,7 @@ def resolve_flat_names(
             facts.select("family", "name", "parent", "k", "requests", "exists", "earlier")))
     by_name = runs.groupBy(F.col("name").alias("_base")).agg(
         F.sort_array(F.collect_list(F.struct("from_rank", "shift"))).alias("_runs"))
-    placed = join_spread(ranked.filter("_child is null"), by_name, ["_base"], "left", hot_rows)
+    placed = ranked.filter("_child is null").join(by_name, "_base", "left")
     shift = F.expr("coalesce(try_element_at(filter(_runs, r -> r.from_rank <= _rank), -1).shift, 0)")
     return placed.withColumn("dst_name", numbered(F.col("_base"), F.col("_rank") + shift)).select(
         *entries.columns, "dst_name")

@@ -10,12 +10,11 @@ from stowage.functions.names import (
     at_depth, has_segment, parent, rel_path, signature_item,
 )
 from stowage.operators.rules import ProjectSettings, first_match, leaf_facts
-from stowage.operators.skew import HOT_ROWS, attach, join_spread
+from stowage.operators.skew import join_keys
 from stowage.session import materialize
 
 SCAN = ["scan_order", "drive_name", "root"]
 # A folder-to-project map of up to this many rows (some 50 MB) is sent to every task.
-BROADCAST_ROWS = 300_000
 
 
 def _located(files: DataFrame) -> DataFrame:
@@ -119,17 +118,17 @@ def match_folders(own: DataFrame, settings: ProjectSettings) -> DataFrame:
         *SCAN, "folder", "depth", "file_count", "total_bytes", "first_ord", "_rule.*")
 
 
-def outermost(matches: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def outermost(matches: DataFrame) -> DataFrame:
     """Drop a match that lies inside another one."""
     inner = _above(matches, include_root=False, include_self=False).select(
         "scan_order", F.col("folder").alias("inner"), F.col("at").alias("folder"))
-    held = join_spread(inner, matches.select("scan_order", "folder"), ["scan_order", "folder"], "left_semi", hot_rows)
+    held = inner.join(matches.select("scan_order", "folder"), ["scan_order", "folder"], "left_semi")
     nested = held.select("scan_order", F.col("inner").alias("folder")).distinct()
     return matches.join(nested, ["scan_order", "folder"], "left_anti")
 
 
 def detect_projects(
-    own: DataFrame, settings: ProjectSettings = ProjectSettings(), hot_rows: int | None = HOT_ROWS,
+    own: DataFrame, settings: ProjectSettings = ProjectSettings(),
 ) -> DataFrame:
     """Project folders of every scan, from ``own_folders``.
 
@@ -138,47 +137,31 @@ def detect_projects(
     """
     matches = match_folders(own, settings)
     if not settings.detect_nested:
-        matches = outermost(materialize(matches, "matches"), hot_rows)
+        matches = outermost(materialize(matches, "matches"))
     drive = F.coalesce(F.nullif("drive_name", F.lit("")), F.lit("drive"))
     return matches.select(
         F.concat(F.col("scan_order").cast("string"), F.lit("::"), F.col("folder")).alias("project_key"),
         F.concat(drive, F.lit("::"), F.col("folder")).alias("project_id"), "*")
 
 
-def folder_projects(own: DataFrame, projects: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def folder_projects(own: DataFrame, projects: DataFrame) -> DataFrame:
     """Which project each file-holding folder belongs to (several when projects nest)."""
     reached = _above(own, include_root=False, include_self=True).select(
         "scan_order", F.col("folder").alias("holder"), "own_files", F.col("at").alias("folder"))
     few = projects.select("scan_order", "folder", "project_key")
-    found = join_spread(reached, few, ["scan_order", "folder"], "inner", hot_rows)
+    found = reached.join(few, ["scan_order", "folder"])
     return found.select("scan_order", F.col("holder").alias("folder"), "project_key",
                         F.col("folder").alias("project_folder"), "own_files")
 
 
-def _hot_holders(holders: DataFrame, hot_rows: int | None) -> DataFrame | None:
-    if hot_rows is None:
-        return None
-    rows = holders.filter(F.col("own_files") > hot_rows).select("scan_order", "folder").distinct()
-    # At most rows / hot_rows folders: each holds more than hot_rows files.
-    return rows if rows.limit(1).count() else None
-
-
-def tag_files(
-    files: DataFrame, holders: DataFrame, how: str = "inner", hot_rows: int | None = HOT_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def tag_files(files: DataFrame, holders: DataFrame, how: str = "inner") -> DataFrame:
     """Files with the project they belong to; ``left`` keeps files without one.
 
-    ``holders`` must be a stored table. While it is small it goes to every
-    task and no file moves; beyond that files shuffle once by folder, and
-    folders with very many files stay in place.
+    ``holders`` should be a stored table: its size in bytes then decides
+    whether it goes to every task or files shuffle once by folder.
     """
-    located = _located(files)
-    keys = ["scan_order", "folder"]
-    small = holders.select(*keys, "project_key", "project_folder")
-    if holders.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return attach(located, small, keys, how)
-    return join_spread(located, small, keys, how, None, _hot_holders(holders, hot_rows))
+    return join_keys(_located(files), holders.select("scan_order", "folder", "project_key", "project_folder"),
+                     ["scan_order", "folder"], how)
 
 
 def signature_items(tagged: DataFrame, opaque, count_repeats: bool = True) -> DataFrame:

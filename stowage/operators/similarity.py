@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from stowage.functions.buckets import size_bucket
 from stowage.operators.components import connected_components
-from stowage.operators.skew import HOT_ROWS, guard, join_spread, pick_first, with_group
+from stowage.operators.skew import pick_first, with_group
 from stowage.session import materialize
 
 SKETCH = ["s0", "s1", "s2", "s3"]
 PAIR_GROUP = 24      # members of an index item that are compared directly
 TILE = 2_000         # members per tile of a large index item
+RANKED_ITEMS = 1_000_000  # items of one project that are ranked in one task, at most
 PIVOT_ROUNDS = 4
 SLACK = 1e-9         # widens the filters against rounding; the exact test decides
 
@@ -68,43 +69,38 @@ def signatures(projects: DataFrame, items: DataFrame, blocking: bool = True) ->
     return keyed.join(facts, "project_key", "left").fillna(filled)
 
 
-def collapse_equal(sigs: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def collapse_equal(sigs: DataFrame) -> DataFrame:
     """Adds ``twin``: the first project with the same items (itself when there is no other).
 
     Projects without items are alike to nothing, not even to each other.
     """
     full, empty = sigs.filter("n > 0"), sigs.filter("n = 0")
-    marked = with_group(full, ["block", "n", "h1", "h2"], {"twin": F.min("project_key")}, hot_rows)
+    marked = with_group(full, ["block", "n", "h1", "h2"], {"twin": F.min("project_key")})
     return marked.unionByName(empty.withColumn("twin", F.col("project_key")))
 
 
-def _prefix_index(reps: DataFrame, items: DataFrame, t: float, hot_rows: int | None) -> DataFrame:
+def _prefix_index(reps: DataFrame, items: DataFrame, t: float) -> DataFrame:
     """``(token, project_key, n, sketch)`` for the rare-first prefix of every representative.
 
     A project with very many items enters with all of its shared ones: a
     longer prefix is still exact, and nothing has to rank it in one task.
     """
-    big = None
-    if hot_rows is not None:
-        big = reps.filter(F.col("n") > hot_rows).select("project_key")
-        big = big if big.limit(1).count() else None
     facts = reps.select("project_key", "block", "n", *SKETCH)
-    rows = join_spread(items, facts, ["project_key"], "inner", None, big)
+    rows = items.join(facts, "project_key")
     # Two items with one token only add candidates, which the exact count then refuses.
     token = F.xxhash64("block.rule_id", "block.bucket", "item")
     rows = rows.select("project_key", "n", *SKETCH, token.alias("token"))
-    shared = with_group(rows, ["token"], {"df": F.count("*")}, hot_rows).filter("df > 1")
+    shared = materialize(with_group(rows, ["token"], {"df": F.count("*")}).filter("df > 1"), "shared")
     # Items nobody else has come first in the ranking, so they shorten what is left to take.
-    shared = with_group(shared, ["project_key"], {"n_shared": F.count("*")}, hot_rows)
+    shared = with_group(shared, ["project_key"], {"n_shared": F.count("*")})
     prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - SLACK) + 1
     left = prefix - (F.col("n") - F.col("n_shared"))
     shared = shared.filter(left > 0).withColumn("_left", left)
-    normal = shared if hot_rows is None else shared.filter(F.col("n") <= hot_rows)
+    normal = shared.filter(F.col("n") <= RANKED_ITEMS)
     order = Window.partitionBy("project_key").orderBy("df", "token")
     index = normal.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= F.col("_left")).drop("_at")
-    if hot_rows is not None:
-        index = index.unionByName(shared.filter(F.col("n") > hot_rows))
-    return index.select("token", "project_key", "n", *SKETCH)
+    return materialize(index.unionByName(shared.filter(F.col("n") > RANKED_ITEMS)).select(
+        "token", "project_key", "n", *SKETCH), "prefixes")
 
 
 def _could_match(t: float, a: str = "a", b: str = "b") -> Column:
@@ -151,14 +147,13 @@ def _tiled_pairs(index: DataFrame, t: float) -> DataFrame:
     return _pairs_of(joined, t)
 
 
-def verify(pairs: DataFrame, items: DataFrame, t: float, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def verify(pairs: DataFrame, items: DataFrame, t: float) -> DataFrame:
     """Candidate pairs whose exact similarity reaches ``t``, with that similarity."""
-    guarded = guard(items, hot_rows)
     mine = items.withColumnRenamed("project_key", "b")
-    reached = join_spread(mine, pairs.select("a", "b"), ["b"], "inner", guarded)
+    reached = mine.join(pairs.select("a", "b"), "b")
     theirs = items.withColumnRenamed("project_key", "a")
     # One row of ``theirs`` per key; ``reached`` repeats a key once per partner of a pivot.
-    shared = join_spread(reached, theirs, ["a", "item"], "inner", guarded)
+    shared = reached.join(theirs, ["a", "item"])
     counts = shared.groupBy("a", "b").agg(F.count("*").alias("shared"))
     scored = pairs.join(counts, ["a", "b"]).withColumn("similarity", jaccard(F.col("shared"), F.col("na"), F.col("nb")))
     return scored.filter(F.col("similarity") >= F.lit(t)).select("a", "b", "similarity")
@@ -166,40 +161,38 @@ def verify(pairs: DataFrame, items: DataFrame, t: float, hot_rows: int | None =
 
 def similar_groups(
     projects: DataFrame, items: DataFrame, threshold: float = 0.9, blocking: bool = True,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``(project_key, component)``: the transitive groups of similar projects, singletons included.
 
     ``items`` must be a stored table.
     """
     t = threshold or 0.9
-    hot_rows = guard(items, hot_rows)
-    sigs = materialize(collapse_equal(signatures(projects, items, blocking), hot_rows), "signatures")
+    sigs = materialize(collapse_equal(signatures(projects, items, blocking)), "signatures")
     reps = sigs.filter("project_key = twin and n > 0")
     index = materialize(
-        with_group(_prefix_index(reps, items, t, hot_rows), ["token"], {"members": F.count("*")}, hot_rows)
+        with_group(_prefix_index(reps, items, t), ["token"], {"members": F.count("*")})
         .filter("members > 1"), "index")
-    found = materialize(verify(_direct_pairs(index, t), items, t, hot_rows).select("a", "b"), "pairs")
+    found = materialize(verify(_direct_pairs(index, t), items, t).select("a", "b"), "pairs")
     crowded = index.filter(F.col("members") > PAIR_GROUP)
     if crowded.limit(1).count():
-        found = _crowded_edges(crowded, found, items, t, hot_rows)
+        found = _crowded_edges(crowded, found, items, t)
     twins = sigs.filter("project_key <> twin").select(F.col("twin").alias("a"), F.col("project_key").alias("b"))
     edges = found.unionByName(twins)
     nodes = sigs.select(F.col("project_key").alias("node"))
-    groups = connected_components(edges, nodes, hot_rows)
+    groups = connected_components(edges, nodes)
     return groups.withColumnRenamed("node", "project_key")
 
 
-def _labelled(rows: DataFrame, edges: DataFrame, hot_rows: int | None) -> DataFrame:
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Index rows with the component of their project, without items that need no more comparing."""
-    labels = connected_components(edges, None, hot_rows).withColumnRenamed("node", "project_key")
+    labels = connected_components(edges, None).withColumnRenamed("node", "project_key")
     tagged = rows.join(labels, "project_key", "left").withColumn("comp", F.coalesce("component", "project_key"))
-    spans = with_group(tagged.drop("component"), ["token"], {"lo": F.min("comp"), "hi": F.max("comp")}, hot_rows)
+    spans = with_group(tagged.drop("component"), ["token"], {"lo": F.min("comp"), "hi": F.max("comp")})
     return spans.filter("lo <> hi").drop("lo", "hi")
 
 
 def _crowded_edges(
-    crowded: DataFrame, found: DataFrame, items: DataFrame, t: float, hot_rows: int | None,
+    crowded: DataFrame, found: DataFrame, items: DataFrame, t: float,
 ) -> DataFrame:
     """Similar pairs inside index items with many members, as far as grouping needs them."""
     edges = found
@@ -208,23 +201,22 @@ def _crowded_edges(
         side = F.struct("project_key", "n", *SKETCH)
         marked = materialize(pick_first(
             rows.select("token", "project_key", "n", *SKETCH, "members"), ["token"],
-            [F.col("project_key")], {"pivot": side}, hot_rows), "pivots")
+            [F.col("project_key")], {"pivot": side}), "pivots")
         stars = marked.filter("not is_winner").select(F.col("pivot").alias("a"), side.alias("b"))
-        good = verify(_pairs_of(stars, t), items, t, hot_rows).select("a", "b")
+        good = verify(_pairs_of(stars, t), items, t).select("a", "b")
         edges = materialize(edges.unionByName(good), "pairs")
         # A pivot has met every member of its item; it needs no further look there.
         rest = marked.filter("not is_winner").drop("is_winner", "pivot")
-        rows = materialize(_labelled(rest, edges, hot_rows), "open")
+        rows = materialize(_labelled(rest, edges), "open")
         if rows.limit(1).count() == 0:
             return edges
-    sized = with_group(rows.drop("members"), ["token"], {"members": F.count("*")}, hot_rows)
-    last = verify(_tiled_pairs(sized, t), items, t, hot_rows).select("a", "b")
+    sized = with_group(rows.drop("members"), ["token"], {"members": F.count("*")})
+    last = verify(_tiled_pairs(sized, t), items, t).select("a", "b")
     return edges.unionByName(last)
 
 
 def similar_pairs(
     projects: DataFrame, items: DataFrame, threshold: float = 0.9, blocking: bool = True,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All similar pairs ``(a, b, similarity)``, equal projects included.
 
@@ -232,8 +224,7 @@ def similar_pairs(
     ``similar_groups`` where only the groups matter.
     """
     t = threshold or 0.9
-    hot_rows = guard(items, hot_rows)
     sigs = materialize(signatures(projects, items, blocking), "signatures").filter("n > 0")
-    index = with_group(_prefix_index(sigs, items, t, hot_rows), ["token"], {"members": F.count("*")}, hot_rows)
+    index = with_group(_prefix_index(sigs, items, t), ["token"], {"members": F.count("*")})
     rows = materialize(index.filter("members > 1").withColumn("comp", F.col("project_key")), "index")
-    return verify(_tiled_pairs(rows, t), items, t, hot_rows)
+    return verify(_tiled_pairs(rows, t), items, t)

@@ -1,14 +1,10 @@
 """Grouping and joining when one key may hold a large part of all rows.
 
-A group of more than ``hot_rows`` rows is *hot*. There are at most
-``rows / hot_rows`` of them, so their keys fit a broadcast whatever the data
-size; the bound is checked, and ``hot_rows`` is raised until it holds. Hot
-groups are never sent to one task: they are reduced with map-side combined
-aggregates and matched by broadcasting one row per hot key. All other groups
-take the usual single shuffle.
-
-``hot_rows=None`` says the caller already knows that the input is smaller than
-one hot group, which saves the counting job.
+The plan is the same at every size. A group's totals are aggregates that map
+tasks combine, so no key is hot there: the shuffle carries one row per key and
+task. They are joined back on the key, and an oversized part of the large side
+is split while the query runs (adaptive skew joins), as the other side has one
+row per key. Nothing is counted or collected beforehand.
 """
 
 from __future__ import annotations
@@ -20,142 +16,47 @@ from pyspark.sql import functions as F
 
 from stowage.session import materialize
 
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 20_000
-
-
-def guard(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> int | None:
-    """``None`` when the whole of ``df`` is too small to hold a hot group."""
-    if hot_rows is None or df.count() <= hot_rows:
-        return None
-    return hot_rows
-
-
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
-    """Keys of the hot groups with their row counts (``hot_count``), or None."""
-    if guard(df, hot_rows) is None:
-        return None
-    counts = df.groupBy(*keys).agg(F.count("*").alias("hot_count"))
-    while True:
-        rows = counts.filter(F.col("hot_count") > hot_rows).limit(MAX_HOT_KEYS + 1).collect()
-        if not rows:
-            return None
-        if len(rows) <= MAX_HOT_KEYS:
-            return df.sparkSession.createDataFrame(rows, counts.schema)
-        hot_rows *= 4
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def split_hot(df: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the ordinary groups, rows of the hot groups. Both sides are map-side filters."""
-    if hot is None:
-        return df, None
-    marks = F.broadcast(hot.select(*keys))
-    on = same_keys(df, marks, keys)
-    return df.join(marks, on, "left_anti"), df.join(marks, on, "left_semi")
 
-
-def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Map-side join on ``keys`` (nulls match); ``small`` holds one row per hot key."""
+def join_keys(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys match; the keys come from ``big``."""
     renamed = small.select(*[F.col(k).alias(f"_{k}") for k in keys],
                            *[c for c in small.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [big[k].eqNullSafe(renamed[f"_{k}"]) for k in keys])
-    return big.join(F.broadcast(renamed), on, how).drop(*[f"_{k}" for k in keys])
+    return big.join(renamed, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def with_group(
-    df: DataFrame, keys: list[str], totals: dict[str, Column], hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
-    """Add aggregates of each row's group to the row."""
-    cold, hot = split_hot(df, keys, hot_groups(df, keys, hot_rows))
-    window = Window.partitionBy(*keys)
-    out = cold.select("*", *[total.over(window).alias(name) for name, total in totals.items()])
-    if hot is None:
-        return out
-    sums = hot.groupBy(*keys).agg(*[total.alias(name) for name, total in totals.items()])
-    return out.unionByName(attach(hot, sums, keys))
+def with_group(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each row's group to the row. ``df`` is read twice."""
+    return join_keys(df, df.groupBy(*keys).agg(*[total.alias(name) for name, total in totals.items()]), keys)
 
 
-def pick_first(
-    df: DataFrame, keys: list[str], order: list[Column], carry: dict[str, Column],
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+def pick_first(df: DataFrame, keys: list[str], order: list[Column], carry: dict[str, Column]) -> DataFrame:
     """Mark the first row of each group and give every row the winner's ``carry`` values.
 
     Adds ``is_winner`` and one column per ``carry`` item. ``order`` must tell
-    the rows of one group apart.
+    the rows of one group apart. ``df`` is read twice.
     """
-    cold, hot = split_hot(df, keys, hot_groups(df, keys, hot_rows))
-    window = Window.partitionBy(*keys).orderBy(*order)
-    out = cold.select(
-        "*",
-        (F.row_number().over(window) == 1).alias("is_winner"),
-        *[F.first(value).over(window).alias(name) for name, value in carry.items()],
-    )
-    if hot is None:
-        return out
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    best = hot.groupBy(*keys).agg(F.min(F.struct(
+    best = df.groupBy(*keys).agg(F.min(F.struct(
         rank.alias("_rank"), *[value.alias(name) for name, value in carry.items()],
     )).alias("_best"))
-    marked = attach(hot, best, keys).select(
-        *df.columns, (rank == F.col("_best._rank")).alias("is_winner"), *[f"_best.{n}" for n in carry],
-    )
-    return out.unionByName(marked)
-
-
-def join_spread(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-    hot_rows: int | None = HOT_ROWS, hot: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join where one key may hold much of ``big`` and ``small`` has few rows per key.
-
-    Hot rows of ``big`` stay where they are and meet a broadcast of the few
-    matching rows of ``small``. Supports inner, left, left_semi and left_anti.
-    """
-    hot = hot if hot is not None else hot_groups(big, keys, hot_rows)
-    cold, warm = split_hot(big, keys, hot)
-    out = cold.join(small, keys, how)
-    if warm is None:
-        return out
-    few = small.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-    return out.unionByName(warm.join(F.broadcast(few), keys, how))
-
-
-SMALL_ROWS = 10_000
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", hot_rows: int | None = HOT_ROWS,
-               limit: int = SMALL_ROWS) -> DataFrame:
-    """Join with a table that is usually tiny: broadcast once its size is checked, else spread."""
-    if small.limit(limit + 1).count() <= limit:
-        return attach(big, small, keys, how)
-    return join_spread(big, small, keys, how, hot_rows)
+    return join_keys(df, best, keys).select(
+        *df.columns, (rank == F.col("_best._rank")).alias("is_winner"), *[f"_best.{n}" for n in carry])
 
 
-def running_count(
-    df: DataFrame, key: str, order: list[str], flag: Column, name: str, hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str) -> DataFrame:
     """Add how many rows of the same key up to this one (in ``order``) satisfy ``flag``.
 
-    A hot key is cut into ranges of the order: ranges are counted apart, and
-    the totals of the ranges before are added.
+    Rows are dealt by range of (key, order), so that one key may fill many
+    tasks: ranges are counted apart, and the totals of the ranges before are
+    added. Those totals are one row per key and range.
     """
-    up_to_here = (Window.unboundedPreceding, Window.currentRow)
     one = F.when(flag, 1).otherwise(0)
-    cold, hot = split_hot(df, [key], hot_groups(df, [key], hot_rows))
-    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(*up_to_here)
-    out = cold.withColumn(name, F.sum(one).over(whole))
-    if hot is None:
-        return out
     # Stored, so that the number of a range cannot change between its two uses.
-    cut = materialize(hot.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    cut = materialize(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = cut.groupBy(key, "_range").agg(F.sum(one).alias("_n"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(*up_to_here)
-    counted = cut.withColumn("_own", F.sum(one).over(inside)).join(totals, [key, "_range"])
-    return out.unionByName(counted.withColumn(name, F.col("_own") + F.col("_before")).select(*out.columns))
+    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = join_keys(cut.withColumn("_own", F.sum(one).over(inside)), totals, [key, "_range"])
+    return counted.withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)

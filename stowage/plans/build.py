@@ -16,7 +16,7 @@ from stowage.operators.projects import (
 from stowage.operators.reports import plan_totals, rule_stats
 from stowage.operators.rules import ProjectSettings
 from stowage.operators.similarity import similar_groups
-from stowage.operators.skew import HOT_ROWS, guard, join_spread, pick_first
+from stowage.operators.skew import pick_first
 from stowage.schemas import ENTRY
 from stowage.session import materialize
 from stowage.sources.inventory import ScanSource
@@ -34,7 +34,6 @@ class PlanOptions:
     projects: ProjectSettings = field(default_factory=ProjectSettings)
     blocking: bool = True
     order: tuple[str, ...] = ORDER
-    hot_rows: int | None = HOT_ROWS
 
     def __post_init__(self):
         for value, allowed in ((self.layout, LAYOUTS), (self.tie_break, TIE_BREAKS), (self.dest_mode, DEST_MODES)):
@@ -92,13 +91,13 @@ def project_order(tie_break: str) -> list[Column]:
 
 
 def choose_projects(
-    projects: DataFrame, groups: DataFrame, tie_break: str, hot_rows: int | None = HOT_ROWS,
+    projects: DataFrame, groups: DataFrame, tie_break: str,
 ) -> DataFrame:
     """Mark the project to keep in each group and tell the others which one that is."""
     grouped = projects.join(groups, "project_key")
     return pick_first(grouped, ["component"], project_order(tie_break), {
         "winner_root": F.col("folder"), "winner_drive": F.col("drive_name"), "winner_rule": F.col("rule_name"),
-    }, hot_rows)
+    })
 
 
 def shape_entries(df: DataFrame, **columns: Column) -> DataFrame:
@@ -117,16 +116,12 @@ def _uuid(df: DataFrame) -> Column:
 
 
 def project_entries(
-    tagged: DataFrame, chosen: DataFrame, layout: str, hot_rows: int | None = HOT_ROWS,
+    tagged: DataFrame, chosen: DataFrame, layout: str,
 ) -> DataFrame:
     """Entries of all files inside projects: copied with the kept ones, skipped with the others."""
     facts = chosen.select("project_key", "project_id", F.col("folder").alias("p_root"), "rule_name", "is_winner",
                           "winner_root", "winner_drive")
-    hot = None
-    if hot_rows is not None:
-        hot = chosen.filter(F.col("file_count") > hot_rows).select("project_key")
-        hot = hot if hot.limit(1).count() else None
-    files = join_spread(tagged, facts, ["project_key"], "inner", None, hot)
+    files = tagged.join(facts, "project_key")
     keep, lose = F.col("is_winner"), ~F.col("is_winner")
     return shape_entries(
         files,
@@ -142,10 +137,9 @@ def project_entries(
 
 def file_entries(
     loose: DataFrame, tie_break: str, layout: str, order: tuple[str, ...] = ORDER,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Entries of files outside projects: one copy of each stays, the others name it."""
-    marked = dedupe_files(loose, tie_break, order, hot_rows)
+    marked = dedupe_files(loose, tie_break, order)
     keep = F.col("is_winner")
     return shape_entries(
         marked,
@@ -180,25 +174,25 @@ def build_plan(
     roots do not overlap, loose files are told apart while the files are read;
     otherwise a path claimed by a project in any scan is excluded by a join.
     """
-    settings, hot_rows = options.projects, guard(files, options.hot_rows)
+    settings = options.projects
     chosen = None
     loose, parts = files, []
     if settings.enabled:
         own = materialize(own_folders(files, settings.rules, options.order[-1]), "folders")
-        projects = materialize(detect_projects(own, settings, hot_rows), "projects")
-        holders = materialize(folder_projects(own, projects, hot_rows), "holders")
-        tagged = tag_files(files, holders, "inner", hot_rows)
+        projects = materialize(detect_projects(own, settings), "projects")
+        holders = materialize(folder_projects(own, projects), "holders")
+        tagged = tag_files(files, holders, "inner")
         items = materialize(signature_items(tagged, settings.opaque), "items")
-        groups = similar_groups(projects, items, settings.effective_threshold, options.blocking, hot_rows)
-        chosen = materialize(choose_projects(projects, groups, options.tie_break, hot_rows), "chosen")
-        parts.append(project_entries(tagged, chosen, options.layout, hot_rows))
+        groups = similar_groups(projects, items, settings.effective_threshold, options.blocking)
+        chosen = materialize(choose_projects(projects, groups, options.tie_break), "chosen")
+        parts.append(project_entries(tagged, chosen, options.layout))
         if sources is None or roots_overlap(sources):
             claimed = tagged.select("path").distinct()
             loose = files.join(claimed, "path", "left_anti")
         else:
             nowhere = files.filter("path is null or path = ''")
-            loose = tag_files(files, holders, "left_anti", hot_rows).select(files.columns).unionByName(nowhere)
-    parts.insert(0, file_entries(loose, options.tie_break, options.layout, options.order, hot_rows))
+            loose = tag_files(files, holders, "left_anti").select(files.columns).unionByName(nowhere)
+    parts.insert(0, file_entries(loose, options.tie_break, options.layout, options.order))
     if errors is not None:
         parts.append(error_entries(errors))
     entries = parts[0]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from stowage.functions.names import base_name
 from stowage.operators.dedup import TIE_BREAKS, first_in_batch
 from stowage.operators.reports import recompute_totals
-from stowage.operators.skew import HOT_ROWS, join_spread
 from stowage.plans.build import DEST_MODES, LAYOUTS, shape_entries
 from stowage.schemas import ENTRY, STATUSES
 
@@ -64,7 +63,7 @@ class Added:
                 "total": recompute_totals(self.entries).first().total_files}
 
 
-def plan_add(entries: DataFrame, incoming: DataFrame, order: list[str], hot_rows: int | None = HOT_ROWS) -> Added:
+def plan_add(entries: DataFrame, incoming: DataFrame, order: list[str]) -> Added:
     """Append files that the plan does not hold yet; within the batch the first mention counts.
 
     Rows without a path are ignored and not counted as skipped.
@@ -72,7 +71,7 @@ def plan_add(entries: DataFrame, incoming: DataFrame, order: list[str], hot_rows
     named = incoming.filter("src_path is not null and src_path <> ''")
     first = first_in_batch(named, "src_path", order)
     new = first.join(entries.select("src_path"), "src_path", "left_anti")
-    known = join_spread(named, entries.select("src_path").distinct(), ["src_path"], "left_semi", hot_rows)
+    known = named.join(entries.select("src_path"), "src_path", "left_semi")
     repeated = named.groupBy("src_path").agg((F.count("*") - 1).alias("n")).filter("n > 0").join(
         entries.select("src_path"), "src_path", "left_anti")
     skipped = known.select("src_path").unionByName(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stowage.functions.names import base_name, drive_key, rebase_path, sanitize_for_path, volume_of
 from stowage.operators.flat_names import resolve_flat_names
 from stowage.operators.reports import bytes_if, bytes_of
-from stowage.operators.skew import HOT_ROWS, join_small, pick_first
+from stowage.operators.skew import join_keys, pick_first
 
 FREE_MARGIN = 1024 ** 3
 
@@ -81,22 +81,22 @@ def match_mounts(groups: DataFrame, mounts: DataFrame) -> DataFrame:
     ).withColumn("needs_swap", F.col("mount_path").isNull())
 
 
-def current_sources(entries: DataFrame, matched: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def current_sources(entries: DataFrame, matched: DataFrame) -> DataFrame:
     """Adds ``src_now``, where the source file is today given where its drive is mounted, and ``needs_swap``."""
     tagged = entries.withColumn("group_key", drive_key())
     places = matched.select("group_key", F.col("drive_name").alias("_drive"), "mount_path")
-    joined = join_small(tagged, places, ["group_key"], "left", hot_rows)
+    joined = join_keys(tagged, places, ["group_key"], "left")
     moved = F.col("mount_path").isNotNull() & (F.col("group_key") != "internal") & F.col("_drive").isNotNull()
     now = F.when(moved, rebase_path("src_path", "_drive", "mount_path")).otherwise(F.col("src_path"))
     swap = F.col("mount_path").isNull() & (F.col("group_key") != "internal")
     return joined.withColumn("src_now", now).withColumn("needs_swap", swap).drop("_drive", "mount_path")
 
 
-def verify_sources(entries: DataFrame, live: DataFrame, mounts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def verify_sources(entries: DataFrame, live: DataFrame, mounts: DataFrame) -> DataFrame:
     """Pending entries with ``check``: ok, missing, or offline when the volume is not mounted."""
     tagged = pending_only(entries).withColumn("_volume", volume_of("src_path", needs_child=False))
     volumes = mounts.select(F.col("path").alias("_volume")).distinct().withColumn("_mounted", F.lit(True))
-    tagged = join_small(tagged, volumes, ["_volume"], "left", hot_rows)
+    tagged = join_keys(tagged, volumes, ["_volume"], "left")
     present = live.select(F.col("path").alias("src_path")).distinct().withColumn("_live", F.lit(True))
     joined = tagged.join(present, "src_path", "left")
     check = (F.when(F.col("_volume").isNotNull() & F.col("_mounted").isNull(), F.lit("offline"))
@@ -154,16 +154,15 @@ def mirrored_path() -> Column:
     return F.coalesce(F.nullif("dst_rel_path", F.lit("")), F.concat(drive, F.lit("/"), name))
 
 
-def in_run_order(entries: DataFrame, order: str = "ord", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def in_run_order(entries: DataFrame, order: str = "ord") -> DataFrame:
     """Adds ``group_ord``: entries are copied drive by drive, drives in the order they turn up."""
     tagged = entries.withColumn("group_key", drive_key())
     firsts = tagged.groupBy("group_key").agg(F.min(order).alias("group_ord"))
-    return join_small(tagged, firsts, ["group_key"], "left", hot_rows).drop("group_key")
+    return join_keys(tagged, firsts, ["group_key"], "left").drop("group_key")
 
 
 def resolve_destinations(
-    entries: DataFrame, destination: str, layout: str, existing: DataFrame, order: str = "ord",
-    hot_rows: int | None = HOT_ROWS, live: DataFrame | None = None, source: str = "src_path",
+    entries: DataFrame, destination: str, layout: str, existing: DataFrame, order: str = "ord", live: DataFrame | None = None, source: str = "src_path",
 ) -> DataFrame:
     """Adds ``dst_path`` to pending entries. ``existing`` lists full paths at the destination.
 
@@ -177,20 +176,20 @@ def resolve_destinations(
         there = live.select(F.col("path").alias(source)).distinct()
         ready = F.lit(True) if "needs_swap" not in rows.columns else ~F.coalesce("needs_swap", F.lit(False))
         named = resolve_destinations(
-            rows.filter(ready).join(there, source, "left_semi"), destination, layout, existing, order, hot_rows)
+            rows.filter(ready).join(there, source, "left_semi"), destination, layout, existing, order)
         rest = rows.filter(~ready).unionByName(rows.filter(ready).join(there, source, "left_anti"))
         return named.unionByName(rest.withColumn("dst_path", F.lit(None).cast("string")).select(named.columns))
     if layout != "flat":
         return rows.withColumn("dst_path", F.concat(F.lit(root + "/"), mirrored_path()))
     direct = existing.filter(F.startswith("path", F.lit(root + "/"))).select(
         F.substr("path", F.lit(len(root) + 2)).alias("name")).filter("name not like '%/%'")
-    named = resolve_flat_names(in_run_order(rows, order, hot_rows), direct, ["group_ord", order], hot_rows)
+    named = resolve_flat_names(in_run_order(rows, order), direct, ["group_ord", order])
     return named.withColumn("dst_path", F.concat(F.lit(root + "/"), F.col("dst_name"))).drop("dst_name", "group_ord")
 
 
 def predict_outcomes(
     resolved: DataFrame, live: DataFrame, existing: DataFrame, destination: str, dest_mode: str,
-    order: str = "ord", source: str = "src_path", hot_rows: int | None = HOT_ROWS, protected: list[str] = (),
+    order: str = "ord", source: str = "src_path", protected: list[str] = (),
 ) -> DataFrame:
     """Adds the status a run would give each entry (``predicted``) and why (``reason``).
 
@@ -206,7 +205,7 @@ def predict_outcomes(
     joined = resolved.join(present, source, "left").join(there, "dst_path", "left")
     away = F.coalesce("needs_swap", F.lit(False)) if "needs_swap" in resolved.columns else F.lit(False)
     read = F.col("_live").isNotNull() & ~away
-    readable = pick_first(joined.filter(read), ["dst_path"], [F.col(order)], {}, hot_rows)
+    readable = pick_first(joined.filter(read), ["dst_path"], [F.col(order)], {})
     unread = joined.filter(~read).withColumn("is_winner", F.lit(True))
     exists = F.col("_there").isNotNull() | ~F.col("is_winner")
     unsafe = F.rtrim("dst_path", F.lit("/")) == destination.rstrip("/")

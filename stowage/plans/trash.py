@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stowage.functions.names import volume_of
 from stowage.operators.dedup import first_in_batch
 from stowage.operators.reports import bytes_of
-from stowage.operators.skew import join_small
+from stowage.operators.skew import join_keys
 
 # Retention windows in milliseconds; None keeps everything.
 WINDOWS = {"forever": None, "24h": 24 * 3600 * 1000, "30d": 30 * 24 * 3600 * 1000}
@@ -104,7 +104,7 @@ def reconcile_trash(
     entries = log.entries.withColumn("_volume", volume_of("path"))
     present = live.select(F.col("path")).distinct().withColumn("_live", F.lit(True))
     volumes = mounts.select(F.col("path").alias("_volume")).distinct().withColumn("_mounted", F.lit(True))
-    joined = join_small(entries.join(present, "path", "left"), volumes, ["_volume"], "left")
+    joined = join_keys(entries.join(present, "path", "left"), volumes, ["_volume"], "left")
     offline = F.col("_volume").isNotNull() & F.col("_mounted").isNull()
     outcome = (
         F.when(~kept, F.lit("pruned"))

@@ -12,7 +12,7 @@ from stowage.plans.build import PlanOptions, build_plan
 
 
 def detect(files, settings=ProjectSettings()):
-    found = P.detect_projects(P.own_folders(files, settings.rules), settings, None).collect()
+    found = P.detect_projects(P.own_folders(files, settings.rules), settings).collect()
     return {r.folder: r for r in found}
 
 
@@ -118,7 +118,7 @@ def test_plan_accounts_for_every_file(spark):
     b = drive(1, [("old/a.jpg", 5), ("code/app/more.c", 9)])
     errors = spark.createDataFrame([("/Volumes/D1/locked", "D1", "EACCES")], "path string, drive_name string, error string")
     for nested in (None, 10):
-        plan = build_plan(a.unionByName(b), PlanOptions(destination="/B", hot_rows=nested), errors=errors)
+        plan = build_plan(a.unionByName(b), PlanOptions(destination="/B"), errors=errors)
         rows = {r.src_path: r for r in plan.entries.collect()}
         assert len(rows) == 47
         assert rows["/Volumes/D0/code/app/f3.c"].status == "pending"

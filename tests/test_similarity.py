@@ -58,14 +58,14 @@ def sample(seed):
     return {f"p{i:03d}": (rng.choice("ab") if i > 12 else "a", max(1, len(s)), s) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("seed,threshold,hot_rows", [(1, 0.9, None), (2, 0.6, None), (3, 0.8, 12)])
-def test_groups_and_pairs(spark, seed, threshold, hot_rows):
+@pytest.mark.parametrize("seed,threshold", [(1, 0.9), (2, 0.6), (3, 0.8)])
+def test_groups_and_pairs(spark, seed, threshold):
     projects = sample(seed)
     want_pairs, want_groups = brute(projects, threshold)
     frame, items = tables(spark, projects)
-    got = similarity.similar_groups(frame, items, threshold, hot_rows=hot_rows)
+    got = similarity.similar_groups(frame, items, threshold)
     assert {r.project_key: r.component for r in got.collect()} == want_groups
-    pairs = similarity.similar_pairs(frame, items, threshold, hot_rows=hot_rows)
+    pairs = similarity.similar_pairs(frame, items, threshold)
     assert {(r.a, r.b) for r in pairs.collect()} == want_pairs
 
 
@@ -79,7 +79,7 @@ def test_crowded_items_go_through_pivots(spark, monkeypatch):
     projects = {f"p{i:03d}": ("a", 16, s) for i, s in enumerate(sets)}
     for threshold in (0.6, 0.85):
         frame, items = tables(spark, projects)
-        got = similarity.similar_groups(frame, items, threshold, hot_rows=30 if threshold > 0.8 else None)
+        got = similarity.similar_groups(frame, items, threshold)
         assert {r.project_key: r.component for r in got.collect()} == brute(projects, threshold)[1]
 
 
@@ -87,14 +87,13 @@ def test_zero_threshold_means_default_and_bucket_edges_block(spark):
     eleven = {f"i{n}" for n in range(11)}
     projects = {"a": ("r", 11, eleven), "b": ("r", 12, eleven | {"x"})}
     frame, items = tables(spark, projects)
-    groups = {r.project_key: r.component for r in similarity.similar_groups(frame, items, 0, hot_rows=None).collect()}
+    groups = {r.project_key: r.component for r in similarity.similar_groups(frame, items, 0).collect()}
     assert groups == {"a": "a", "b": "b"}
-    free = similarity.similar_groups(frame, items, 0, blocking=False, hot_rows=None)
+    free = similarity.similar_groups(frame, items, 0, blocking=False)
     assert {r.component for r in free.collect()} == {"a"}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 4])
-def test_components(spark, hot_rows):
+def test_components(spark):
     rng = random.Random(5)
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]
     star = [("z00", f"z{i:02d}") for i in range(1, 12)]
@@ -107,5 +106,5 @@ def test_components(spark, hot_rows):
             low = min(parent[a], parent[b])
             parent[a] = parent[b] = low
     table = spark.createDataFrame([(b, a) for a, b in edges], "a string, b string")
-    got = connected_components(table, spark.createDataFrame([(n,) for n in nodes], "node string"), hot_rows)
+    got = connected_components(table, spark.createDataFrame([(n,) for n in nodes], "node string"))
     assert {r.node: r.component for r in got.collect()} == parent
