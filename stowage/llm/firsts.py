@@ -28,7 +28,7 @@ from stowage.llm.tables import partitions
 from stowage.session import materialize
 
 FLUSH = 1 << 20  # blocks held by a task before it packs them
-BUCKETS = 16  # packing buckets per shuffle partition
+BUCKETS = 4  # packing buckets per shuffle partition: more are more evenly dealt, but make more and smaller records
 COUNTERS = 4096  # anchor counters a task hands on
 
 BLOCK, MARK, HOT, WINDOW = 0, 1, 2, 3
