@@ -28,7 +28,7 @@ from stowage.llm.tables import partitions
 from stowage.session import materialize
 
 FLUSH = 1 << 20  # blocks held by a task before it packs them
-BUCKETS = 4  # packing buckets per shuffle partition: more are more evenly dealt, but make more and smaller records
+BUCKETS = 16  # packing buckets per shuffle partition: more are dealt more evenly, but make more and smaller records
 COUNTERS = 4096  # anchor counters a task hands on
 
 BLOCK, MARK, HOT, WINDOW = 0, 1, 2, 3
@@ -228,10 +228,10 @@ def hot_anchors(texts: DataFrame, by_word: bool, k: int, width: int) -> np.ndarr
     return np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
-def block_spans(texts: DataFrame, by_word: bool, k: int, width: int) -> DataFrame:
+def block_spans(texts: DataFrame, by_word: bool, k: int, width: int, per_partition: int = BUCKETS) -> DataFrame:
     """Marked spans (``MARK``) and spans whose windows need a check (``BLOCK``, ``HOT``), stored."""
     hot = hot_anchors(texts, by_word, k, width)
-    buckets = BUCKETS * partitions(texts.sparkSession)
+    buckets = per_partition * partitions(texts.sparkSession)
 
     def pack(batches):
         for columns in _block_batches(batches, by_word, k, width):

@@ -23,13 +23,14 @@ from stowage.llm.tables import documents, partitions
 
 WIDTH = 20  # words of a window
 GRAM = 8  # words of an anchor
+BUCKETS = 4  # packing buckets per shuffle partition; there are few windows to check
 _SECOND = np.uint64(0xD1B54A32D192ED03)
 _SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
 
 def _factor_boundaries(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """Marks of single windows in blocks at factor boundaries."""
-    buckets = firsts.BUCKETS * partitions(texts.sparkSession)
+    buckets = BUCKETS * partitions(texts.sparkSession)
 
     def windows(batches):
         for batch in batches:
@@ -81,7 +82,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_t
     """
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     known = texts.filter("doc_id is not null")
-    spans = firsts.block_spans(known, True, gram, width)
+    spans = firsts.block_spans(known, True, gram, width, BUCKETS)
     repeats = spans.filter(F.col("kind") == firsts.MARK).unionByName(_factor_boundaries(known, spans, width))
 
     def finish(data, starts, counts):
