@@ -187,13 +187,14 @@ def _verified(shingles: np.ndarray, starts: np.ndarray, items: Items, base: int,
         yield items.ids[j], value, start, items.words, far
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in parts of bounded size: one, unless it is very large."""
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in parts of bounded size, one after another: one, unless it is very large."""
     rows = benchmark.select("item_id", "text").filter("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).first()[0]
     n = -(-total // BENCHMARK_BYTES)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    return [[(r.item_id, r.text) for r in rows.filter(part == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r.item_id, r.text) for r in rows.filter(part == i).collect()]
 
 
 def _scan(texts: list[str | None], known: Benchmark, similarity: float):
@@ -222,8 +223,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     ignored; empty tables give an empty result. The benchmark goes to the tasks
     in parts of at most ``BENCHMARK_BYTES``, each with a scan of its own.
     """
-    texts, out = docs.select("doc_id", "text"), None
-    for rows in _parts(benchmark) or [[]]:
+    texts = docs.select("doc_id", "text")
+    out = docs.sparkSession.createDataFrame([], _SCHEMA)
+    for rows in _parts(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, sent=sent):
@@ -236,8 +238,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
                         [batch.column("doc_id").take(pa.array(found[0])), *map(pa.array, found[1:], kinds)],
                         names=["doc_id", "item_id", "similarity", "start", "n_words", "distance"])
 
-        part = texts.mapInArrow(run, _SCHEMA)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(texts.mapInArrow(run, _SCHEMA))
     return out
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stowage.llm.tables import drawn
 from stowage.session import materialize
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
@@ -95,10 +96,10 @@ def _stack(batch: pa.RecordBatch) -> np.ndarray:
 
 def build(rows: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Codebooks | None, DataFrame]:
     """Codebooks from a bounded sample, and every row with its ``cell``, stored."""
-    drawn = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(sample).select("vector").collect()
-    if not drawn:
+    fitted = drawn(rows, sample, SEED, "vec_id").select("vector").collect()
+    if not fitted:
         return None, rows.withColumn("cell", F.lit(0))
-    x = np.array([r.vector for r in drawn])
+    x = np.array([r.vector for r in fitted])
     k = max(1, min(codes, len(x) // 4))
     cut = max(1, x.shape[1] // 2)
     books = Codebooks((_kmeans(x[:, :cut], k), _kmeans(x[:, cut:], k) if x.shape[1] > cut else np.zeros((1, 0))),

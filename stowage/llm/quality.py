@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.llm import runs
-from stowage.llm.tables import documents
+from stowage.llm.tables import documents, draw_share, drawn, enough_of
 from stowage.session import materialize
 
 LABELLED = 20_000  # labelled documents that the models are fitted and calibrated on, at most
 ROUNDS = 3
 EXCHANGED = 500  # pseudo-labels of each kind that a view hands on in a round, at most
 SURE = 0.95  # calibrated probability that makes a pseudo-label
+GRAIN = 1000  # steps of log odds that are counted to find the surest
 HELD_OUT = 0.25  # share of the labelled documents that only calibrate
 SOURCES, LANGUAGES = 16, 8  # hashed categories of the metadata
 SEED = 5
@@ -191,9 +192,38 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_inputs(docs)).mapInArrow(run, _FEATURES)
 
 
-def _sample(rows: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows, drawn by a hash of the id."""
-    return rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n)
+def _surest(scored: DataFrame, limit: float, n: int) -> dict[str, list]:
+    """For each view the ``n`` rows that it is surest of on either side of ``limit``, with their label ``y``.
+
+    Rows are counted by steps of log odds, of which there are some ten thousand
+    at most. What lies above the step that holds the n-th row is taken, of that
+    step a seeded draw of as many as are missing, so that very many equally
+    sure rows are neither sorted nor sent anywhere.
+    """
+    views = ("by_text", "by_page")
+    step = {v: F.floor(F.col(v) * GRAIN) for v in views}
+    both = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), step[v].alias("step"), (F.abs(v) >= limit).alias("sure"))
+                               for v in views]))
+    counts = scored.select(both.alias("s")).filter("s.sure").groupBy("s.view", "s.step").count().collect()
+    wanted, any_of = {}, F.lit(False)
+    for view in views:
+        for sign in (1, -1):
+            mine = sorted(((r.step, r["count"]) for r in counts if r.view == view and r.step * sign > 0),
+                          key=lambda c: -sign * c[0])
+            at, above = 0, 0
+            while at < len(mine) and above + mine[at][1] <= n:
+                above, at = above + mine[at][1], at + 1
+            taken = sign * F.col(view) >= limit
+            if at < len(mine):
+                border, many = mine[at]
+                share = enough_of(n - above, many)
+                taken = taken & ((sign * step[view] > sign * border) | (
+                    (step[view] == border) & (draw_share(F.lit(SEED), F.col("doc_id")) <= share)))
+            wanted[view, sign] = taken
+            any_of = any_of | taken
+    few = materialize(scored.filter(any_of), "sure")
+    return {view: [r for sign in (1, -1) for r in few.filter(wanted[view, sign]).withColumn("y", F.lit(float(sign > 0)))
+                   .orderBy(-sign * F.col(view), "doc_id").limit(n).collect()] for view in views}
 
 
 def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = materialize(views.join(marks, "doc_id"), "labelled")
-    rows = [r for y in (0.0, 1.0) for r in _sample(known.filter(F.col("y") == y), labelled // 2).collect()]
+    rows = [r for y in (0.0, 1.0) for r in drawn(
+        known.filter(F.col("y") == y), labelled // 2, SEED, "doc_id").collect()]
     y = np.array([r.y for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
@@ -238,11 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
                                           names=[*batch.schema.names, "by_text", "by_page"])
 
         scored = pool.mapInArrow(judged, _FEATURES + ", by_text double, by_page double")
-        given = {}
-        for view in ("by_text", "by_page"):
-            sure = [scored.filter(sign * F.col(view) >= limit).orderBy(-sign * F.col(view), "doc_id").limit(exchanged)
-                    .withColumn("y", F.lit(float(sign > 0))) for sign in (1, -1)]
-            given[view] = sure[0].unionByName(sure[1]).collect()
+        given = _surest(scored, limit, exchanged)
         # What one view is sure of, the other learns.
         by_page, by_text = given["by_page"], given["by_text"]
         learnt = []

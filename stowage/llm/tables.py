@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 from functools import wraps
@@ -42,6 +43,27 @@ def sizes(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw_share(*key: Column) -> Column:
+    """A number from 0 to 1 that grows with the hash of ``key``."""
+    return (F.shiftright(F.xxhash64(*key), 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
+
+
+def enough_of(wanted: int, total: int) -> float:
+    """Share of ``total`` hashed rows that holds ``wanted`` of them, but for one time in a thousand million."""
+    return min(1.0, (wanted + 8 * math.sqrt(wanted) + 32) / max(total, 1))
+
+
+def drawn(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """At most ``n`` rows: those with the smallest seeded hash of ``key``.
+
+    The hash is cut near the border first, by the number of rows, so that not
+    every task hands on ``n`` rows. ``rows`` should be a stored table.
+    """
+    hashed = (F.lit(seed), F.col(key))
+    few = materialize(rows.filter(draw_share(*hashed) <= enough_of(n, rows.count())), "drawn")
+    return few.orderBy(F.xxhash64(*hashed), key).limit(n)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each ``keys`` group from 0 in ``order``, without gaps.
 

@@ -115,3 +115,30 @@ def test_pipeline_stages(spark):
         docs = out
     final = corpus_pipeline.run(spark, sf)
     assert final.filter(F.col("shard").between(0, 7)).count() == final.count() > 0
+
+
+def test_drawn_rows_are_those_with_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from stowage.llm.tables import drawn
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    best = rows.orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(300)
+    assert {r.doc_id for r in drawn(rows, 300, 7, "doc_id").collect()} == {r.doc_id for r in best.collect()}
+    assert drawn(rows, 30_000, 7, "doc_id").count() == 20_000
+    assert drawn(rows.limit(0), 300, 7, "doc_id").count() == 0
+
+
+def test_the_surest_rows_by_view_and_side(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), 9.0 if i % 3 else -9.0) for i, a in enumerate(rng.normal(0, 4, 5_000))]
+    scored = spark.createDataFrame(rows, "doc_id long, by_text double, by_page double")
+    found = quality._surest(scored, 3.0, 200)
+    # Two hundred of each side; apart from the border step exactly the outermost.
+    for sign in (1, -1):
+        mine = [r.by_text * sign for r in found["by_text"] if r.y == (sign > 0)]
+        best = sorted((a * sign for _, a, _ in rows if a * sign >= 3.0), reverse=True)[:200]
+        assert len(mine) == 200 and np.allclose(sorted(mine, reverse=True), best, atol=2 / quality.GRAIN)
+    # Thousands that are equally sure: still two hundred of each side, by a seeded draw.
+    assert [sum(r.y == y for r in found["by_page"]) for y in (1.0, 0.0)] == [200, 200]
+    assert quality._surest(scored.filter("abs(by_text) < 3 and by_page is null"), 3.0, 200) == {"by_text": [], "by_page": []}
