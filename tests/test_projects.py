@@ -3,12 +3,12 @@ import re
 
 import pytest
 
-from conftest import tree
 from stowage.operators import projects as P
 from stowage.operators.rules import (
     BUILTIN_RULES, OPAQUE_NAMES, ProjectSettings, Rule, all_, any_, count, depth, dir, file, name, not_,
 )
 from stowage.plans.build import PlanOptions, build_plan
+from trees import tree
 
 
 def detect(files, settings=ProjectSettings()):
