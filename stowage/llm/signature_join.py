@@ -3,8 +3,10 @@
 Sets are joined exactly and never all with all:
 
 1. Equal sets become one class. Classes that agree in several minimum hashes
-   with the first class of those hashes are compared with it, so that dense
-   groups grow together through few comparisons.
+   with the lead of those hashes are compared with it, so that dense groups
+   grow together through few comparisons. The lead is the class whose rarest
+   shingles are the most common: what an edit brings in is rare, so that is
+   the one most others were made from.
 2. The shingles of each set are ordered rare first (by counts over all texts in
    a fixed number of buckets; any order gives the same links). Two similar sets
    share some of the first shingles of either. Such a shingle that meets sets
@@ -103,31 +105,33 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def sets(docs: DataFrame, counts: np.ndarray, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """One row per row of ``docs``: size and digest of its set, minimum hashes, first shingles, token bitmap."""
+    """One row per row of ``docs``: its set's size, digest, minimum hashes, first shingles, their commonness, bitmap."""
     known = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         order = known.value
         for batch in batches:
             data, offsets = runs.texts(batch)
-            columns: tuple[list, ...] = ([], [], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [], [])
             for a, z in zip(offsets, offsets[1:]):
                 h = shingle_hashes(data[a:z].tobytes(), shingle)
                 if not len(h):
-                    row = (0, None, None, None, None)
+                    row = (0, None, None, None, None, None)
                 else:
-                    rare = np.lexsort((h, order[(h & _MASK).astype(np.int64)]))[:first_shingles(len(h), similar)]
+                    often = order[(h & _MASK).astype(np.int64)]
+                    rare = np.lexsort((h, often))[:first_shingles(len(h), similar)]
                     row = (len(h), xxhash.xxh3_128_digest(h.tobytes()),
-                           [int(runs.mix(h ^ s).min()) >> 1 for s in _SEEDS[:KEYS]], h[rare].view(np.int64), bitmap(h))
+                           [int(runs.mix(h ^ s).min()) >> 1 for s in _SEEDS[:KEYS]], h[rare].view(np.int64),
+                           float(np.log(often[rare]).mean()), bitmap(h))
                 for column, value in zip(columns, row):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64(), pa.binary())
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_hash")] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["doc_id", "text_hash", "n", "set", "keys", "first", "bits"])
+                names=["doc_id", "text_hash", "n", "set", "keys", "first", "common", "bits"])
 
     return _texts(docs, F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, n long, set binary, keys array<long>, first array<long>, bits binary")
+        run, "doc_id long, text_hash long, n long, set binary, keys array<long>, first array<long>, common double, bits binary")
 
 
 # ---- verification ---------------------------------------------------------------------------------------------------
@@ -183,9 +187,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int
 
 
 def early_pairs(classes: DataFrame) -> DataFrame:
-    """Sets that agree in ``AGREE`` minimum hashes with the first set of each of them."""
-    keyed = classes.select("set", F.posexplode("keys").alias("place", "key"))
-    leads = keyed.groupBy("place", "key").agg(F.min("set").alias("lead"))
+    """Sets that agree in ``AGREE`` minimum hashes with the lead of each of them."""
+    keyed = classes.select("set", "common", F.posexplode("keys").alias("place", "key"))
+    leads = keyed.groupBy("place", "key").agg(F.max(F.struct("common", "set"))["set"].alias("lead"))
     return keyed.join(leads, ["place", "key"]).filter("set <> lead").groupBy("set", "lead").count().filter(
         F.col("count") >= AGREE).select(F.col("set").alias("a"), F.col("lead").alias("b"))
 
@@ -374,7 +378,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, in
     classes = materialize(full.groupBy("set").agg(
         F.first("n").alias("n"), F.min("doc_id").alias("low"),
         F.min(F.struct("doc_id", "text_hash")).alias("origin"),
-        F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
+        F.first("keys").alias("keys"), F.first("common").alias("common"), F.first("bits").alias("bits")), "classes")
     links = materialize(verified(docs, classes, early_pairs(classes), shingle, similar), "links")
     grown = materialize(_with_roots(classes, links), "grown")
     marked = grown.select("set", "n", "bits", F.xxhash64("set").alias("code"), F.xxhash64("root").alias("mark"))
