@@ -86,9 +86,10 @@ def bucket_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             data, offsets = runs.texts(batch)
-            for a, z in zip(offsets, offsets[1:]):
-                total += np.bincount((shingle_hashes(data[a:z].tobytes(), shingle) & _MASK).astype(np.int64),
-                                     minlength=BUCKETS)
+            for low, high in runs.packs(offsets):
+                found = [shingle_hashes(data[a:z].tobytes(), shingle) & _MASK
+                         for a, z in zip(offsets[low:high], offsets[low + 1:high + 1])]
+                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
