@@ -21,9 +21,10 @@ def _folder(spark, label):
 
 
 def written_scans(spark, sf_dir):
-    """Headers of one NDJSON scan for each drive; a broken line stands behind every record."""
+    """Headers of one NDJSON scan for each drive, in several files by path; a broken line stands behind every record."""
     folder = _folder(spark, "scans")
-    files = view(spark, sf_dir, "files_li")
+    files = view(spark, sf_dir, "files_li").repartitionByRange(16, "drive_name", "path").sortWithinPartitions(
+        "drive_name", "path")
     record = F.to_json(F.struct("name", "path", "size", "mtime", "ext"))
     lines = files.select("drive_name", F.explode(F.array(record, F.concat(F.lit("{"), record))).alias("value"))
     lines.write.partitionBy("drive_name").text(f"{folder}/records")
@@ -39,10 +40,11 @@ def written_scans(spark, sf_dir):
 
 
 @query("scans_from_ndjson", using("files_li", """
-select scan_order, drive_name, root, name, path, size, mtime, ext from files_li"""))
+select scan_order, drive_name, root, name, path, size, mtime, ext,
+  row_number() over (partition by scan_order order by path) - 1 as ord from files_li"""))
 def _(spark, sf_dir):
     files, _, _ = inventory.read_scans(spark, written_scans(spark, sf_dir))
-    return files.select("scan_order", "drive_name", "root", "name", "path", "size", "mtime", "ext")
+    return files.select("scan_order", "drive_name", "root", "name", "path", "size", "mtime", "ext", "ord")
 
 
 @query("scan_errors_from_ndjson", using("files_li", """

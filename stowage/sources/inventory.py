@@ -6,7 +6,7 @@ import posixpath
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,25 +15,77 @@ from stowage.operators.filters import hygiene, regular_files
 from stowage.schemas import INVENTORY, SCAN_ERROR, SCAN_HEADER
 from stowage.session import materialize
 
+
+def _variant_fields(line: str, schema: T.StructType) -> list[Column]:
+    return [F.try_variant_get(line, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
+
+
+def _records(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """One row per valid JSON line of ``text``, with its file, split and number within its task.
+
+    Each line is parsed once; the number of the raw line, which no optimizer
+    moves, keeps the filter behind the parse. Numbers count valid lines and
+    grow by one within a split.
+    """
+    parsed = text.select(
+        F.try_parse_json("value").alias("_json"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_raw"))
+    valid = parsed.filter("_json is not null and _raw >= 0")
+    return valid.select(
+        *_variant_fields("_json", schema), "source_file", "_block", F.monotonically_increasing_id().alias("_line"))
+
+
 def read_ndjson(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
     """One row per valid JSON line, with its place (``ord``) and file.
 
     Lines that are not JSON are dropped; a valid line with one field of the
     wrong type keeps the others.
     """
-    text = spark.read.text(paths)
-    placed = text.select(
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("ord"),
-    )
-    valid = placed.filter("value <> '' and try_parse_json(value) is not null")
-    return valid.select(F.from_json("value", schema).alias("r"), "source_file", "ord").select(
-        "r.*", "source_file", "ord")
+    place = F.struct(F.col("source_file").alias("file"), F.col("_block").alias("block"), F.col("_line").alias("line"))
+    return _records(spark.read.text(paths), schema).withColumn("ord", place).drop("_block", "_line")
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _path_key(path: str) -> str:
+    """The path without scheme, host and doubled slashes, as ``_file_key`` gives it for a file."""
+    key = re.sub("/+", "/", re.sub(_SCHEME, "", path))
+    if not key.startswith("/"):
+        raise ValueError(f"not an absolute path: {path}")
+    return key.rstrip("/")
+
+
+def _file_key(file: str) -> Column:
+    plain = F.try_url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(plain, F.col(file)), _SCHEME, ""), "/+", "/")
+
+
+def _keys_above(file: str) -> Column:
+    """Keys of a file and of all folders it lies in: a path the user names may be either."""
+    steps = F.split(_file_key(file), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+
+
+def _any_of(paths: list[str]) -> list[str]:
+    """Globs for those of the paths that are there, one for each file system.
+
+    Letters that have a meaning in globs are matched by any letter; the keys
+    of the files then tell them apart.
+    """
+    homes: dict[str, list[str]] = {}
+    for path in paths:
+        home = re.match(_SCHEME, path)
+        home = home[0] if home else ""
+        homes.setdefault(home, []).append(re.sub(r"[\\{}\[\]*,]", "?", path[len(home):].lstrip("/")))
+    # The slash in front makes the whole glob absolute.
+    return [home + "/{" + ",".join(dict.fromkeys(found)) + "}" for home, found in homes.items()]
+
+
+def _text_of(spark: SparkSession, paths: list[str], **options) -> DataFrame | None:
+    """One read of all the paths that are there, None if none is."""
+    there = [glob for glob in _any_of(paths) if _exists(spark, glob)]
+    return spark.read.text(there, **options) if there else None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -48,24 +100,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one scan; an unreadable file is an empty inventory."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], T.StructType(INVENTORY.fields + [
-            T.StructField("source_file", T.StringType()), T.StructField("ord", T.LongType())]))
-    return read_ndjson(spark, path, INVENTORY).withColumn("ord", _compact_ord(spark))
+    """Records of one scan, a file or a folder of parts; an unreadable one is an empty inventory."""
+    found = _in_line_order(spark, _text_of(spark, [path]), INVENTORY, [(_path_key(path), 0)], "key string, scan_order int")
+    return found.drop("scan_order")
 
 
-def _compact_ord(spark: SparkSession) -> Column:
-    """Line order of a scan kept in one file, as one long: split number above, line in the task below.
+def _in_line_order(spark: SparkSession, text: DataFrame | None, schema: T.StructType, owners: list, kind: str) -> DataFrame:
+    """Records with ``ord``, their place in their scan as a dense long, and the columns of their owner.
 
-    A long keeps the grouped minimum of detection in hash aggregation. Splits
-    of 64 KiB or more and fewer than 2^31 lines per task leave room for files
-    of 256 TB.
+    ``owners`` are rows of ``kind`` with ``key``, the path of a scan's file or
+    folder, and ``scan_order``; a file below two of them gives its rows to
+    both. The lines are read, parsed and stored once. Valid lines are counted
+    by split; a split's lines come behind those of the splits before it, a
+    scan's files in the order of their part numbers, then names. So ``ord`` is
+    the same for any size and packing of splits.
     """
-    limit = re.fullmatch(r"(\d+)b?", str(spark.conf.get("spark.sql.files.maxPartitionBytes")), re.I)
-    if limit and int(limit[1]) < 65_536:
-        raise ValueError("spark.sql.files.maxPartitionBytes must be 64 KiB or more")
-    return F.expr("shiftleft(shiftright(ord.block, 16), 31) | (ord.line & 2147483647)")
+    known = spark.createDataFrame(owners, kind)
+    tags = [c for c in known.columns if c != "key"]
+    if text is None:
+        return spark.createDataFrame([], T.StructType([
+            *schema.fields, T.StructField("source_file", T.StringType()), T.StructField("ord", T.LongType()),
+            *known.drop("key").schema.fields]))
+    stored = materialize(_records(text, schema), "lines")
+    splits = stored.groupBy("source_file", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
+    owned = splits.withColumn("key", F.explode(_keys_above("source_file"))).join(known, "key")
+    number = F.coalesce(F.expr(r"try_cast(regexp_extract(source_file, 'part-([0-9]+)[^/]*$', 1) as long)"), F.lit(-1))
+    before = Window.partitionBy("scan_order").orderBy(number, "source_file", "_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    places = owned.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    places = materialize(places.select("source_file", "_block", "_shift", *tags), "splits")
+    return stored.join(places, ["source_file", "_block"]).select(
+        *schema.names, "source_file", (F.col("_line") + F.col("_shift")).alias("ord"), *tags)
 
 
 @dataclass(frozen=True)
@@ -89,20 +154,24 @@ def scan_sources(spark: SparkSession, headers: list[str]) -> tuple[list[ScanSour
     """
     if len(set(headers)) != len(headers):
         raise ValueError("the same scan is listed twice")
+    text = _text_of(spark, headers, wholetext=True)
+    heads = {}
+    if text is not None:
+        places = spark.createDataFrame([(_path_key(h), n) for n, h in enumerate(headers)], "key string, place int")
+        parsed = text.filter("try_parse_json(value) is not null").select(
+            F.explode(_keys_above("_metadata.file_path")).alias("key"), "value").join(places, "key")
+        parsed = parsed.select("place", F.from_json("value", SCAN_HEADER).alias("h"))
+        unnamed = F.concat(F.lit("drive_"), F.col("place"))
+        fallback = sanitize_for_path(base_name(F.rtrim(F.coalesce("h.root", unnamed), F.lit("/"))))
+        rows = parsed.select("place", "h.*", F.coalesce(F.nullif("h.volumeName", F.lit("")), fallback).alias("drive"))
+        heads = {row.place: row for row in rows.collect()}
     found, warnings = [], []
     for place, header in enumerate(headers):
-        rows = []
-        if _exists(spark, header):
-            parsed = spark.read.text(header, wholetext=True).select(
-                F.from_json("value", SCAN_HEADER).alias("h"),
-                F.col("value").alias("_raw"),
-            ).filter("try_parse_json(_raw) is not null")
-            fallback = sanitize_for_path(base_name(F.rtrim(F.coalesce("h.root", F.lit(f"drive_{place}")), F.lit("/"))))
-            rows = parsed.select("h.*", F.coalesce(F.nullif("h.volumeName", F.lit("")), fallback).alias("drive")).collect()
-        if not rows:
+        head = heads.get(place)
+        if head is None:
             warnings.append(f"Missing scan {header}")
             continue
-        head, folder = rows[0], posixpath.dirname(header)
+        folder = posixpath.dirname(header)
         stem = posixpath.basename(header).replace(".header.json", "")
         found.append(ScanSource(
             scan=header, ndjson=posixpath.join(folder, head.ndjson or f"{stem}.ndjson"),
@@ -112,28 +181,28 @@ def scan_sources(spark: SparkSession, headers: list[str]) -> tuple[list[ScanSour
     return found, warnings
 
 
-def _tagged(df: DataFrame, source: ScanSource) -> DataFrame:
-    text = T.StringType()
-    return df.select(
-        "*", F.lit(source.scan_order).alias("scan_order"), F.lit(source.drive_name).alias("drive_name"),
-        F.lit(source.volume_uuid).cast(text).alias("volume_uuid"), F.lit(source.root).cast(text).alias("root"),
-    )
+_TAGS = "key string, scan_order int, drive_name string, volume_uuid string, root string"
+
+
+def _tags(source: ScanSource, path: str) -> tuple:
+    return _path_key(path), source.scan_order, source.drive_name, source.volume_uuid, source.root
 
 
 def read_scans(spark: SparkSession, headers: list[str]) -> tuple[DataFrame, list[ScanSource], list[str]]:
-    """Union of the listed scans, each record tagged with its scan's place, drive and root."""
+    """Records of the listed scans in one read, each tagged with its scan's place, drive and root.
+
+    A scan is one file or a folder of parts. Missing data is an empty scan.
+    The records are stored, so that ``ord`` is fixed.
+    """
     sources, warnings = scan_sources(spark, headers)
     if not sources:
         raise ValueError("no readable scan")
-    out = None
-    for source in sources:
-        part = _tagged(read_inventory(spark, source.ndjson), source)
-        out = part if out is None else out.unionByName(part)
-    return out, sources, warnings
+    text = _text_of(spark, [s.ndjson for s in sources])
+    return _in_line_order(spark, text, INVENTORY, [_tags(s, s.ndjson) for s in sources], _TAGS), sources, warnings
 
 
 def ingest(files: DataFrame, path: str) -> DataFrame:
-    """Store a scan union as Parquet by scan, so that ``ord`` is fixed and scans prune."""
+    """Store a scan union as Parquet by scan, where it stays and scans prune."""
     files.write.partitionBy("scan_order").parquet(path)
     return files.sparkSession.read.schema(files.schema).parquet(path)
 
@@ -143,13 +212,10 @@ def ingest_temporary(files: DataFrame) -> DataFrame:
 
 
 def read_errors(spark: SparkSession, sources: list[ScanSource]) -> DataFrame | None:
-    """Paths the scans could not read, or None when no scan names an error file."""
-    out = None
-    for source in sources:
-        if source.errors and _exists(spark, source.errors):
-            part = _tagged(read_ndjson(spark, source.errors, SCAN_ERROR), source)
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Paths the scans could not read, in one read, or None when no scan has an error file."""
+    named = [s for s in sources if s.errors]
+    text = _text_of(spark, [s.errors for s in named]) if named else None
+    return None if text is None else _in_line_order(spark, text, SCAN_ERROR, [_tags(s, s.errors) for s in named], _TAGS)
 
 
 def normalize_record(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

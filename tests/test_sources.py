@@ -22,7 +22,7 @@ def record(path, size=1, mtime=5):
 
 def scan(folder, stem, root, records, errors=None, **head):
     (folder / f"{stem}.ndjson").write_text("".join(json.dumps(r) + "\n" for r in records))
-    header = {"root": root, "ndjson": f"{stem}.ndjson", **head}
+    header = {"root": root, "ndjson": f"{stem}.ndjson"} | head
     if errors is not None:
         (folder / f"{stem}.errors.ndjson").write_text("".join(json.dumps(e) + "\n" for e in errors))
         header["errors"] = f"{stem}.errors.ndjson"
@@ -38,17 +38,53 @@ def test_bad_lines(spark, folder):
     assert inventory.read_inventory(spark, str(folder / "none.ndjson")).count() == 0
 
 
-def test_line_order_over_many_splits(spark, folder):
-    (folder / "big.ndjson").write_text("".join(json.dumps(record(f"/r/{i}.txt", i)) + "\n" for i in range(20000)))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
-    try:
-        files = inventory.read_inventory(spark, str(folder / "big.ndjson"))
-        assert files.rdd.getNumPartitions() > 4
-        stored = inventory.ingest_temporary(files)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert [r.size for r in stored.orderBy("ord").select("size").collect()] == list(range(20000))
+def test_line_order_over_many_splits_and_files(spark, folder):
+    """Places are dense, in the order of part numbers, whatever the size and packing of splits."""
+    (folder / "parts").mkdir()
+    n = 0
+    for part in (3, 20, 100):
+        lines = []
+        for _ in range(4000):
+            lines += [json.dumps(record(f"/r/{n}.txt", n)) + "\n", "{broken\n" * (n % 3), "\n" * (n % 2)]
+            n += 1
+        (folder / "parts" / f"part-{part}.ndjson").write_text("".join(lines))
+    (folder / "parts" / "first.ndjson").write_text(json.dumps(record("/r/x.txt", -1)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size, cost in (("100000", "100"), ("10000", "40000"), ("128m", "4m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            rows = inventory.read_inventory(spark, str(folder / "parts")).select("ord", "size").collect()
+        finally:
+            for key, value in old.items():
+                spark.conf.set(key, value)
+        assert sorted((r.ord, r.size) for r in rows) == [(i, i - 1) for i in range(n + 1)]
+
+
+def test_names_that_look_like_globs_or_escapes(spark, folder):
+    names = ["a b", "a+b", "100%", "a%20b", "{a,b}", "[ab]", "a*", "a?", "naïve"]
+    heads = [scan(folder, name, f"/Volumes/{n}", [record(f"/Volumes/{n}/x", n)]) for n, name in enumerate(names)]
+    files, sources, warnings = inventory.read_scans(spark, heads)
+    assert not warnings and sorted((r.scan_order, r.size) for r in files.collect()) == [(n, n) for n in range(len(names))]
+    assert [s.drive_name for s in sources] == [str(n) for n in range(len(names))]
+
+
+def test_any_number_of_scans_is_read_at_once(spark, folder, capsys):
+    paths = []
+    for n in range(30):
+        paths.append(folder / f"s{n}.ndjson")
+        paths[-1].write_text(json.dumps(record(f"/r/{n}")))
+    inventory._text_of(spark, [str(p) for p in [*paths, folder / "gone.ndjson"]]).explain()
+    assert capsys.readouterr().out.count("Scan text") == 1
+    assert inventory._text_of(spark, [str(folder / "gone.ndjson")]) is None
+
+
+def test_scans_that_share_a_file_both_have_its_records(spark, folder):
+    heads = [scan(folder, stem, "/Volumes/A", [record("/Volumes/A/x"), record("/Volumes/A/y")], ndjson="one.ndjson")
+             for stem in ("one", "two")]
+    files, _, _ = inventory.read_scans(spark, heads)
+    assert sorted((r.scan_order, r.ord, r.path[-1]) for r in files.collect()) == [
+        (0, 0, "x"), (0, 1, "y"), (1, 0, "x"), (1, 1, "y")]
 
 
 def test_scans_keep_their_place(spark, folder):
