@@ -56,14 +56,16 @@ def _path_key(path: str) -> str:
     return key.rstrip("/")
 
 
-def _file_key(file: str) -> Column:
+def _file_key(file: str, encoded: bool = True) -> Column:
+    if not encoded:
+        return F.regexp_replace(F.regexp_replace(F.col(file), _SCHEME, ""), "/+", "/")
     plain = F.try_url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(F.regexp_replace(F.coalesce(plain, F.col(file)), _SCHEME, ""), "/+", "/")
 
 
-def _keys_above(file: str) -> Column:
+def _keys_above(file: str, encoded: bool = True) -> Column:
     """Keys of a file and of all folders it lies in: a path the user names may be either."""
-    steps = F.split(_file_key(file), "/")
+    steps = F.split(_file_key(file, encoded), "/")
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
 
 

@@ -1,16 +1,25 @@
-"""Stored plans: NDJSON entries and a JSON header, versioned so that readers never see half a plan."""
+"""Stored plans: NDJSON entries, a header, and outcomes told since, versioned so that readers never see half a plan.
+
+A run tells outcomes while it copies. They are appended as small tables of
+their own (each batch writes only its rows) and merged when the plan is read;
+``compact_plan`` turns them into a version, which notes how far it has got.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stowage.plans.edit import apply_outcomes
 from stowage.schemas import ENTRY_FIELDS, ENTRY_JSON, PLAN_HEADER
+from stowage.sources import versions
 from stowage.sources.inventory import _exists, read_ndjson
+from stowage.sources.versions import StaleVersion, Version
 
 # JSON name of an entry's place in the plan.
 POSITION = "position"
@@ -64,47 +73,121 @@ def read_header(spark: SparkSession, path: str) -> dict | None:
     return json.loads(row.value) if row else None
 
 
-class StalePlan(RuntimeError):
-    """Another version was stored since the one that was edited."""
+class StalePlan(StaleVersion):
+    """Another version of the plan was stored since the one that was edited."""
 
 
-def write_plan(spark: SparkSession, entries: DataFrame, header: dict, folder: str, base: str | None = None) -> str:
-    """Store a new version of a plan and then point at it.
+@dataclass(frozen=True)
+class StoredPlan:
+    """One version with the outcomes told until it was read; ``told`` has the last batch of each stream."""
 
-    The order of entries is stored with them. ``base`` is the version that
-    ``entries`` were made from: if the plan has moved on meanwhile, nothing is
-    pointed at and ``StalePlan`` is raised.
+    version: Version
+    entries: DataFrame
+    told: dict[str, int]
+
+    @property
+    def header(self) -> dict:
+        return self.version.content["header"]
 
-    The pointer table is append-only and the newest row counts, so a reader
-    sees the old version or the new one. Nothing that may be read is
-    overwritten, and ``entries`` may come from an older version of the plan.
+
+def write_plan(
+    spark: SparkSession, entries: DataFrame, header: dict, folder: str, base: str | StoredPlan | None = None,
+) -> str:
+    """Store a new version of a plan and return its name.
+
+    The order of entries is stored with them. ``base`` is the version that
+    ``entries`` were made from: if the plan has moved on, or another writer
+    commits first, ``StalePlan`` is raised; of two writers on one base one
+    wins. Without a base the plan is replaced, whoever wrote before. The
+    version holds all outcomes told until ``base`` was read (a ``StoredPlan``)
+    or until now; later ones go on top.
     """
-    version = uuid.uuid4().hex
-    if base is not None and current_version(spark, folder) != base:
-        raise StalePlan(f"{folder} is no longer at {base}")
-    write_entries(placed(entries), f"{folder}/versions/{version}/entries")
-    write_header(spark, header, f"{folder}/versions/{version}/header")
-    if base is not None and current_version(spark, folder) != base:
-        raise StalePlan(f"{folder} is no longer at {base}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1) \
-        .write.mode("append").parquet(f"{folder}/current")
-    return version
+    name = uuid.uuid4().hex
+    table = versions.new_table(folder, "entries")
+    last = versions.latest(spark, folder)
+    wanted = base.version.content["name"] if isinstance(base, StoredPlan) else base
+    if wanted is not None and (last is None or last.content["name"] != wanted):
+        raise StalePlan(f"{folder} is no longer at {wanted}")
+    told = base.told if isinstance(base, StoredPlan) else _last_batches(_told(spark, folder))
+    write_entries(placed(entries), table)
+    content = {"name": name, "entries": table[len(folder) + 1:], "header": header, "told": told}
+    while True:
+        try:
+            versions.commit(spark, folder, last, content)
+            return name
+        except StaleVersion as error:
+            if base is not None:
+                raise StalePlan(str(error)) from None
+            last = versions.latest(spark, folder)
 
 
 def current_version(spark: SparkSession, folder: str) -> str | None:
-    if not _exists(spark, f"{folder}/current"):
-        return None
-    row = spark.read.schema("version string, at timestamp").parquet(f"{folder}/current").agg(
-        F.max_by("version", "at").alias("v")).first()
-    return row.v
+    last = versions.latest(spark, folder)
+    return last.content["name"] if last else None
 
 
-def read_plan(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    version = current_version(spark, folder)
-    if version is None:
+def load_plan(spark: SparkSession, folder: str) -> StoredPlan:
+    """The newest version with the outcomes told since."""
+    last = versions.latest(spark, folder)
+    if last is None:
         raise FileNotFoundError(f"no plan in {folder}")
-    base = f"{folder}/versions/{version}"
-    return read_entries(spark, f"{base}/entries"), read_header(spark, f"{base}/header")
+    entries = read_entries(spark, f"{folder}/{last.content['entries']}")
+    done = last.content["told"]
+    batches = [b for b in _told(spark, folder) if b["batch"] > done.get(b["stream"], -1)]
+    if batches:
+        # Tables, not rows: one for each batch since the last compaction.
+        outcomes = spark.read.parquet(*[f"{folder}/{b['table']}" for b in batches])
+        entries = apply_outcomes(entries, outcomes, ["_order", "_batch"])
+    return StoredPlan(last, entries, done | _last_batches(batches))
+
+
+def read_plan(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    plan = load_plan(spark, folder)
+    return plan.entries, plan.header
+
+
+def _told(spark: SparkSession, folder: str) -> list[dict]:
+    if not _exists(spark, f"{folder}/told"):
+        return []
+    rows = spark.read.schema("stream string, batch long, table string").json(f"{folder}/told").collect()
+    return [row.asDict() for row in rows]
+
+
+def _last_batches(batches: list[dict]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for b in batches:
+        out[b["stream"]] = max(b["batch"], out.get(b["stream"], -1))
+    return out
+
+
+def tell_outcomes(
+    spark: SparkSession, folder: str, outcomes: DataFrame, order: list[str], batch: int, stream: str = "run",
+) -> bool:
+    """Append outcomes to a plan; False if this batch of the stream was told before.
+
+    ``order`` columns say which report of a file is the last, over all batches;
+    of equals the later batch counts. All outcomes of a plan have the same
+    columns.
+    """
+    mark = f"{folder}/told/{stream}-{batch:020d}.json"
+    if _exists(spark, mark):
+        return False
+    table = versions.new_table(folder, f"told-{stream}-{batch}")
+    keys = [c for c in ("drive_name", "src_path", "status", "error", "at") if c in outcomes.columns]
+    outcomes.select(*keys, F.struct(*order).alias("_order"), F.lit(batch).cast("long").alias("_batch")).write.parquet(table)
+    return versions.create_if_absent(
+        spark, mark, json.dumps({"stream": stream, "batch": batch, "table": table[len(folder) + 1:]}))
+
+
+def compact_plan(spark: SparkSession, folder: str) -> str | None:
+    """Make a version of the outcomes told since the last one; None if there are none.
+
+    Outcomes told meanwhile stay on top of it, and an edit meanwhile makes it stale.
+    """
+    plan = load_plan(spark, folder)
+    if plan.told == plan.version.content["told"]:
+        return None
+    return write_plan(spark, plan.entries, plan.header, folder, plan)
 
 
 def preview(entries: DataFrame, limit: int | None = None, order: str = "ord") -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from stowage.operators.dedup import KEY
 from stowage.operators.reports import bytes_if, bytes_of
-from stowage.plans.edit import apply_outcomes
 from stowage.schemas import INVENTORY
 from stowage.session import work_dir
-from stowage.sources.plan_store import current_version, read_plan, write_plan
+from stowage.sources.plan_store import tell_outcomes
 
 
 def stream_inventory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -61,20 +60,17 @@ def stream_dedupe(files: DataFrame, watermark: tuple[str, str] | None = None) ->
     return files.withWatermark(*watermark).dropDuplicatesWithinWatermark(KEY)
 
 
-def stream_apply_outcomes(outcomes: DataFrame, plan_folder: str, order: list[str], checkpoint: str):
-    """Update a stored plan from a stream of copy outcomes.
+def stream_apply_outcomes(outcomes: DataFrame, plan_folder: str, order: list[str], checkpoint: str, stream: str = "run"):
+    """Add a stream of copy outcomes to a stored plan.
 
-    Every micro-batch writes a new version of the plan. Running a batch twice
-    gives the same statuses, so a restart after a failure is safe.
+    Every micro-batch writes its own rows and no more; whoever reads the plan
+    sees them merged. A batch that runs again after a failure is told once.
     """
-    def update(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.limit(1).count():
-            base = current_version(spark, plan_folder)
-            entries, header = read_plan(spark, plan_folder)
-            write_plan(spark, apply_outcomes(entries, batch, order), header, plan_folder, base)
-
-    return (outcomes.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+    def tell(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            tell_outcomes(batch.sparkSession, plan_folder, batch, order, batch_id, stream)
+
+    return (outcomes.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

@@ -1,12 +1,14 @@
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from threading import Barrier
 
 import pytest
 
 from stowage.plans import edit, trash
 from stowage.session import work_dir
-from stowage.sources import catalogs, inventory, plan_store, trash_log
+from stowage.sources import catalogs, inventory, plan_store, scan_store, trash_log, versions
 from stowage.streaming import live
 
 
@@ -184,3 +186,128 @@ def test_streams(spark, folder, make):
     live.stream_apply_outcomes(stream, str(folder / "plan"), ["seq"], f"{work_dir(spark)}/{folder.name}").awaitTermination()
     rows = {r.src_path: (r.status, r.error, r.copied_at) for r in plan_store.read_plan(spark, str(folder / "plan"))[0].collect()}
     assert rows == {"/A/x.t": ("copied", None, 7), "/A/y.t": ("pending", None, None)}
+
+
+def test_of_two_writers_on_one_base_one_wins(spark, folder, make):
+    plan = str(folder / "plan")
+    entries, header = edit.working_plan(spark)
+    for round_ in range(4):
+        base = plan_store.write_plan(spark, entries, header, plan)
+        gate = Barrier(2)
+
+        def writer(n):
+            gate.wait()
+            try:
+                return plan_store.write_plan(spark, entries, {**header, "name": f"{round_} {n}"}, plan, base)
+            except plan_store.StalePlan:
+                return None
+
+        with ThreadPoolExecutor(2) as pool:
+            done = list(pool.map(writer, range(2)))
+        assert sum(d is not None for d in done) == 1
+        winner = next(n for n, d in enumerate(done) if d)
+        assert plan_store.read_plan(spark, plan)[1]["name"] == f"{round_} {winner}"
+        assert plan_store.current_version(spark, plan) == done[winner]
+    with pytest.raises(plan_store.StalePlan):
+        plan_store.write_plan(spark, entries, header, plan, base)
+
+
+def test_one_of_many_creates_a_file(spark, folder):
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda n: versions.create_if_absent(spark, f"{folder}/x/1.json", str(n)), range(40)))
+    assert sum(made) == 1 and (folder / "x" / "1.json").read_text() == str(made.index(True))
+    assert [p.name for p in (folder / "x").iterdir()] == ["1.json"]
+
+
+def test_writers_without_a_base_replace_the_plan_one_after_the_other(spark, folder):
+    plan = str(folder / "plan")
+    entries, header = edit.working_plan(spark)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda n: plan_store.write_plan(spark, entries, {**header, "name": str(n)}, plan), range(6)))
+    assert versions.latest(spark, plan).number == 6
+
+
+@pytest.fixture
+def planned(spark, folder, make):
+    entries, header = edit.working_plan(spark)
+    picked = make([("/A/x.t", 2, 1), ("/A/y.t", 3, 2), ("/A/z.t", 4, 3)], "src_path string, size long, n long")
+    plan_store.write_plan(spark, edit.plan_add(entries, picked, ["n"]).entries, header, str(folder / "plan"))
+    return str(folder / "plan")
+
+
+OUTCOME = "src_path string, status string, error string, at long, seq long"
+
+
+def statuses(spark, plan):
+    return {r.src_path[3]: r.status for r in plan_store.read_plan(spark, plan)[0].collect()}
+
+
+def test_outcomes_are_appended_merged_and_compacted(spark, planned, make, folder):
+    tell = lambda rows, batch, stream="run": plan_store.tell_outcomes(
+        spark, planned, make(rows, OUTCOME), ["seq"], batch, stream)
+    before = plan_store.current_version(spark, planned)
+    assert tell([("/A/x.t", "failed", "EIO", 1, 1), ("/A/y.t", "copied", None, 2, 5)], 0)
+    assert not tell([("/A/z.t", "copied", None, 2, 5)], 0)  # the batch runs again
+    assert statuses(spark, planned) == {"x": "failed", "y": "copied", "z": "pending"}
+    # A late report of an earlier try does not undo a later one.
+    assert tell([("/A/x.t", "copied", None, 3, 2), ("/A/y.t", "failed", "EIO", 2, 4)], 1)
+    assert tell([("/A/z.t", "skipped-exists", None, None, 1)], 0, "other")
+    assert statuses(spark, planned) == {"x": "copied", "y": "copied", "z": "skipped-exists"}
+    assert plan_store.current_version(spark, planned) == before
+    stored = len(list((folder / "plan" / "tables").iterdir()))
+    version = plan_store.compact_plan(spark, planned)
+    assert version == plan_store.current_version(spark, planned) != before
+    assert plan_store.compact_plan(spark, planned) is None
+    assert len(list((folder / "plan" / "tables").iterdir())) == stored + 1
+    # Told outcomes are part of the version: a reset is not undone by them, only by new ones.
+    plan = plan_store.load_plan(spark, planned)
+    plan_store.write_plan(spark, edit.plan_reset(plan.entries), plan.header, planned, plan)
+    assert set(statuses(spark, planned).values()) == {"pending"}
+    tell([("/A/y.t", "copied", None, 9, 1)], 2)
+    assert statuses(spark, planned) == {"x": "pending", "y": "copied", "z": "pending"}
+
+
+def test_an_edit_keeps_outcomes_told_while_it_was_made(spark, planned, make):
+    plan = plan_store.load_plan(spark, planned)
+    plan_store.tell_outcomes(spark, planned, make([("/A/x.t", "copied", None, 1, 1)], OUTCOME), ["seq"], 0)
+    kept = edit.plan_remove(plan.entries, make([("/A/y.t",)], "src_path string"))
+    plan_store.write_plan(spark, kept, plan.header, planned, plan)
+    assert statuses(spark, planned) == {"x": "copied", "z": "pending"}
+
+
+def test_stored_scan(spark, folder, make):
+    path, now = str(folder / "scan"), 1_705_320_000_000
+    files = make([(f"/Volumes/A/{n}", n) for n in range(5)], "path string, size long")
+    scan_store.write_scan(spark, path, None, files, {"root": "/Volumes/A", "fileCount": 5, "totalBytes": 10})
+    trashed = make([("/Volumes/A/1",), ("/Volumes/A/2",), ("/Volumes/B/9",)], "path string")
+    scan_store.log_trashed(spark, path, trashed, "2024-01-15T00:00:00Z", ["path"])
+    scan_store.log_trashed(spark, path, make([("/Volumes/A/1",), ("/old",)], "path string"), "2020-01-01T00:00:00Z", ["path"])
+    stale = scan_store.read_scan(spark, path)
+    assert scan_store.set_scan_retention(spark, path, "30d").log.retention == "30d"
+    with pytest.raises(versions.StaleVersion):
+        scan_store.write_scan(spark, path, stale, header={})
+    live, mounts = make([("/Volumes/A/1",), ("/Volumes/A/3",)], "path string"), make([("/Volumes/A",)], "path string")
+    scan, report = scan_store.reconcile_scan(spark, path, live, mounts, now)
+    assert report == {"checked": 3, "restored": 1, "restored_acked": 0, "retention_pruned": 1, "still_pending": 1, "removed": 1}
+    assert scan.header == {"root": "/Volumes/A", "fileCount": 4, "totalBytes": 8}
+    assert sorted(r.path for r in scan.records.collect()) == [f"/Volumes/A/{n}" for n in (0, 1, 3, 4)]
+    assert {(r.path, r.status) for r in scan.log.entries.collect()} == {("/Volumes/A/1", "restored"), ("/Volumes/B/9", "trashed")}
+    old = scan.version.content["records"]
+    scan, report = scan_store.reconcile_scan(spark, path, live, mounts, now)
+    assert report["restored_acked"] == 1 and report["removed"] == 0 and scan.version.content["records"] == old
+    assert scan_store.set_scan_retention(spark, path, None).log.retention is None
+    assert versions.latest(spark, path).number == 7
+    with pytest.raises(FileNotFoundError):
+        scan_store.read_scan(spark, str(folder / "none"))
+
+
+def test_plan_catalog_shows_stored_plans(spark, folder):
+    entries, header = edit.working_plan(spark)
+    for name in ("one", "two", "three"):
+        plan_store.write_plan(spark, entries, {**header, "name": name}, str(folder / "plans" / ("b" if name == "two" else "a")))
+    (folder / "plans" / "c.plan.json").write_text(json.dumps({"name": "old"}))
+    rows = catalogs.plan_catalog(spark, str(folder / "plans")).collect()
+    assert {r.file: r.header.name for r in rows} == {"a": "three", "b": "two", "c.plan.json": "old"}
+    assert all(r.header.layout == "mirrored" for r in rows if r.file != "c.plan.json")
+    (folder / "empty").mkdir()
+    assert catalogs.plan_catalog(spark, str(folder / "empty")).count() == 0
