@@ -16,20 +16,26 @@ from stowage.operators.dedup import KEY
 from stowage.operators.reports import bytes_if, bytes_of
 from stowage.schemas import INVENTORY
 from stowage.session import work_dir
+from stowage.sources.inventory import _file_key, _variant_fields
 from stowage.sources.plan_store import tell_outcomes
 
 
 def stream_inventory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Records of NDJSON scans as their files land in ``folder``; error files give rows with ``is_error``."""
-    reader = spark.readStream.option("pathGlobFilter", "*.ndjson")
+    """Records of NDJSON scans as their files land below ``folder``; error files give rows with ``is_error``.
+
+    A scan ``s`` is a file ``s.ndjson``, files ``s.part-1.ndjson``, ... or a
+    folder ``s.ndjson`` of parts; its errors the same with ``s.errors``.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.ndjson,part-*}")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(folder).select("value", F.col("_metadata.file_name").alias("file"))
-    valid = lines.filter("value <> '' and try_parse_json(value) is not null")
-    is_error = F.endswith("file", F.lit(".errors.ndjson"))
-    scan = F.regexp_replace("file", r"(?:[.]part-?\d+)?(?:[.]errors)?[.]ndjson\z", "")
-    return valid.select(scan.alias("scan"), is_error.alias("is_error"), F.from_json("value", INVENTORY).alias("r")).select(
-        "scan", "is_error", "r.*")
+    named = F.regexp_extract("key", r"([^/]+)[.]ndjson(?:/|$)", 1)
+    lines = reader.text(folder).select(
+        F.try_parse_json("value").alias("json"), _file_key("_metadata.file_path").alias("key"))
+    valid = lines.filter("json is not null").withColumn("named", named).filter("named <> ''")
+    return valid.select(
+        F.regexp_replace("named", r"(?:[.]part-?\d+)?(?:[.]errors)?$", "").alias("scan"),
+        F.endswith("named", F.lit(".errors")).alias("is_error"), *_variant_fields("json", INVENTORY))
 
 
 def stream_scan_totals(records: DataFrame) -> DataFrame:
