@@ -149,6 +149,30 @@ def _(spark, sf_dir):
     return resolve_flat_names(files, there, ["path"]).select("path", "dst_name")
 
 
+@query("flat_names_numbered", using("files_li", """
+select path, case
+    when not is_slot and slot = 1 then stem || ext
+    when not is_slot then stem || ' (' || slot || ')' || ext
+    when is_first or requests < 2 then stem || ' (2)' || ext else stem || ' (2) (2)' || ext end as dst_name
+from (select *, rank + cast(is_first and rank > 1 as int) as slot from wanted)""", wanted="""
+select path, false as is_slot, regexp_replace(name, '\\.[^.]*$', '') as stem, '.' || ext as ext,
+  cast(regexp_extract(name, '[0-9]+') as int) % 2 = 0 as is_first,
+  row_number() over (partition by name order by path) as rank, 0 as requests from files_li
+union all
+select case when is_first then '/A/' else '/z/' end || stem || ext, true, stem, ext, is_first, 0, requests from (
+  select regexp_replace(name, '\\.[^.]*$', '') as stem, '.' || any_value(ext) as ext, count(*) as requests,
+    cast(regexp_extract(name, '[0-9]+') as int) % 2 = 0 as is_first from files_li group by name)"""))
+def _(spark, sf_dir):
+    """Beside each name an entry that is called like its second slot, and comes before or behind the others."""
+    files = view(spark, sf_dir, "files_li").select("path", "name", "ext")
+    stem, number = F.regexp_replace("name", "[.][^.]*$", ""), F.regexp_extract("name", "([0-9]+)", 1).cast("int")
+    slots = files.select("name", "ext").distinct().select(
+        F.concat(F.when(number % 2 == 0, F.lit("/A/")).otherwise(F.lit("/z/")), "name").alias("path"),
+        F.concat(stem, F.lit(" (2)."), "ext").alias("name"))
+    entries = files.select("path", "name").unionByName(slots).withColumn("src_path", F.col("path"))
+    return resolve_flat_names(entries, spark.createDataFrame([], "name string"), ["path"]).select("path", "dst_name")
+
+
 @query("protected_paths", using("files_pg", """
 select page_id, case when path like '%/en/%' then 'protected folder' end as why_file,
   'volume root' as why_volume from (select page_id, path, drive_name from files_pg)"""))

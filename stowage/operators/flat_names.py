@@ -7,15 +7,18 @@ the destination, and by other entries that are *called* ``stem (2).ext``:
 those hold their slot from their first request on.
 
 So the work is split. How often a name is requested, and how many requests
-came before a blocking one, are grouped counts. Slots blocked by files at the
-destination are skipped with a window. Only families in which an entry is
-itself called like a numbered slot are settled in Python, on one row per
-distinct name, never per file. Every entry then computes its slot from its own
-request number.
+came before a blocking one, are running counts over ranges, in which one name
+may fill many tasks. Every blocked slot is a *mark* at the request from which
+on it has to be passed. Slots blocked by files at the destination get theirs
+from a window; where entries are called like numbered slots, distinct names are
+streamed by slot number, with the request reached so far carried along, once
+for each level of numbering. Requests and marks are then merged in order, and a
+request's slot is its number plus the marks before it.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,54 +53,70 @@ def _numbering(names: DataFrame) -> DataFrame:
     )
 
 
-def _runs_past_existing(contended: DataFrame) -> DataFrame:
-    """Runs where only files at the destination block slots: each one shifts the requests behind it by one."""
+def _marks_past_existing(contended: DataFrame) -> DataFrame:
+    """Marks ``(name, from_rank)`` where only files at the destination block slots."""
     taken = contended.filter("exists").select(F.explode(F.array(
         F.struct(F.col("name").alias("name"), F.lit(1).cast("long").alias("k")),
         F.struct(F.col("parent").alias("name"), F.col("k").alias("k")))).alias("s")).select("s.*")
     wanted = contended.filter("requests > 0").select("name")
     before = F.row_number().over(Window.partitionBy("name").orderBy("k")) - 1
-    return taken.filter("name is not null and k is not null").join(wanted, "name", "left_semi").withColumn(
-        "_before", before).select(
-        "name", (F.col("k") - F.col("_before")).cast("long").alias("from_rank"),
-        (F.col("_before") + 1).cast("long").alias("shift"))
-
-
-def _runs_past_requests(contended: DataFrame) -> DataFrame:
-    """Runs where entries are themselves called like numbered slots, one name family at a time."""
-
-    def settle(rows):
-        import pandas as pd
-
-        facts = {r.name: r for r in rows.itertuples(index=False)}
-        children: dict[str, list] = {}
-        for r in facts.values():
-            if r.parent is not None and r.parent == r.parent:
-                children.setdefault(r.parent, []).append(r)
-        taken, out = set(), []
-        # A name is shorter than the names of its numbered slots, so owners come first.
-        for name in sorted(facts, key=len):
-            own = facts[name]
-            if own.requests == 0:
+    return taken.filter("name is not null and k is not null").join(wanted, "name", "left_semi").select(
+        "name", (F.col("k") - before).cast("long").alias("from_rank"))
+
+
+def _pass_slots(batches):
+    """Marks of each name, and the numbered names it takes; rows come by name and slot."""
+    name, requests, rank, slot = None, 0, 0, 0
+    for batch in batches:
+        out = []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("name", "k", "requests", "blocked", "earlier", "child")))
+        for owner, k, wanted, blocked, earlier, child in rows:
+            if child is None:
+                name, requests, slot = owner, wanted, 2
+                rank = 1 if blocked else 2
+                if blocked:
+                    out.append((owner, 1, None))
                 continue
-            first_free = not own.exists and name not in taken
-            rank, slot = (2, 2) if first_free else (1, 2)
-            runs = [(1, 0)] if first_free else [(1, 1)]
-            for child in sorted(children.get(name, []), key=lambda c: c.k):
-                reach = rank + (int(child.k) - slot)
-                if reach > own.requests:
-                    break
-                rank, slot = reach, int(child.k)
-                if child.exists or (child.requests > 0 and rank > child.earlier):
-                    slot += 1
-                    runs.append((rank, slot - rank))
-                else:
-                    taken.add(child.name)
-                    rank, slot = rank + 1, slot + 1
-            out += [(name, int(a), int(b)) for a, b in runs]
-        return pd.DataFrame(out, columns=["name", "from_rank", "shift"])
-
-    return contended.groupBy("family").applyInPandas(settle, "name string, from_rank long, shift long")
+            reached = rank + k - slot
+            if reached > requests:
+                # All requests have their slot; the slots behind stay free.
+                requests = 0
+                continue
+            rank, slot = reached, k + 1
+            if blocked or (wanted > 0 and rank > earlier):
+                out.append((owner, rank, None))
+            else:
+                out.append((owner, None, child))
+                rank += 1
+        yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate(
+            (pa.string(), pa.int64(), pa.string()))], names=["name", "from_rank", "taken"])
+
+
+def _marks_past_requests(facts: DataFrame) -> DataFrame:
+    """Marks ``(name, from_rank)`` where entries are themselves called like numbered slots.
+
+    A name is settled after the name whose slot it is, as that one may have
+    taken it: one round for each level of ``x (2) (2) (2)``.
+    """
+    wanted = facts.filter("requests > 0")
+    owners = wanted.join(wanted.select(F.col("name").alias("parent")), "parent", "left_anti").select(
+        "name", "requests", F.col("exists").alias("blocked"))
+    marks = None
+    while True:
+        first = owners.select("name", F.lit(1).cast("long").alias("k"), "requests", "blocked",
+                              F.lit(0).cast("long").alias("earlier"), F.lit(None).cast("string").alias("child"))
+        children = facts.filter("parent is not null").join(owners.select(F.col("name").alias("parent")), "parent").select(
+            F.col("parent").alias("name"), "k", "requests", F.col("exists").alias("blocked"), "earlier",
+            F.col("name").alias("child"))
+        slots = first.unionByName(children).repartition("name").sortWithinPartitions("name", "k")
+        passed = materialize(slots.mapInArrow(_pass_slots, "name string, from_rank long, taken string"), "slots")
+        found = passed.filter("taken is null").select("name", "from_rank")
+        marks = found if marks is None else marks.unionByName(found)
+        taken = passed.filter("taken is not null").select(F.col("taken").alias("child"), F.lit(True).alias("_taken"))
+        owners = materialize(children.filter("requests > 0").join(taken, "child", "left").select(
+            F.col("child").alias("name"), "requests", (F.col("blocked") | F.col("_taken").isNotNull()).alias("blocked")), "owners")
+        if owners.limit(1).count() == 0:
+            return marks
 
 
 def resolve_flat_names(
@@ -127,17 +146,22 @@ def resolve_flat_names(
     both = requests.unionByName(blockers, allowMissingColumns=True)
     ranked = running_count(both, "_base", order, F.col("_child").isNull(), "_rank")
     if blockers.limit(1).count() == 0:
-        runs = _runs_past_existing(contended)
+        marks = _marks_past_existing(contended)
     else:
         ranked = materialize(ranked, "ranked")
         earlier = ranked.filter("_child is not null").select(F.col("_child").alias("name"), F.col("_rank").alias("earlier"))
         mixed = contended.filter("requests > 0 and parent is not null").select("family").distinct()
-        facts = contended.join(mixed, "family", "left_semi").join(earlier, "name", "left").fillna({"earlier": 0})
-        runs = _runs_past_existing(contended.join(mixed, "family", "left_anti")).unionByName(_runs_past_requests(
-            facts.select("family", "name", "parent", "k", "requests", "exists", "earlier")))
-    by_name = runs.groupBy(F.col("name").alias("_base")).agg(
-        F.sort_array(F.collect_list(F.struct("from_rank", "shift"))).alias("_runs"))
-    placed = ranked.filter("_child is null").join(by_name, "_base", "left")
-    shift = F.expr("coalesce(try_element_at(filter(_runs, r -> r.from_rank <= _rank), -1).shift, 0)")
-    return placed.withColumn("dst_name", numbered(F.col("_base"), F.col("_rank") + shift)).select(
+        facts = materialize(contended.join(mixed, "family", "left_semi").join(earlier, "name", "left").fillna(
+            {"earlier": 0}), "facts")
+        marks = _marks_past_existing(contended.join(mixed, "family", "left_anti")).unionByName(_marks_past_requests(facts))
+    marks = materialize(marks.select(F.col("name").alias("_base"), F.col("from_rank").alias("_rank")), "marks")
+    # Names without a mark keep their request number as slot; the others are merged with their marks in order.
+    marked = marks.groupBy("_base").agg(F.lit(True).alias("_marked"))
+    placed = ranked.filter("_child is null").drop("_child").join(marked, "_base", "left")
+    merged = placed.filter("_marked").withColumn("_mark", F.lit(0)).unionByName(
+        marks.withColumn("_mark", F.lit(-1)), allowMissingColumns=True)
+    merged = running_count(merged, "_base", ["_rank", "_mark"], F.col("_mark") < 0, "_shift").filter("_mark = 0")
+    plain = placed.filter("_marked is null").withColumn("_shift", F.lit(0).cast("long"))
+    slots = plain.unionByName(merged.drop("_mark"))
+    return slots.withColumn("dst_name", numbered(F.col("_base"), F.col("_rank") + F.col("_shift"))).select(
         *entries.columns, "dst_name")
