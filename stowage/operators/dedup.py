@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.names import utf16_length
-from stowage.operators.skew import pick_first, with_group
+from stowage.operators.skew import join_keys, pick_first, with_group
 
 KEY = ["size", "name", "ext"]
 TIE_BREAKS = ("firstScanned", "newest", "oldest", "shortestPath", "largest")
@@ -70,6 +70,41 @@ def dedupe_winners(
     )
 
 
+def content_candidates(files: DataFrame, by: tuple[str, ...] = tuple(KEY)) -> DataFrame:
+    """Files that may have an equal: first those whose size is not alone, then those whose ``by`` is not.
+
+    Each stage is a semi-join with the repeated values, which map tasks count
+    before the shuffle. Most files leave at the first, on one number.
+    """
+    left = _with_key(files)
+    for columns in ([["size"]] if "size" in by and len(by) > 1 else []) + [list(by)]:
+        repeated = left.groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        left = join_keys(left, repeated, columns)
+    return left
+
+
+def dedupe_by_content(
+    files: DataFrame, contents: DataFrame, order: tuple[str, ...] = ORDER, by: tuple[str, ...] = tuple(KEY),
+    tie_break: str = "firstScanned",
+) -> DataFrame:
+    """Files that have an equal, with ``content_hash``, ``is_winner`` and the group's ``winner_path``.
+
+    ``contents`` (``path, content``) is read for candidates only; a candidate
+    whose content is not there or null is left out. Files are equal if ``by``
+    and the SHA-256 of their whole content agree; ``by=("size",)`` finds copies
+    under other names. Of equal files the ``tie_break`` keeps one.
+    """
+    tie_order(tie_break, order)
+    read = contents.filter("content is not null").select(F.col("path").alias("_path"), "content").join(
+        content_candidates(files, by).select(F.col("path").alias("_path")).distinct(), "_path", "left_semi")
+    hashed = read.select("_path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).distinct()
+    known = _with_key(files).join(hashed, F.col("path") == F.col("_path")).drop("_path")
+    keys = [*by, "content_hash"]
+    ranked = _plain([F.col(c) for c in order], tie_break)
+    equal = with_group(known, keys, {"_copies": F.count("*")}).filter("_copies > 1").drop("_copies")
+    return pick_first(equal, keys, ranked, {"winner_path": F.col("path")})
+
+
 def only_duplicates(files: DataFrame) -> DataFrame:
     """Files that share size, name and extension with another one; adds ``copies``."""
     counted = with_group(_with_key(files), KEY, {"copies": F.count("*")})
