@@ -142,17 +142,16 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> t
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each word, from its bytes alone."""
+    """A 64-bit hash of each whole word. Sums of letter codes would not do: they agree for some swapped letters."""
     out = np.empty(len(starts), _U)
+    hashed = xxhash.xxh3_64_intdigest
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, side="right")))
-        low, high = int(starts[at]), int(ends[to - 1])
-        if high - low > SLICE:
-            out[at] = xxhash.xxh64_intdigest(data[low:high].tobytes(), 11)
-        else:
-            prefix = prefix_hash(BYTE_CODES[data[low:high]])
-            out[at:to] = span_hash(prefix, starts[at:to] - low, ends[at:to] - low)
+        to = min(len(starts), max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, side="right"))), at + SLICE)
+        low = int(starts[at])
+        part = data[low:int(ends[to - 1])].tobytes()
+        places = zip((starts[at:to] - low).tolist(), (ends[at:to] - low).tolist())
+        out[at:to] = np.fromiter((hashed(part[a:z]) for a, z in places), _U, to - at)
         at = to
     return out
 
