@@ -95,12 +95,17 @@ def _draw(doc_id: Column) -> Column:
     return F.xxhash64(F.lit(SEED), doc_id)
 
 
+def _unit() -> list[Column]:
+    return [sizes(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("tie")]
+
+
 def decisions(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """For each (source, size): size of the source, target, whole repeats, and the last draw taken once more.
 
-    ``units`` has ``doc_id, source, size``. A document is drawn by a hash of
-    its id; of the documents of one source and size the first so many in the
-    order of (draw, id) are taken once more than the rest.
+    ``units`` has ``doc_id, source, size`` and ``tie``, a number that tells
+    rows apart. A document is drawn by a hash of its id; of the documents of
+    one source and size the first so many in the order of (draw, id, tie) are
+    taken once more than the rest.
     """
     lengths = materialize(units.groupBy("source", "size").agg(F.count("*").alias("count")), "lengths")
     source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).cast("long").alias("source_size"))
@@ -124,7 +129,7 @@ def decisions(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     key = (F.col("source").eqNullSafe(F.col("_s"))) & (F.col("size") == F.col("_z"))
     bins = F.ceil(F.col("_c") / BIN)
     drawn = units.join(part, key).select(
-        "source", "size", "more", "doc_id", _draw(F.col("doc_id")).alias("draw"), bins.alias("bins"))
+        "source", "size", "more", "doc_id", "tie", _draw(F.col("doc_id")).alias("draw"), bins.alias("bins"))
     # The upper 32 bits of the draw, as a share of all; monotonic in the draw.
     share = (F.shiftright("draw", 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
     drawn = materialize(drawn.withColumn("bin", F.floor(share * F.col("bins"))).drop("bins"), "draws")
@@ -135,20 +140,25 @@ def decisions(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("bin").alias("_b"),
         (F.col("more") - F.col("before")).alias("rest"))
     inside = drawn.join(border, key & (F.col("bin") == F.col("_b")))
-    place = F.row_number().over(Window.partitionBy("source", "size").orderBy("draw", "doc_id"))
-    last = inside.withColumn("place", place).filter("place = rest").select(
-        F.col("source").alias("_s"), F.col("size").alias("_z"), "draw", F.col("doc_id").alias("last_id"))
+    # Over ranges, as rows that share an id share a bin, whatever their number.
+    placed = numbered(inside.select("source", "size", "draw", "doc_id", "tie", "rest"), ["source", "size"],
+                      ["draw", "doc_id", "tie"], "place")
+    last = placed.filter("place + 1 = rest").select(
+        F.col("source").alias("_s"), F.col("size").alias("_z"), "draw", F.col("doc_id").alias("last_id"),
+        F.col("tie").alias("last_tie"))
     return materialize(plan.join(last, key, "left").drop("_s", "_z"), "decisions")
 
 
 def taken_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``docs`` (with ``doc_id, source, size``) and ``source_size, target, taken``."""
+    """``docs`` (with ``doc_id, source, size, tie``) and ``source_size, target, taken``."""
     chosen = chosen.select(*[F.col(c).alias(f"_m_{c}") for c in chosen.columns])
     key = docs["source"].eqNullSafe(chosen["_m_source"]) & (docs["size"] == chosen["_m_size"])
     draw = _draw(docs["doc_id"])
     first = F.col("_m_more") >= F.col("_m_count")
-    within = (draw < F.col("_m_draw")) | ((draw == F.col("_m_draw")) & (
-        docs["doc_id"].eqNullSafe(F.col("_m_last_id")) | docs["doc_id"].isNull() | (docs["doc_id"] < F.col("_m_last_id"))))
+    id_, last_id = docs["doc_id"], F.col("_m_last_id")
+    before = (id_.isNull() & last_id.isNotNull()) | F.coalesce(id_ < last_id, F.lit(False))
+    at = id_.eqNullSafe(last_id) & (docs["tie"] <= F.col("_m_last_tie"))
+    within = (draw < F.col("_m_draw")) | ((draw == F.col("_m_draw")) & (before | at))
     once = (F.col("_m_more") > 0) & (first | F.coalesce(within, F.lit(False)))
     copies = F.col("_m_repeats") + once.cast("int")
     return docs.join(chosen, key).select(
@@ -165,12 +175,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     whole multiple of ``size`` of at most ``cap``; a source's taken words differ
     from its target by less than half a word where its lengths can make the
     sum, else by the nearest that the last stretch finds. A source without
-    words, and a document without, takes none. Documents of one id share a
-    draw: rows that repeat at the border of a length are taken together. Null
-    sources are one source, null ids one id; other columns are ignored; an
-    empty table gives an empty result.
+    words, and a document without, takes none. Rows that share an id share a
+    draw, and where the border falls among them so many as are needed are
+    taken: which of rows of equal id, source and size is open. Null sources are
+    one source, null ids one id; other columns are ignored; an empty table
+    gives an empty result.
     """
-    units = materialize(docs.select("doc_id", "source", sizes(F.col("text")).alias("size")), "units")
+    units = materialize(docs.select("doc_id", "source", *_unit()), "units")
     return taken_words(units, decisions(units, weights, cap)).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -179,11 +190,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
 
     A document without words carries no weight and stays once.
     """
-    units = materialize(docs.select("doc_id", "source", sizes(F.col("text")).alias("size")), "units")
-    chosen = decisions(units, weights, cap)
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "source",
-                        sizes(F.col("text")).alias("size"))
-    counted = taken_words(inner, chosen)
+    # Stored with the rows, so that a row has the same number where it is drawn and where it is taken.
+    inner = materialize(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "source", *_unit()),
+                        "rows")
+    counted = taken_words(inner, decisions(inner.drop("row"), weights, cap))
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     return counted.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import licenses, mixing, quality
@@ -142,3 +143,14 @@ def test_the_surest_rows_by_view_and_side(spark):
     # Thousands that are equally sure: still two hundred of each side, by a seeded draw.
     assert [sum(r.y == y for r in found["by_page"]) for y in (1.0, 0.0)] == [200, 200]
     assert quality._surest(scored.filter("abs(by_text) < 3 and by_page is null"), 3.0, 200) == {"by_text": [], "by_page": []}
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_that_share_an_id_are_not_taken_together(make, doc_id):
+    rows = [(doc_id, "a b c d e f g h i", "s0")] * 1000 + [(i, "x y", "s1") for i in range(3000)]
+    docs = make(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    for source_size in (9000, 6000):
+        mine = [r for r in got if r.source_size == source_size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 9
+    assert sum(len(r.text.split()) for r in mixing.mixed(docs).collect()) == sum(r.taken for r in got)
