@@ -178,9 +178,12 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DI
     decision can name it.
     """
     groups = near_duplicates(docs, shingle, distance)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"))
-    one = known.drop("_kept").dropDuplicates(["doc_id"])
+    name = "kept_id"
+    while name in docs.columns:
+        name += "_"
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    known = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(name))
+    one = known.drop(name).dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null"))
 
 

@@ -68,6 +68,8 @@ def test_near_duplicates_of_awkward_rows(awkward, nothing):
     kept = simhash_dedup.keep_one_of_each(awkward)
     assert kept.columns == awkward.columns
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    clash = awkward.withColumnsRenamed({"spans": "_kept", "shard": "kept_id"})
+    assert simhash_dedup.keep_one_of_each(clash).columns == clash.columns
     assert simhash_dedup.near_duplicates(nothing).count() == simhash_dedup.keep_one_of_each(nothing).count() == 0
 
 
