@@ -35,13 +35,14 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CHUNK = 1 << 16  # characters
 WORDS_KEPT = 400_000  # counts a worker remembers; beyond, it forgets all and starts again
-STATES_KEPT = 400_000  # starts of words with their states, likewise
+STATES_KEPT = 400_000  # compiled states, likewise
 
 # The word pattern of the vocabulary's pre-tokenizer. White space is spelt out,
 # as the pattern library would count four control characters more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
            rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]", c))
 CLOSED = rf"(?<=[^{SPACE}])(?=[{SPACE}])"  # behind a word that white space follows
 
 
@@ -110,7 +111,9 @@ class Transducer:
         self.states: dict[tuple, State] = {}
         self.known_fits: dict[tuple[int, int], bool] = {}
         self.start = State(b"", (None,), (0,))
-        self.paths: dict[bytes, tuple[State, int]] = {b"": (self.start, 0)}
+
+    def crowded(self) -> bool:
+        return max(len(self.states), len(self.known_fits)) > STATES_KEPT
 
     def alone(self, token: int) -> bool:
         """Whether encoding the token's bytes gives the token."""
@@ -143,24 +146,25 @@ class Transducer:
         return known
 
     def step(self, state: State, byte: int) -> tuple[State, int]:
-        """The transition on ``byte``: the next state and the tokens it adds."""
-        found = state.next.get(byte)
-        if found is not None:
-            return found
+        """Compile the transition on ``byte``: the next state and the tokens it adds."""
         recent = state.recent + bytes([byte])
-        depth, size = 0, 0
-        for n in range(1, len(recent) + 1):
-            suffix = recent[-n:]
-            if suffix in self.starts:
+        starts, number, length = self.starts, self.number, len(recent)
+        known, depth, size, last = [], 0, 0, None
+        for n in range(1, length + 1):
+            suffix = recent[length - n:]
+            # A cut that no token can start from any more is blotted out, so that equal futures meet.
+            needed = suffix in starts
+            known.append(needed)
+            if needed:
                 depth = n
-                token = None if size else self.number.get(suffix)
-                if token is not None and self.fits(state.lasts[n - 1], token):
-                    size, last = n, token
+                if not size:
+                    token = number.get(suffix)
+                    if token is not None and self.fits(state.lasts[n - 1], token):
+                        size, last = n, token
         added = state.counts[size - 1] + 1
-        # A cut that no token can start from any more is blotted out, so that equal futures meet.
-        needed = [recent[-n:] in self.starts for n in range(1, depth + 1)]
-        lasts = (last, *(x if k else -1 for x, k in zip(state.lasts, needed)))
-        counts = (0, *(c - added if k else 0 for c, k in zip(state.counts, needed)))
+        del known[depth:]
+        lasts = (last, *[x if k else -1 for x, k in zip(state.lasts, known)])
+        counts = (0, *[c - added if k else 0 for c, k in zip(state.counts, known)])
         key = (recent[-depth:], lasts, counts)
         target = self.states.get(key)
         if target is None:
@@ -169,27 +173,47 @@ class Transducer:
         return found
 
     def count(self, word: str) -> int:
-        """The sum of the transitions along a word, from its longest start met before."""
-        data = word.encode()
-        if len(self.paths) > STATES_KEPT:
-            self.clear()
-        if len(data) > 64:
-            state, total = self.start, 0
-            for byte in data:
-                state, added = self.step(state, byte)
-                total += added
-            return total
-        known = len(data)
-        while (found := self.paths.get(data[:known])) is None:
-            known -= 1
-        state, total = found
-        for at in range(known, len(data)):
-            state, added = self.step(state, data[at])
+        """The sum of the transitions along a word."""
+        state, total = self.start, 0
+        for byte in word.encode():
+            found = state.next.get(byte)
+            if found is None:
+                if self.crowded():
+                    # Only this state goes on; those behind it can be compiled again.
+                    state.next.clear()
+                    self.clear()
+                found = self.step(state, byte)
+            state, added = found
             total += added
-            self.paths[data[:at + 1]] = state, total
         return total
 
 
+class Open(Exception):
+    """A unit that does not end where white space begins."""
+
+
+class Units(dict):
+    """Token counts of a blank and what follows it up to the next; bounded like ``Counts``.
+
+    A blank behind another letter than white space begins a new word, so such
+    units are counted apart, and most of a text's are met before.
+    """
+
+    def __init__(self, words: Counts, find) -> None:
+        super().__init__()
+        self.words, self.find = words, find
+
+    def __missing__(self, unit: str) -> int:
+        if not unit or unit[-1] in _SPACES:
+            raise Open
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        n = sum(map(self.words.__getitem__, self.find(" " + unit)))
+        if len(unit) < 64:
+            self[unit] = n
+        return n
+
+
 class Counts(dict):
     """Token counts of words met before; bounded, as words can be compiled again."""
 
@@ -221,6 +245,7 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.words = Counts(Transducer(vocabulary))
         self.find = regex.compile(PATTERN).findall
+        self.units = Units(self.words, self.find)
         self.closed = regex.compile(CLOSED)
         self.closed_last = regex.compile("(?r)" + CLOSED)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
@@ -230,8 +255,18 @@ class Counter:
         """Tokens of a text that starts and ends where words do."""
         if self.special.search(text):
             parts = self.special.split(text)
-            return len(parts) - 1 + sum(sum(map(self.words.__getitem__, self.find(p))) for p in parts)
-        return sum(map(self.words.__getitem__, self.find(text)))
+            return len(parts) - 1 + sum(map(self.plain, parts))
+        return self.plain(text)
+
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        first, *units = text.split(" ")
+        try:
+            if not first or first[-1] in _SPACES:
+                raise Open
+            return sum(map(self.words.__getitem__, self.find(first))) + sum(map(self.units.__getitem__, units))
+        except Open:
+            return sum(map(self.words.__getitem__, self.find(text)))
 
     def state_map(self, chunk: str) -> StateMap:
         first = self.closed.search(chunk)

@@ -49,3 +49,23 @@ def test_rows(awkward, nothing, library):
     assert sorted(r.n_tokens for r in got) == sorted(want)
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
     assert token_counts.count_tokens(nothing).count() == 0
+
+
+def test_units_meet_white_space_of_all_kinds(counter, library):
+    rng = random.Random(8)
+    parts = ["a", "the", "the,", "don't", "x\ny", "end.\n", "\n", "", " ", "\t", "\u00a0", "\u3000", "9", "\x1c", "é", "<|endoftext|>"]
+    many = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert counter.totals(many) == library(many)
+
+
+def test_states_stay_bounded(monkeypatch, library):
+    monkeypatch.setattr(token_counts, "STATES_KEPT", 300)
+    monkeypatch.setattr(token_counts, "WORDS_KEPT", 50)
+    small = token_counts.Counter(token_counts.Vocabulary.load(public_tokenizers.path(token_counts.VOCABULARY)))
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([5, 30, 4000]))) for _ in range(60)]
+    for word in words:
+        assert small.totals([word]) == library([word])
+        transducer = small.words.transducer
+        assert max(len(transducer.states), len(transducer.known_fits)) < 300 + 100
+    assert max(len(small.words), len(small.units)) <= 50
