@@ -23,6 +23,7 @@ CAP = 3  # a target, and what is taken of a document, in sizes
 SEED = 17
 STRETCH = 1 << 14  # words of budget left to the dynamic programme
 BIN = 128  # documents of one length among which the border is looked for, about
+SMALL = 1 << 17  # decisions that may be broadcast (a hundred bytes each)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -151,7 +152,10 @@ def decisions(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 def taken_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``docs`` (with ``doc_id, source, size, tie``) and ``source_size, target, taken``."""
+    # A row for each source and length: few whatever the corpus, but that is checked.
+    few = chosen.count() <= SMALL
     chosen = chosen.select(*[F.col(c).alias(f"_m_{c}") for c in chosen.columns])
+    chosen = F.broadcast(chosen) if few else chosen
     key = docs["source"].eqNullSafe(chosen["_m_source"]) & (docs["size"] == chosen["_m_size"])
     draw = _draw(docs["doc_id"])
     first = F.col("_m_more") >= F.col("_m_count")
