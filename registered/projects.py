@@ -155,6 +155,46 @@ def _(spark, sf_dir):
                          F.substring_index("component", "::", -1).alias("component"))
 
 
+# Classes of equal projects: the smallest folder stands for the class, links are counted for every member.
+CLASSES = {
+    "both_ways": "select a, b, similarity from pairs union all select b, a, similarity from pairs",
+    "classes": """select p.folder, least(p.folder, coalesce(min(b) filter (similarity = 1), p.folder)) as class_folder,
+  1 + count(b) filter (similarity = 1) as class_size, count(b) as n_links
+  from proj p left join both_ways on a = p.folder group by p.folder""",
+}
+
+
+def _classes(spark, sf_dir, source):
+    _, found, _, items = _parts(spark, sf_dir, source)
+    return similarity.similar_classes(found, items, 0.9)
+
+
+@query("similar_classes", using("files_ord", "select * from classes", **steps("files_ord", **CLASSES)))
+def _(spark, sf_dir):
+    members = _classes(spark, sf_dir, "files_ord")[0]
+    return members.select(
+        F.substring_index("project_key", "::", -1).alias("folder"),
+        F.substring_index("class_key", "::", -1).alias("class_folder"), "class_size", "n_links")
+
+
+@query("similar_class_pairs", using("files_ord", """
+select a, b, similarity from pairs where similarity < 1
+  and a in (select class_folder from classes) and b in (select class_folder from classes)""",
+    **steps("files_ord", **CLASSES)))
+def _(spark, sf_dir):
+    pairs = _classes(spark, sf_dir, "files_ord")[1]
+    return pairs.select(*[F.substring_index(c, "::", -1).alias(c) for c in ("a", "b")], "similarity")
+
+
+@query("project_groups_shared_items", using("files_ord", "select folder, component from comps", recursive=True,
+                                            **steps("files_ord", **GROUPS)))
+def _(spark, sf_dir):
+    _, found, _, items = _parts(spark, sf_dir, "files_ord")
+    groups = similarity.similar_groups(found, items, 0.9)
+    return groups.select(F.substring_index("project_key", "::", -1).alias("folder"),
+                         F.substring_index("component", "::", -1).alias("component"))
+
+
 _PROJECT_METRIC = {
     "firstScanned": "scan_order", "newest": "file_count + total_bytes desc", "oldest": "file_count + total_bytes",
     "shortestPath": "length(folder), folder", "largest": "total_bytes desc",

@@ -37,6 +37,19 @@ select c.c as scan_order, concat('C', cast(c.c as string)) as drive_name,
 from lineitem {{copies}}
 where c.c = 0 or (c.c = 1 and (l_orderkey + l_partkey) % 10 <> 0)
    or (c.c = 2 and l_partkey % 20 <> 0)"""),
+    # Near copies of one folder, a thirty-second as many as there are orders; about half of them equal.
+    "files_ord": ("orders", """
+select cast(floor(o_orderkey / 32) % 3 as int) as scan_order,
+  concat('B', cast(cast(floor(o_orderkey / 32) % 3 as int) as string)) as drive_name,
+  concat('/Volumes/B', cast(cast(floor(o_orderkey / 32) % 3 as int) as string)) as root,
+  concat(case when o_custkey % 40 = 0 then concat('own_', cast(o_orderkey as string))
+         else concat('part_', cast(o_orderkey % 32 as string)) end, '.jpg') as name,
+  concat('/Volumes/B', cast(cast(floor(o_orderkey / 32) % 3 as int) as string), '/work/p',
+         cast(cast(floor(o_orderkey / 32) as bigint) as string), '/img/',
+         case when o_custkey % 40 = 0 then concat('own_', cast(o_orderkey as string))
+         else concat('part_', cast(o_orderkey % 32 as string)) end, '.jpg') as path,
+  cast(o_orderkey % 32 as bigint) as size, {ms:o_orderdate} as mtime, 'jpg' as ext
+from orders"""),
     "files_doc": ("documents", """
 select cast(substring(source, 4) as int) as scan_order, source as drive_name,
   concat('/Volumes/', source) as root, concat(md5(text), '.txt') as name,

@@ -4,7 +4,8 @@ Only projects of the same rule and of the same size bucket are compared.
 
 Comparing all pairs is avoided in four steps, none of which loses a pair:
 
-1. Projects with equal signatures are collapsed to one representative.
+1. Projects with equal signatures are collapsed to one representative, after
+   their items were compared with those of the representative.
 2. Items are ranked from rare to common. Two sets with similarity ``t`` or more
    share an item among the first ``n - ceil(t * n) + 1`` of each (prefix
    filtering: Chaudhuri et al. 2006, Bayardo et al. 2007). Only those items
@@ -13,7 +14,9 @@ Comparing all pairs is avoided in four steps, none of which loses a pair:
 3. Candidates must agree in length (``t * larger <= smaller``) and in a 256-bit
    parity sketch: every item in which two sets differ flips one bit, so the
    number of different bits is a lower bound of their difference.
-4. What is left is counted exactly, item by item.
+4. What is left is counted exactly. Items are stored once as sorted arrays by
+   project, cut into parts by hash, and merged part by part; sides of different
+   size meet because a part of the smaller one covers whole parts of the larger.
 
 An index item shared by many projects does not become all pairs. Its members
 are compared with one pivot; members that end up in one component need no
@@ -37,6 +40,7 @@ from stowage.session import materialize
 SKETCH = ["s0", "s1", "s2", "s3"]
 PAIR_GROUP = 24      # members of an index item that are compared directly
 TILE = 2_000         # members per tile of a large index item
+PART = 4_096         # items of one array, about
 RANKED_ITEMS = 1_000_000  # items of one project that are ranked in one task, at most
 PIVOT_ROUNDS = 4
 SLACK = 1e-9         # widens the filters against rounding; the exact test decides
@@ -69,14 +73,34 @@ def signatures(projects: DataFrame, items: DataFrame, blocking: bool = True) ->
     return keyed.join(facts, "project_key", "left").fillna(filled)
 
 
-def collapse_equal(sigs: DataFrame) -> DataFrame:
+def _parts(n: Column) -> Column:
+    """Arrays that the ``n`` items of a project are cut into: a power of two."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / F.lit(PART), F.lit(1))))).cast("long")
+
+
+def item_store(sigs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(project_key, part, items)``: the distinct items of every project as sorted arrays of bounded size."""
+    sized = items.join(sigs.select("project_key", "n"), "project_key")
+    # The part takes its hash with a seed of its own, unlike the shuffle's and the sketch's.
+    part = F.pmod(F.xxhash64(F.lit("part"), "item"), _parts(F.col("n")))
+    return sized.groupBy("project_key", part.alias("part")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def collapse_equal(sigs: DataFrame, store: DataFrame) -> DataFrame:
     """Adds ``twin``: the first project with the same items (itself when there is no other).
 
-    Projects without items are alike to nothing, not even to each other.
+    Size and hashes only propose a twin; the items decide. A project whose
+    items turn out to be others stands for itself. Projects without items are
+    alike to nothing, not even to each other. ``sigs`` and ``store`` must be
+    stored tables.
     """
     full, empty = sigs.filter("n > 0"), sigs.filter("n = 0")
-    marked = with_group(full, ["block", "n", "h1", "h2"], {"twin": F.min("project_key")})
-    return marked.unionByName(empty.withColumn("twin", F.col("project_key")))
+    marked = with_group(full, ["block", "n", "h1", "h2"], {"first": F.min("project_key")})
+    proposed = marked.filter("first <> project_key").select(
+        F.col("first").alias("a"), F.col("project_key").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    equal = verify(proposed, store, 1.0).select(F.col("b").alias("project_key"), F.col("a").alias("_first"))
+    twins = full.join(equal, "project_key", "left").withColumn("twin", F.coalesce("_first", "project_key"))
+    return twins.drop("_first").unionByName(empty.withColumn("twin", F.col("project_key")))
 
 
 def _prefix_index(reps: DataFrame, items: DataFrame, t: float) -> DataFrame:
@@ -147,18 +171,31 @@ def _tiled_pairs(index: DataFrame, t: float) -> DataFrame:
     return _pairs_of(joined, t)
 
 
-def verify(pairs: DataFrame, items: DataFrame, t: float) -> DataFrame:
-    """Candidate pairs whose exact similarity reaches ``t``, with that similarity."""
-    mine = items.withColumnRenamed("project_key", "b")
-    reached = mine.join(pairs.select("a", "b"), "b")
-    theirs = items.withColumnRenamed("project_key", "a")
-    # One row of ``theirs`` per key; ``reached`` repeats a key once per partner of a pivot.
-    shared = reached.join(theirs, ["a", "item"])
-    counts = shared.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    scored = pairs.join(counts, ["a", "b"]).withColumn("similarity", jaccard(F.col("shared"), F.col("na"), F.col("nb")))
+def verify(pairs: DataFrame, store: DataFrame, t: float) -> DataFrame:
+    """Candidate pairs ``(a, b, na, nb)`` whose exact similarity reaches ``t``, with that similarity.
+
+    Parts are counted by powers of two of one hash, so part ``p`` of the side
+    with more parts lies inside part ``p`` modulo its number of the other.
+    """
+    pa, pb = _parts(F.col("na")), _parts(F.col("nb"))
+    spread = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(pa, pb) - 1)).alias("p"))
+    spread = spread.select("a", "b", "na", "nb", F.pmod("p", pa).alias("part_a"), F.pmod("p", pb).alias("part_b"))
+    mine = store.select(F.col("project_key").alias("a"), F.col("part").alias("part_a"), F.col("items").alias("items_a"))
+    theirs = store.select(F.col("project_key").alias("b"), F.col("part").alias("part_b"), F.col("items").alias("items_b"))
+    met = spread.join(mine, ["a", "part_a"]).join(theirs, ["b", "part_b"])
+    counts = met.groupBy("a", "b", "na", "nb").agg(
+        F.sum(F.size(F.array_intersect("items_a", "items_b"))).alias("shared"))
+    scored = counts.withColumn("similarity", jaccard(F.col("shared"), F.col("na"), F.col("nb")))
     return scored.filter(F.col("similarity") >= F.lit(t)).select("a", "b", "similarity")
 
 
+def _prepared(projects: DataFrame, items: DataFrame, blocking: bool) -> tuple[DataFrame, DataFrame]:
+    """Signatures with verified twins, and the item store."""
+    plain = materialize(signatures(projects, items, blocking), "sizes")
+    store = materialize(item_store(plain, items), "items")
+    return materialize(collapse_equal(plain, store), "signatures"), store
+
+
 def similar_groups(
     projects: DataFrame, items: DataFrame, threshold: float = 0.9, blocking: bool = True,
 ) -> DataFrame:
@@ -167,15 +204,15 @@ def similar_groups(
     ``items`` must be a stored table.
     """
     t = threshold or 0.9
-    sigs = materialize(collapse_equal(signatures(projects, items, blocking)), "signatures")
+    sigs, store = _prepared(projects, items, blocking)
     reps = sigs.filter("project_key = twin and n > 0")
     index = materialize(
         with_group(_prefix_index(reps, items, t), ["token"], {"members": F.count("*")})
         .filter("members > 1"), "index")
-    found = materialize(verify(_direct_pairs(index, t), items, t).select("a", "b"), "pairs")
+    found = materialize(verify(_direct_pairs(index, t), store, t).select("a", "b"), "pairs")
     crowded = index.filter(F.col("members") > PAIR_GROUP)
     if crowded.limit(1).count():
-        found = _crowded_edges(crowded, found, items, t)
+        found = _crowded_edges(crowded, found, store, t)
     twins = sigs.filter("project_key <> twin").select(F.col("twin").alias("a"), F.col("project_key").alias("b"))
     edges = found.unionByName(twins)
     nodes = sigs.select(F.col("project_key").alias("node"))
@@ -192,7 +229,7 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _crowded_edges(
-    crowded: DataFrame, found: DataFrame, items: DataFrame, t: float,
+    crowded: DataFrame, found: DataFrame, store: DataFrame, t: float,
 ) -> DataFrame:
     """Similar pairs inside index items with many members, as far as grouping needs them."""
     edges = found
@@ -203,7 +240,7 @@ def _crowded_edges(
             rows.select("token", "project_key", "n", *SKETCH, "members"), ["token"],
             [F.col("project_key")], {"pivot": side}), "pivots")
         stars = marked.filter("not is_winner").select(F.col("pivot").alias("a"), side.alias("b"))
-        good = verify(_pairs_of(stars, t), items, t).select("a", "b")
+        good = verify(_pairs_of(stars, t), store, t).select("a", "b")
         edges = materialize(edges.unionByName(good), "pairs")
         # A pivot has met every member of its item; it needs no further look there.
         rest = marked.filter("not is_winner").drop("is_winner", "pivot")
@@ -211,20 +248,53 @@ def _crowded_edges(
         if rows.limit(1).count() == 0:
             return edges
     sized = with_group(rows.drop("members"), ["token"], {"members": F.count("*")})
-    last = verify(_tiled_pairs(sized, t), items, t).select("a", "b")
+    last = verify(_tiled_pairs(sized, t), store, t).select("a", "b")
     return edges.unionByName(last)
 
 
+def similar_classes(
+    projects: DataFrame, items: DataFrame, threshold: float = 0.9, blocking: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between projects, with equal projects named once.
+
+    Two tables. Members, one row per project: ``project_key, class_key`` (the
+    first project with the same items), ``class_size`` and ``n_links``, the
+    number of other projects similar to it. Pairs ``a, b, similarity`` between
+    the ``class_key`` of different classes. Two projects are similar if they
+    have one class or their classes are a pair; a project without items is in
+    a class of its own without links. ``items`` must be a stored table.
+    """
+    t = threshold or 0.9
+    sigs, store = _prepared(projects, items, blocking)
+    reps = sigs.filter("project_key = twin and n > 0")
+    index = with_group(_prefix_index(reps, items, t), ["token"], {"members": F.count("*")})
+    rows = materialize(index.filter("members > 1").withColumn("comp", F.col("project_key")), "index")
+    pairs = materialize(verify(_tiled_pairs(rows, t), store, t), "class_pairs")
+    sizes = materialize(sigs.groupBy(F.col("twin").alias("class_key")).agg(F.count("*").alias("class_size")), "classes")
+    both = pairs.select(F.col("a").alias("class_key"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("class_key"), F.col("a").alias("other")))
+    others = both.join(sizes.select(F.col("class_key").alias("other"), "class_size"), "other").groupBy("class_key").agg(
+        F.sum("class_size").alias("_outside"))
+    facts = sizes.join(others, "class_key", "left").withColumn(
+        "n_links", F.col("class_size") - 1 + F.coalesce("_outside", F.lit(0)))
+    members = sigs.select("project_key", F.col("twin").alias("class_key")).join(facts, "class_key")
+    return members.select("project_key", "class_key", "class_size", "n_links"), pairs
+
+
 def similar_pairs(
     projects: DataFrame, items: DataFrame, threshold: float = 0.9, blocking: bool = True,
 ) -> DataFrame:
     """All similar pairs ``(a, b, similarity)``, equal projects included.
 
-    The result itself is quadratic in the size of a group of copies; use
+    This writes out the classes of ``similar_classes``, so the result itself is
+    quadratic in the size of a group of copies; use that function, or
     ``similar_groups`` where only the groups matter.
     """
-    t = threshold or 0.9
-    sigs = materialize(signatures(projects, items, blocking), "signatures").filter("n > 0")
-    index = with_group(_prefix_index(sigs, items, t), ["token"], {"members": F.count("*")})
-    rows = materialize(index.filter("members > 1").withColumn("comp", F.col("project_key")), "index")
-    return verify(_tiled_pairs(rows, t), items, t)
+    members, pairs = similar_classes(projects, items, threshold, blocking)
+    members = materialize(members.select("project_key", "class_key"), "members")
+    mine = members.select(F.col("class_key").alias("ca"), F.col("project_key").alias("x"))
+    theirs = members.select(F.col("class_key").alias("cb"), F.col("project_key").alias("y"))
+    equal = mine.join(theirs, F.col("ca") == F.col("cb")).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    across = pairs.join(mine, F.col("a") == F.col("ca")).join(theirs, F.col("b") == F.col("cb"))
+    return equal.unionByName(across.select("x", "y", "similarity")).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

@@ -83,6 +83,52 @@ def test_crowded_items_go_through_pivots(spark, monkeypatch):
         assert {r.project_key: r.component for r in got.collect()} == brute(projects, threshold)[1]
 
 
+@pytest.mark.parametrize("seed,threshold", [(4, 0.9), (5, 0.7)])
+def test_items_in_several_parts(spark, monkeypatch, seed, threshold):
+    monkeypatch.setattr(similarity, "PART", 3)
+    projects = sample(seed)
+    want_pairs, want_groups = brute(projects, threshold)
+    frame, items = tables(spark, projects)
+    assert {(r.a, r.b) for r in similarity.similar_pairs(frame, items, threshold).collect()} == want_pairs
+    assert {r.project_key: r.component for r in similarity.similar_groups(frame, items, threshold).collect()} == want_groups
+
+
+def test_classes_count_all_links_and_pair_only_representatives(spark):
+    projects = sample(7) | {f"z{i}": ("a", 16, {f"e{j}" for j in range(16)}) for i in range(40)}
+    projects |= {f"y{i}": ("a", 16, {f"e{j}" for j in range(16)} - {"e3"} | {"own"}) for i in range(3)}
+    links = {k: 0 for k in projects}
+    want, _ = brute(projects, 0.85)
+    for pair in want:
+        for k in pair:
+            links[k] += 1
+    first = {}
+    for k, (rule, n, own) in sorted(projects.items()):
+        first.setdefault((rule, round(math.log2(max(1, n)) + 1e-12), frozenset(own)) if own else k, k)
+    rep = {k: first[(r, round(math.log2(max(1, n)) + 1e-12), frozenset(s)) if s else k] for k, (r, n, s) in projects.items()}
+    members, pairs = similarity.similar_classes(*tables(spark, projects), 0.85)
+    got = {r.project_key: (r.class_key, r.n_links) for r in members.collect()}
+    assert got == {k: (rep[k], links[k]) for k in projects}
+    assert {(r.a, r.b) for r in pairs.collect()} == {p for p in want if all(rep[k] == k for k in p)}
+
+
+def test_hundred_thousand_equal_projects_give_as_many_rows(spark):
+    many = spark.range(100_000).select(
+        F.format_string("p%06d", "id").alias("project_key"), F.lit("r").alias("rule_id"), F.lit(3).cast("long").alias("file_count"))
+    items = materialize(many.select("project_key", F.explode(F.array(*[F.lit(f"i{i}") for i in range(3)])).alias("item")))
+    members, pairs = similarity.similar_classes(materialize(many), items)
+    row = members.agg(F.count("*").alias("n"), F.countDistinct("class_key").alias("classes"), F.min("n_links").alias("links")).first()
+    assert (row.n, row.classes, row.links, pairs.count()) == (100_000, 1, 99_999, 0)
+
+
+def test_twins_are_decided_by_their_items(spark):
+    # Two projects that agree in size and hashes but not in items, as a collision would leave them.
+    rows = [("a", 2, 5, 5), ("b", 2, 5, 5), ("c", 2, 5, 5)]
+    sigs = materialize(spark.createDataFrame(rows, "project_key string, n long, h1 long, h2 long").withColumn("block", F.lit(0)))
+    items = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"), ("c", "y"), ("c", "x")], "project_key string, item string")
+    twins = similarity.collapse_equal(sigs, materialize(similarity.item_store(sigs, items)))
+    assert {r.project_key: r.twin for r in twins.collect()} == {"a": "a", "b": "b", "c": "a"}
+
+
 def test_zero_threshold_means_default_and_bucket_edges_block(spark):
     eleven = {f"i{n}" for n in range(11)}
     projects = {"a": ("r", 11, eleven), "b": ("r", 12, eleven | {"x"})}
