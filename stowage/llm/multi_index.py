@@ -22,9 +22,9 @@ from stowage.llm.tables import drawn
 from stowage.session import materialize
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
-CODES = 128  # centroids of a half, at most
-SHARE = 0.35  # of all entries, to visit for a query: vectors without clusters need that for a recall above 0.9
-LEAST = 2_000  # entries to visit at least
+CODES = 512  # centroids of a half, at most; otherwise as many as the square root of the number of entries
+SHARE = 0.4  # of all entries, to visit for a query: vectors without clusters need that for a recall above 0.9
+LEAST = 40  # entries to visit at least for each neighbour asked for: no share of a handful of entries holds the nearest
 BLOCK = 1 << 14  # entries, and queries, that meet in one group at most (about)
 NEIGHBOURS = 10
 EVERY = 100  # rows with an id divisible by this are the queries
@@ -95,12 +95,12 @@ def _stack(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def build(rows: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Codebooks | None, DataFrame]:
-    """Codebooks from a bounded sample, and every row with its ``cell``, stored."""
+    """Codebooks from a bounded sample, and every row with its ``cell``, stored. ``rows`` must be a stored table."""
     fitted = drawn(rows, sample, SEED, "vec_id").select("vector").collect()
     if not fitted:
         return None, rows.withColumn("cell", F.lit(0))
     x = np.array([r.vector for r in fitted])
-    k = max(1, min(codes, len(x) // 4))
+    k = max(1, min(codes, math.isqrt(rows.count()), len(x) // 4))
     cut = max(1, x.shape[1] // 2)
     books = Codebooks((_kmeans(x[:, :cut], k), _kmeans(x[:, cut:], k) if x.shape[1] > cut else np.zeros((1, 0))),
                       np.zeros(0, np.int64))
@@ -115,10 +115,14 @@ def build(rows: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Co
     return books, materialize(rows.mapInArrow(placed, "vec_id long, vector array<double>, cell int"), "cells")
 
 
+_FOUND = ["query_id", "twin", "vec_id", "score"]
+_NONE = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
 def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int) -> pa.Table:
     """The nearest visited entries of each query of a block."""
     if not queries.num_rows or not entries.num_rows:  # a block that only one side has
-        return pa.table([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names=["query_id", "vec_id", "score"])
+        return pa.table(_NONE, names=_FOUND)
 
     def matrix(table):
         column = table["vector"].combine_chunks()
@@ -127,12 +131,19 @@ def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int)
     ids, points = entries["vec_id"].to_numpy(), matrix(entries)
     second = entries["cell"].to_numpy() % width
     asked, vectors, visited = queries["query_id"].to_numpy(), matrix(queries), queries["seconds"].to_pylist()
+    twins = queries["twin"].to_numpy()
     size = (points ** 2).sum(axis=1)
+    by_id = np.argsort(ids, kind="stable")
+    sorted_ids = ids[by_id]
     out = []
     for i, query in enumerate(vectors):
         open_cells = np.zeros(width, bool)
         open_cells[visited[i]] = True
-        near = np.flatnonzero(open_cells[second] & (ids != asked[i]))
+        open_entries = open_cells[second]
+        # The query's own row is one with its id and its vector; other rows of that id are candidates.
+        same = by_id[np.searchsorted(sorted_ids, asked[i]):np.searchsorted(sorted_ids, asked[i], "right")]
+        open_entries[same[(points[same] == query).all(axis=1)][:1]] = False
+        near = np.flatnonzero(open_entries)
         if not len(near):
             continue
         # The expanded square picks who can be among the nearest; the measure itself decides.
@@ -142,9 +153,9 @@ def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int)
             near = near[rough <= border + 1e-9 * (abs(border) + size.max() + query @ query)]
         exact = np.sqrt(((points[near] - query) ** 2).sum(axis=1))
         order = np.lexsort((ids[near], exact))[:neighbours]
-        out.append((np.full(len(order), asked[i]), ids[near][order], exact[order]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table(columns, names=["query_id", "vec_id", "score"])
+        out.append((np.full(len(order), asked[i]), np.full(len(order), twins[i]), ids[near][order], exact[order]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else _NONE
+    return pa.table(columns, names=_FOUND)
 
 
 def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS, share: float = SHARE,
@@ -156,13 +167,19 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
     Ranks run from 1, ties go to the smaller id; a query with fewer candidates
     gets them all. Rows without an id, and vectors that are null, empty, zero or
     hold a null or a component that is not finite take no part, nor do vectors
-    of another length than the commonest. Of rows that repeat an id one stands
-    for all. Of equal vectors no more than can be reported (the smallest ids)
-    are compared. Other columns are ignored; an empty table gives an empty result.
+    of another length than the commonest. Of equal vectors no more than can be
+    reported (the smallest ids) are compared. Rows that share an id are
+    candidates each, and queries by their vector: rows alike in both are one
+    query, which finds the others; rows that differ in the vector are ranked
+    apart under the one id. Other columns are ignored; an empty table gives an
+    empty result.
+
+    Each query visits ``share`` of the entries but at least ``LEAST`` for each
+    neighbour, so the result is exact where there are no more entries than that.
     """
     rows = usable(vectors)
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size("vector") == (lengths.n if lengths else 0)).dropDuplicates(["vec_id"])
+    rows = rows.filter(F.size("vector") == (lengths.n if lengths else 0))
     books, index = build(materialize(rows, "vectors"), sample, codes)
     if books is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -177,11 +194,13 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
     for r in entry.groupBy("cell").count().collect():  # at most ``codes`` squared
         books.counts[r.cell] = r["count"]
     total = int(books.counts.sum())
-    enough = max(LEAST, math.ceil(share * total), neighbours + 1)
+    enough = max(LEAST * neighbours, math.ceil(share * total))
     # Blocks of bounded size: a first centroid's entries, and the queries that visit it, in so many parts each.
     by_first = books.counts.reshape(-1, width).sum(axis=1)
     entry_parts = [int(-(-n // block)) or 1 for n in by_first]
-    query_parts = -(-index.filter(F.col("vec_id") % every == 0).count() // block) or 1
+    queries = materialize(index.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct()
+                          .withColumn("twin", F.xxhash64("vector")), "queries")
+    query_parts = -(-queries.count() // block) or 1
 
     def probes(batches):
         for batch in batches:
@@ -198,11 +217,12 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
                 at = pa.array(np.zeros(len(keys), np.int64))
                 yield pa.record_batch(
                     [*(pa.array(k, pa.int32()) for k in zip(*keys)), one.column("vec_id").take(at),
-                     one.column("vector").take(at), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["code", "entry_part", "query_part", "query_id", "vector", "seconds"])
+                     one.column("vector").take(at), one.column("twin").take(at), pa.array(lists, pa.list_(pa.int32()))],
+                    names=["code", "entry_part", "query_part", "query_id", "vector", "twin", "seconds"])
 
-    asked = index.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(
-        probes, "code int, entry_part int, query_part int, query_id long, vector array<double>, seconds array<int>")
+    asked = queries.mapInArrow(
+        probes, "code int, entry_part int, query_part int, query_id long, vector array<double>, twin long, "
+                "seconds array<int>")
     code = F.floor(F.col("cell") / width).cast("int")
     parts = F.element_at(F.array(*[F.lit(n) for n in entry_parts]), code + 1)
     kept = entry.select(
@@ -211,8 +231,8 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
 
     keys = ["code", "entry_part", "query_part"]
     near = asked.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInArrow(
-        lambda q, e: _nearest(q, e, width, neighbours), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        lambda q, e: _nearest(q, e, width, neighbours), "query_id long, twin long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "twin").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select(
         "query_id", "rank", "vec_id", "score")
 

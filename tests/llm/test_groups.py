@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from stowage.llm import decontamination, graph, multi_index, sharding, simhash_dedup
@@ -156,6 +157,29 @@ def test_neighbours(make):
     assert multi_index.search(make([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 12_000])
+def test_recall_against_brute_force(make, n):
+    points = np.random.default_rng(5).normal(size=(n, 32))
+    table = make([(i, p) for i, p in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in multi_index.search(table).collect()}
+    hits = 0
+    for q in range(0, n, 100):
+        d = ((points - points[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += sum((q, int(i)) in found for i in np.argsort(d, kind="stable")[:10])
+    assert len(found) == n // 100 * 10 and hits >= 0.9 * len(found)
+
+
+def test_rows_that_share_an_id_are_candidates_and_queries_each(make):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [5.2, 1.0])] * 3 + [(100, [20.4, 1.0])]
+    got = {}
+    for r in multi_index.search(make(rows, "vec_id long, embedding array<double>"), neighbours=4).collect():
+        got.setdefault(r["rank"], []).append((r.query_id, r.vec_id, round(r.score, 6)))
+    assert sorted(got[1]) == [(100, 20, 0.4), (100, 100, 0.0)]  # the lone row's and that of the three equal ones
+    assert sorted(got[3]) == [(100, 5, 0.2), (100, 19, 1.4)]
+    assert sorted(got) == [1, 2, 3, 4] and all(len(v) == 2 for v in got.values())
+
+
 def test_shards(make, awkward, nothing):
     keys = np.arange(20_000)
     for n in range(1, 12):
