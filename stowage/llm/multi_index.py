@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.tables import drawn
+from stowage.llm.tables import drawn, partitions
 from stowage.session import materialize
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
@@ -209,18 +209,21 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
                 first, second = books.distances(_stack(one))
                 seen = np.array(books.visit(first[0], second[0], enough), np.int64)
                 part = hash(int(one.column("vec_id")[0].as_py())) % query_parts
+                seen.sort()
                 keys, lists = [], []
-                for code in np.unique(seen // width):
+                codes_seen, starts = np.unique(seen // width, return_index=True)
+                for code, seconds in zip(codes_seen, np.split(seen % width, starts[1:])):
                     for p in range(entry_parts[code]):
                         keys.append((int(code), p, part))
-                        lists.append(seen[seen // width == code] % width)
+                        lists.append(seconds)
                 at = pa.array(np.zeros(len(keys), np.int64))
                 yield pa.record_batch(
                     [*(pa.array(k, pa.int32()) for k in zip(*keys)), one.column("vec_id").take(at),
                      one.column("vector").take(at), one.column("twin").take(at), pa.array(lists, pa.list_(pa.int32()))],
                     names=["code", "entry_part", "query_part", "query_id", "vector", "twin", "seconds"])
 
-    asked = queries.mapInArrow(
+    # Few rows with much work each: read as one split they would be one task.
+    asked = queries.repartition(partitions(rows.sparkSession), "vec_id").mapInArrow(
         probes, "code int, entry_part int, query_part int, query_id long, vector array<double>, twin long, "
                 "seconds array<int>")
     code = F.floor(F.col("cell") / width).cast("int")
