@@ -42,12 +42,14 @@ def _columns(*parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _first_of_class(key: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """Order by class and place; marks of the first row of each (key, body)."""
+    """Order by class and place; marks of the first row of each (key, body). A place given twice is taken once."""
     order = np.lexsort((start, doc, body, key))
-    k, b = key[order], body[order]
+    k, b, d, s = key[order], body[order], doc[order], start[order]
     head = np.ones(len(order), bool)
     head[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-    return order, head
+    fresh = head.copy()
+    fresh[1:] |= (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+    return order[fresh], head[fresh]
 
 
 def _block_batches(batches, by_word: bool, k: int, width: int) -> Iterator[list[np.ndarray]]:

@@ -3,12 +3,14 @@
 All suffixes that start with the same anchor form one interval of the suffix
 array of the whole corpus, so the array can be built interval by interval:
 documents are cut into content-defined blocks and dealt by anchor (see
-``firsts``). Whole repeated blocks are settled there. The first block of each
-body, where an anchor has several, brings its bytes; a task sorts the suffixes
-of its blocks (prefix doubling), and scans the common-prefix intervals. An
-interval of depth ``width`` is a group of equal strings with all its
-occurrences; it is reported if its left neighbours differ (else the interval
-one byte to the left holds the same occurrences and covers it).
+``firsts``). Equal whole blocks stand at the same places of
+that order and are settled there by hash. The first block of each body, where
+an anchor has several, brings its bytes; a task sorts the suffixes of its
+blocks by prefix doubling, takes the common prefixes of neighbours from the
+ranks, and scans them with a stack for the intervals of the common-prefix tree.
+An interval of depth ``width`` or more whose occurrences differ in the byte to
+their left is a maximal repeat (otherwise the interval one byte to the left
+holds the same occurrences and covers it); all its occurrences but the first go.
 """
 
 from __future__ import annotations
@@ -31,67 +33,115 @@ _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 _REGIONS = "bucket int, kind int, doc long, start int, region binary, anchor long, payload binary"
 
 
-def suffix_order(data: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes at ``places`` in the order of their first ``width`` bytes, and the interval each is in.
+def suffix_array(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, windows: np.ndarray):
+    """Enhanced suffix array over pieces of text: the first ``windows[i]`` suffixes of each piece ``i``.
 
-    An interval is a maximal run of the suffix array with common prefixes of
-    at least ``width``. ``places + width`` must stay inside ``data``.
+    Piece ``i`` is ``data[begins[i]:begins[i] + lengths[i]]``, and no prefix
+    reaches beyond it. Returns, in suffix order, the piece and the place in
+    it of each suffix, and the common prefix with the suffix before.
     """
-    rank, size = data.astype(np.int64), 1
-    while size * 2 <= width:
-        # Ranks of twice the length; the tail that is too short is never asked for.
-        pair = rank[:-size] * (int(rank.max(initial=0)) + 1) + rank[size:]
-        _, rank = np.unique(pair, return_inverse=True)
-        size *= 2
-    shift = width - size
-    key = rank[places] * (int(rank.max(initial=0)) + 1) + rank[places + shift] if len(places) else places
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    # Common prefixes with the suffix before: at least ``width`` where the keys are equal.
-    opens = np.ones(len(order), bool)
-    opens[1:] = key[1:] != key[:-1]
-    return order, np.cumsum(opens) - 1
-
-
-def repeat_groups(data: np.ndarray, places: np.ndarray, before: np.ndarray, width: int):
-    """Common-prefix intervals with two or more suffixes: interval per place, size, and left diversity.
-
-    ``before`` holds the byte left of each place, -1 where there is none.
+    # Every piece ends in a symbol of its own, so no two suffixes are equal.
+    count = len(begins)
+    heads = np.cumsum(lengths + 1) - lengths - 1
+    piece = np.repeat(np.arange(count), lengths)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    rank = np.empty(len(piece) + count, np.int64)
+    rank[heads[piece] + inside] = data[begins[piece] + inside]
+    rank[heads + lengths] = 256 + np.arange(count)
+    levels, size, deepest = [(1, rank)], 1, int(lengths.max(initial=0)) + 1
+    while size * 3 < deepest:
+        # Ranks of runs several times as long, as many as fit into 62 bits.
+        bits = int(rank.max()).bit_length()
+        times = min(4, 62 // bits)
+        key = rank.copy()
+        for step in range(1, times):
+            key <<= bits
+            key[:-step * size] |= rank[step * size:]
+        _, rank = np.unique(key, return_inverse=True)
+        size *= times
+        levels.append((size, rank.astype(np.int32)))
+    chosen = inside < windows[piece]
+    piece, inside = piece[chosen], inside[chosen]
+    places = heads[piece] + inside
+    last = len(rank) - 1
+    order = np.lexsort([rank[np.minimum(places + step, last)] for step in range(0, deepest, size)][::-1])
+    piece, inside, places = piece[order], inside[order], places[order]
+    common = np.zeros(len(places), np.int64)
+    one, other = places[:-1].copy(), places[1:].copy()
+    for size, rank in reversed(levels):
+        live = np.arange(len(one))
+        while len(live):
+            live = live[rank[one[live]] == rank[other[live]]]
+            one[live] += size
+            other[live] += size
+    common[1:] = one - places[:-1]
+    return piece, inside, common
+
+
+def repeat_groups(common: np.ndarray, before: np.ndarray, first: np.ndarray, width: int):
+    """Maximal repeats of ``width`` and more: a stack scan of the common-prefix interval tree.
+
+    Takes, in suffix order, the common prefix with the suffix before, the
+    byte to the left (-1 where there is none, which differs from any) and
+    the place of each suffix among all in document order. Returns the groups
+    ``(low, high, length)`` whose occurrences have different left neighbours
+    (suffixes ``low`` to ``high``, all of them), and the repeats ``(suffix,
+    length)``: each suffix that is not the first of some such group, once,
+    with the greatest length for which it is not.
     """
-    order, interval = suffix_order(data, places, width)
-    group = np.empty(len(places), np.int64)
-    group[order] = interval
-    size = np.bincount(interval, minlength=1)
-    starts = np.flatnonzero(np.diff(interval, prepend=-1))
-    left = before[order]
-    low, high = (f.reduceat(left, starts) if len(starts) else left for f in (np.minimum, np.maximum))
-    return group, size, (low != high) | (low < 0)
+    groups: list[tuple[int, int, int]] = []
+    repeats: list[tuple[int, int]] = []
+    near = np.flatnonzero(common >= width)
+    if not len(near):
+        return groups, repeats
+    cut = np.flatnonzero(np.diff(near) > 1) + 1
+    for run in np.split(near, cut):
+        at = int(run[0]) - 1
+        depths = common[run].tolist() + [0]
+        lefts, firsts_ = before[at:at + len(depths)].tolist(), first[at:at + len(depths)].tolist()
+        stack: list[list] = []  # depth, low, first suffix as (place, suffix), left byte, suffixes beaten here
+        for i, depth in enumerate(depths):
+            low, best, left = at + i, (firsts_[i], at + i), lefts[i]
+            while stack and stack[-1][0] > depth:
+                top = stack.pop()
+                _absorb(top, best, left)
+                length, low, best, left, beaten = top
+                if left < 0:
+                    groups.append((low, at + i, length))
+                    repeats.extend((suffix, length) for _, suffix in beaten)
+            if stack and stack[-1][0] == depth:
+                _absorb(stack[-1], best, left)
+            elif depth:
+                stack.append([depth, low, best, left, []])
+    return groups, repeats
+
+
+def _absorb(interval: list, best: tuple[int, int], left: int) -> None:
+    """Add a closed interval or a suffix: the smaller first occurrence stays, different left bytes become -1."""
+    if best < interval[2]:
+        best, interval[2] = interval[2], best
+    if best[0] != interval[2][0]:
+        interval[4].append(best)
+    if left != interval[3]:
+        interval[3] = -1
 
 
 def _sort_regions(doc: np.ndarray, start: np.ndarray, regions: list[bytes], width: int):
     """Spans of all repeats but the first occurrence of each group."""
     data = np.frombuffer(b"".join(regions), np.uint8)
     lengths = np.array([len(r) for r in regions], np.int64)
-    base = np.cumsum(lengths) - lengths
-    windows = lengths - width + 1
-    owner = np.repeat(np.arange(len(regions)), windows)
-    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    places = base[owner] + inside
-    before = np.where(inside > 0, data[np.maximum(places - 1, 0)].astype(np.int64), -1)
-    group, size, maximal = repeat_groups(data, places, before, width)
-    at = start[owner].astype(np.int64) + inside
-    order = np.lexsort((at, doc[owner], group))
-    head = np.ones(len(order), bool)
-    head[1:] = group[order][1:] != group[order][:-1]
-    again = np.ones(len(order), bool)
-    again[order[head]] = False
-    # A maximal repeat opens a span; groups that only its left neighbour extends prolong it.
-    follows = np.zeros(len(order), bool)
-    follows[1:] = again[1:] & again[:-1] & (owner[1:] == owner[:-1]) & (
-        ~maximal[group[1:]] & (size[group[1:]] == size[group[:-1]]))
-    opens = np.flatnonzero(again & ~follows)
-    closed = np.flatnonzero(again & ~np.append(follows[1:], False))
-    return doc[owner[opens]], at[opens], closed - opens + 1
+    begins = np.cumsum(lengths) - lengths
+    piece, inside, common = suffix_array(data, begins, lengths, lengths - width + 1)
+    before = np.where(inside > 0, data[np.maximum(begins[piece] + inside - 1, 0)].astype(np.int64), -1)
+    at = start.astype(np.int64)[piece] + inside
+    order = np.lexsort((at, doc[piece]))
+    fresh = np.zeros(len(order), np.int64)
+    fresh[1:] = (np.diff(doc[piece][order]) != 0) | (np.diff(at[order]) != 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(fresh)
+    _, repeats = repeat_groups(common, before, place, width)
+    found = np.array(repeats, np.int64).reshape(-1, 2)
+    return doc[piece[found[:, 0]]], at[found[:, 0]], found[:, 1] - width + 1
 
 
 def _checked(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:

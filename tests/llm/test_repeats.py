@@ -73,13 +73,53 @@ def test_hot_anchors_give_the_same_rows(spark, make, monkeypatch):
     assert got == {d: (n, g) for d, (n, g, _, _) in brute(rows, 12, bytes.split, b" ".join).items()}
 
 
-def test_repeat_groups_are_all_occurrences_and_left_diverse():
-    text = b"xabcdefg-yabcdefg-zabcdef"
-    places = np.arange(len(text) - 5)
-    before = np.array([-1, *text[:len(places) - 1]])
-    group, size, maximal = suffix_dedup.repeat_groups(np.frombuffer(text, np.uint8), places, before, 6)
-    assert size[group[1]] == 3 and maximal[group[1]] and group[1] == group[10] == group[19]
-    assert size[group[2]] == 2 and not maximal[group[2]]
+def maximal_repeats(texts, width):
+    """All strings of ``width`` and more that occur twice and that no byte to either side extends everywhere."""
+    places = {}
+    for t, text in enumerate(texts):
+        for a in range(len(text)):
+            for z in range(a + width, len(text) + 1):
+                places.setdefault(text[a:z], []).append((t, a))
+    out = {}
+    for word, at in places.items():
+        left = {texts[t][a - 1] if a else (t, a) for t, a in at}
+        right = {texts[t][a + len(word)] if a + len(word) < len(texts[t]) else (t, a) for t, a in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            out[word] = sorted(at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeat_groups_are_the_maximal_repeats_with_all_occurrences(seed):
+    rng = random.Random(seed)
+    shared = [bytes(rng.choices(b"ab", k=rng.randint(4, 30))) for _ in range(4)]
+    texts = [b"".join(rng.choice([rng.choice(shared), bytes(rng.choices(b"abc", k=5))]) for _ in range(rng.randint(1, 6)))
+             for _ in range(9)] + [b"a" * 20, b"", b"abc", shared[0], shared[0]]
+    width = 4
+    lengths = np.array([len(t) for t in texts])
+    begins = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    piece, inside, common = suffix_dedup.suffix_array(data, begins, lengths, np.maximum(lengths - width + 1, 0))
+    suffixes = [texts[p][i:] for p, i in zip(piece, inside)]
+    for i in range(1, len(suffixes)):
+        a, b = suffixes[i - 1], suffixes[i]
+        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common[i] == same
+    before = np.where(inside > 0, data[np.maximum(begins[piece] + inside - 1, 0)].astype(np.int64), -1)
+    place = np.empty(len(piece), np.int64)
+    place[np.lexsort((inside, piece))] = np.arange(len(piece))
+    groups, repeats = suffix_dedup.repeat_groups(common, before, place, width)
+    got = {texts[piece[low]][inside[low]:inside[low] + n]:
+           sorted((int(piece[i]), int(inside[i])) for i in range(low, high + 1)) for low, high, n in groups}
+    assert got == maximal_repeats(texts, width)
+    assert len({s for s, _ in repeats}) == len(repeats)
+
+
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_rows_that_repeat_an_id_do_not_remove_each_other(make, module):
+    text = " ".join(f"word{i}" for i in range(80))
+    got = module.remove_repeats(make([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed == 0) for r in got) == [(1, True), (1, True), (2, False)]
 
 
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
