@@ -16,6 +16,7 @@ import xxhash
 
 _U = np.uint64
 _POSITION_BITS = 22
+POSITIONS = _U((1 << _POSITION_BITS) - 1)
 SLICE = 1 << 19  # symbols per numpy pass; well below 2 ** _POSITION_BITS
 _BASE = _U(0x9E3779B97F4A7C15 | 5)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
@@ -97,9 +98,8 @@ def blocks(symbols: np.ndarray, ends: np.ndarray, k: int, width: int) -> tuple[n
     if n <= 0:
         return (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     grams = gram_hash(symbols, k)
-    mask = _U((1 << _POSITION_BITS) - 1)
-    keyed = (grams & ~mask) | np.arange(len(grams), dtype=_U)
-    at = (sliding_min(keyed, width - k + 1) & mask).astype(np.int64)
+    keyed = (grams & ~POSITIONS) | np.arange(len(grams), dtype=_U)
+    at = (sliding_min(keyed, width - k + 1) & POSITIONS).astype(np.int64)
     valid = np.arange(n) + width <= ends[:n]
     label = np.where(valid, at, -1)
     first = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from stowage.llm import firsts, substring_dedup, suffix_dedup
+from stowage.llm import firsts, runs, substring_dedup, suffix_dedup
 
 
 def brute(rows, width, cut, join):
@@ -115,6 +115,53 @@ def test_repeat_groups_are_the_maximal_repeats_with_all_occurrences(seed):
     assert len({s for s, _ in repeats}) == len(repeats)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_factors_are_the_longest_and_the_parse_is_greedy(seed):
+    width, gram = 6, 2
+    rng = random.Random(seed)
+    phrases = [rng.choices(range(12), k=rng.randint(4, 25)) for _ in range(6)]
+    texts = [[w for _ in range(4) for w in [*rng.choice(phrases), rng.randrange(12)]] for _ in range(12)]
+    codes = np.random.default_rng(5).integers(0, 1 << 63, 12, dtype=np.uint64)
+    blocks = []
+    for doc, text in enumerate(texts):
+        symbols = codes[text]
+        for anchor, _, first, n in zip(*runs.blocks(symbols, np.full(len(symbols), len(symbols)), gram, width)):
+            blocks.append((int(anchor), doc, int(first), [int(c) for c in symbols[first:first + n + width - 1]]))
+    blocks.sort(key=lambda b: b[:3])
+    lengths = np.array([len(b[3]) for b in blocks])
+    longest = substring_dedup.longest_factors(
+        np.array([c for b in blocks for c in b[3]], np.uint64), np.cumsum(lengths) - lengths, lengths,
+        np.array([b[0] for b in blocks], np.uint64), np.arange(len(blocks)), width, gram)
+
+    def best(k, at):
+        """By comparison with every start in every earlier block of the anchor."""
+        found = 0
+        for other in (b for b in blocks[:k] if b[0] == blocks[k][0]):
+            for start in range(len(other[3])):
+                same = 0
+                for x, y in zip(blocks[k][3][at:], other[3][start:]):
+                    if x != y:
+                        break
+                    same += 1
+                found = max(found, same)
+        return found if found >= width else 0
+
+    want = [[best(k, at) for at in range(n)] for k, n in enumerate(lengths - width + 1)]
+    assert [row[:len(w)].tolist() for row, w in zip(longest, want)] == want and any(map(any, want))
+    factors, boundary = substring_dedup.greedy_parse(longest, lengths - width + 1, width)
+    parsed, cut = [], []
+    for k, row in enumerate(want):
+        at = 0
+        while at < len(row):
+            if row[at]:
+                parsed.append((k, at, row[at]))
+                end = at + row[at]
+                cut += [(k, i, row[i]) for i in range(max(at, end - width) + 1, min(end, len(row))) if row[i]]
+            at += max(row[at], 1)
+    assert sorted(zip(*(c.tolist() for c in factors))) == parsed
+    assert sorted(zip(*(c.tolist() for c in boundary))) == cut
+
+
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
 def test_rows_that_repeat_an_id_do_not_remove_each_other(make, module):
     text = " ".join(f"word{i}" for i in range(80))
