@@ -6,7 +6,7 @@ from importlib import import_module
 
 from registered.base import QUERIES, SQL
 
-for _part in ("files", "projects", "plans", "checks", "live", "stored", "compare"):
+for _part in ("files", "projects", "plans", "checks", "live", "stored", "compare", "runs"):
     import_module(f"registered.{_part}")
 
 __all__ = ["QUERIES", "SQL"]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.names import base_name, drive_key, rebase_path, sanitize_for_path, volume_of
+from stowage.functions.names import (
+    ancestors, base_name, drive_key, parent, rebase_path, sanitize_for_path, volume_of,
+)
 from stowage.operators.flat_names import resolve_flat_names
 from stowage.operators.reports import bytes_if, bytes_of
 from stowage.operators.skew import join_keys, pick_first
@@ -135,6 +137,29 @@ def destination_error(
     return None
 
 
+def refused_destinations(
+    destinations: DataFrame, protected: list[str] = (), dest_mode: str = "additive", existing: DataFrame | None = None,
+) -> DataFrame:
+    """Adds ``why`` to many destinations (``path``) at once: the reason of ``destination_error``, or null.
+
+    Files of ``existing`` are reduced to their folders before these are
+    repeated per folder above them.
+    """
+    clean = F.rtrim("path", F.lit("/"))
+    why = F.when(F.coalesce("path", F.lit("")) == "", F.lit("no destination")).when(
+        clean == "", F.lit("destination is the root"))
+    for folder in protected:
+        stem = folder.rstrip("/")
+        why = why.when((clean == stem) | F.startswith(clean, F.lit(stem + "/")), F.lit("destination is protected"))
+    if dest_mode != "fresh" or existing is None:
+        return destinations.withColumn("why", why)
+    folders = existing.select(parent("path").alias("_own")).distinct()
+    taken = folders.select(F.explode(ancestors(F.concat("_own", F.lit("/x")), F.lit("/"))).alias("_taken")).distinct()
+    found = destinations.join(taken, clean == F.col("_taken"), "left")
+    return found.withColumn(
+        "why", why.when(F.col("_taken").isNotNull(), F.lit("destination is not empty"))).drop("_taken")
+
+
 def protected_path(path="path", protected: list[str] = ()) -> Column:
     """Why a path must not be trashed, or null: the root, a protected folder, or a whole volume."""
     path = F.col(path) if isinstance(path, str) else path

@@ -77,3 +77,15 @@ def test_edits(spark):
         assert copy.filter("status = 'pending'").count() == want
         assert (head["totalFiles"], head["kind"], head["id"]) == (want, "saved", "plan_x_1000")
     assert edit.plan_clear(lost).count() == 0
+
+
+def test_many_destinations_are_refused_for_the_reasons_of_one(make):
+    there = make([("/Volumes/B/x/y/f",), ("/Volumes/B/top",), (None,), ("/at-root",)], "path string")
+    paths = ["/", "", "/Volumes/B", "/Volumes/B/", "/Volumes/B/x", "/Volumes/B/x/y/", "/Volumes/B/x/y/f", "/Volumes/B/xy",
+             "/Keep", "/Keep/a", "/Keeper"]
+    wanted = make([(p,) for p in paths], "path string")
+    for mode, existing in (("fresh", there), ("additive", there), ("fresh", None)):
+        got = {r.path: r.why for r in preflight.refused_destinations(wanted, ["/Keep/"], mode, existing).collect()}
+        assert got == {p: preflight.destination_error(p, ["/Keep/"], mode, existing) for p in paths}
+    unknown = preflight.refused_destinations(make([(None,)], "path string"), (), "fresh", there.limit(0)).collect()
+    assert [r.why for r in unknown] == ["no destination"]
