@@ -14,19 +14,19 @@ from stowage.operators.skew import join_keys
 from stowage.session import materialize
 
 SCAN = ["scan_order", "drive_name", "root"]
-# A folder-to-project map of up to this many rows (some 50 MB) is sent to every task.
+HAS_PATH = "path is not null and path <> ''"
 
 
 def _located(files: DataFrame) -> DataFrame:
-    """Files with a path, with their own folder and file name.
+    """Files with their own folder (null without a path) and file name.
 
     Every path is clean (single slashes) and lies below its scan's root, as a
     scanner writes it. Folders are kept without a trailing slash, so the root
     of a file system is the empty string until the result is shown.
     """
-    return files.filter("path is not null and path <> ''").select(
+    return files.select(
         *[c for c in files.columns if c not in ("root", "folder", "file_name")],
-        F.rtrim("root", F.lit("/")).alias("root"), parent("path").alias("folder"),
+        F.rtrim("root", F.lit("/")).alias("root"), F.when(F.expr(HAS_PATH), parent("path")).alias("folder"),
         F.substring_index("path", "/", -1).alias("file_name"))
 
 
@@ -66,7 +66,7 @@ def own_folders(files: DataFrame, rules=(), order: str = "ord") -> DataFrame:
             leaves.append(F.max(glob_match("file_name", glob).cast("int")).alias(column))
         elif op == "count":
             leaves.append(F.count_if(glob_match("file_name", glob)).alias(column))
-    return _located(files).groupBy(*SCAN, "folder").agg(
+    return _located(files.filter(HAS_PATH)).groupBy(*SCAN, "folder").agg(
         F.count("*").alias("own_files"), F.sum(F.coalesce("size", F.lit(0))).alias("own_bytes"),
         F.min(order).alias("first_ord"), *leaves,
     )
@@ -155,7 +155,7 @@ def folder_projects(own: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def tag_files(files: DataFrame, holders: DataFrame, how: str = "inner") -> DataFrame:
-    """Files with the project they belong to; ``left`` keeps files without one.
+    """Files with the project they belong to; ``left`` keeps files without one, and without a path.
 
     ``holders`` should be a stored table: its size in bytes then decides
     whether it goes to every task or files shuffle once by folder.
@@ -164,6 +164,13 @@ def tag_files(files: DataFrame, holders: DataFrame, how: str = "inner") -> DataF
                      ["scan_order", "folder"], how)
 
 
+def split_files(files: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files inside projects, tagged, and all others, from one join whose result is stored."""
+    tagged = tag_files(files, holders, "left").withColumn("_inside", F.col("project_key").isNotNull())
+    stored = materialize(tagged, "tagged", "_inside")
+    return stored.filter("_inside").drop("_inside"), stored.filter("not _inside").select(files.columns)
+
+
 def signature_items(tagged: DataFrame, opaque, count_repeats: bool = True) -> DataFrame:
     """``(project_key, item)`` of every project file outside opaque folders.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stowage.functions.names import base_name, dupe_key, file_ext, flat_dst, mirrored_dst, utf16_length
 from stowage.operators.dedup import ORDER, TIE_BREAKS, dedupe_files
 from stowage.operators.projects import (
-    detect_projects, folder_projects, own_folders, signature_items, tag_files,
+    detect_projects, folder_projects, own_folders, signature_items, split_files,
 )
 from stowage.operators.reports import plan_totals, rule_stats
 from stowage.operators.rules import ProjectSettings
@@ -170,9 +170,10 @@ def build_plan(
 ) -> Plan:
     """Plan the copy of all ``files`` to one destination.
 
-    ``files`` is a scan union with a fixed ``ord``. With ``sources`` whose
-    roots do not overlap, loose files are told apart while the files are read;
-    otherwise a path claimed by a project in any scan is excluded by a join.
+    ``files`` is a scan union with a fixed ``ord``. It is read twice: for its
+    folders, and to store the files apart by whether a project holds them.
+    Without ``sources`` whose roots do not overlap, a path that a project of
+    another scan claims is excluded by a join as well.
     """
     settings = options.projects
     chosen = None
@@ -181,17 +182,14 @@ def build_plan(
         own = materialize(own_folders(files, settings.rules, options.order[-1]), "folders")
         projects = materialize(detect_projects(own, settings), "projects")
         holders = materialize(folder_projects(own, projects), "holders")
-        tagged = tag_files(files, holders, "inner")
+        tagged, loose = split_files(files, holders)
         items = materialize(signature_items(tagged, settings.opaque), "items")
         groups = similar_groups(projects, items, settings.effective_threshold, options.blocking)
         chosen = materialize(choose_projects(projects, groups, options.tie_break), "chosen")
         parts.append(project_entries(tagged, chosen, options.layout))
         if sources is None or roots_overlap(sources):
             claimed = tagged.select("path").distinct()
-            loose = files.join(claimed, "path", "left_anti")
-        else:
-            nowhere = files.filter("path is null or path = ''")
-            loose = tag_files(files, holders, "left_anti").select(files.columns).unionByName(nowhere)
+            loose = loose.join(claimed, "path", "left_anti")
     parts.insert(0, file_entries(loose, options.tie_break, options.layout, options.order))
     if errors is not None:
         parts.append(error_entries(errors))

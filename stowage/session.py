@@ -45,13 +45,16 @@ def work_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "part") -> DataFrame:
+def materialize(df: DataFrame, label: str = "part", by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
+    With ``by`` the rows lie in a folder per value of that column, so that a
+    reader of one value does not open the others.
+
     Cuts lineage, keeps column pruning for later readers, and survives the
     loss of executors because the table is not held by them.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stowage/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
