@@ -124,15 +124,17 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> Logistic:
+        mean = np.average(x, axis=0, weights=weight)
+        scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)), 1e-6)
         z = np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -8, 8)])
         w = np.zeros(z.shape[1])
         penalty = np.full(len(w), ridge)
         penalty[0] = 1e-3
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty),
+                                   z.T @ (weight * (p - y)) + penalty * w)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
@@ -169,13 +171,13 @@ class CoTrained:
 
 
 def _fitted(text: tuple, page: tuple, held: tuple) -> CoTrained:
-    """Fit each view on its own rows; calibrate and combine on the held-out ones."""
+    """Fit each view on its own rows, labels and weights; calibrate and combine on the held-out ones."""
     a, b = Logistic.fit(*text), Logistic.fit(*page)
-    x_text, x_page, y = held
-    a_scale = Logistic.fit(a.logit(x_text)[:, None], y)
-    b_scale = Logistic.fit(b.logit(x_page)[:, None], y)
+    x_text, x_page, y, weight = held
+    a_scale = Logistic.fit(a.logit(x_text)[:, None], y, weight)
+    b_scale = Logistic.fit(b.logit(x_page)[:, None], y, weight)
     both = np.column_stack([a_scale.logit(a.logit(x_text)[:, None]), b_scale.logit(b.logit(x_page)[:, None])])
-    return CoTrained(a, b, a_scale, b_scale, Logistic.fit(both, y))
+    return CoTrained(a, b, a_scale, b_scale, Logistic.fit(both, y, weight))
 
 
 _FEATURES = "doc_id long, text_view array<double>, page_view array<double>"
@@ -235,27 +237,30 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     """Co-train both views. None where the labels do not hold both classes often enough (ten each).
 
     Only rows with an id count here. ``labelled`` bounds the labelled rows that
-    come to the driver, half of it for each class; ``exchanged`` bounds the
-    pseudo-labels. Labels of one id are averaged; nulls are no labels.
+    come to the driver, half of it for each class, and these weigh as much as
+    the class has labels, so chances mean the same with few labels and with
+    many; ``exchanged`` bounds the pseudo-labels. Labels of one id are averaged; nulls are no labels.
     """
     views = materialize(features(docs.filter("doc_id is not null")), "views")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = materialize(views.join(marks, "doc_id"), "labelled")
+    many = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # two classes
     rows = [r for y in (0.0, 1.0) for r in drawn(
         known.filter(F.col("y") == y), labelled // 2, SEED, "doc_id").collect()]
     y = np.array([r.y for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
-    # The sample may hold the classes in other shares than the corpus: no matter for the border, which is
-    # judged on held-out rows of the same sample.
+    # The sample may hold the classes in other shares than the labels: its rows weigh as much as those they stand for.
+    weight = np.where(y == 0, many[0.0] / (y == 0).sum(), many[1.0] / (y == 1).sum())
+    weight /= weight.mean()
     text, page = _arrays(rows)
     held = np.zeros(len(rows), bool)
     for value in (0, 1):
         mine = np.flatnonzero(y == value)
         held[mine[:max(3, int(len(mine) * HELD_OUT))]] = True
-    own = (text[~held], y[~held]), (page[~held], y[~held])
-    kept = (text[held], page[held], y[held])
+    own = (text[~held], y[~held], weight[~held]), (page[~held], y[~held], weight[~held])
+    kept = (text[held], page[held], y[held], weight[held])
     model = _fitted(*own, kept)
     pool = materialize(views.join(marks, "doc_id", "left_anti"), "unlabelled")
     limit = float(np.log(SURE / (1 - SURE)))
@@ -273,11 +278,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         # What one view is sure of, the other learns.
         by_page, by_text = given["by_page"], given["by_text"]
         learnt = []
-        for (x, target), new, take in ((own[0], by_page, 0), (own[1], by_text, 1)):
+        for (x, target, weight), new, take in ((own[0], by_page, 0), (own[1], by_text, 1)):
             if new:
                 x = np.concatenate([x, _arrays(new)[take]])
                 target = np.concatenate([target, [r.y for r in new]])
-            learnt.append((x, target))
+                weight = np.concatenate([weight, np.ones(len(new))])
+            learnt.append((x, target, weight))
         model = _fitted(*learnt, kept)
     return model
 

@@ -92,6 +92,17 @@ def test_quality_on_held_out_documents(make, awkward, nothing):
     assert quality.train(docs, make([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")) is None
 
 
+def test_a_sample_of_the_labels_means_the_same_as_all(make):
+    """Labels that nothing explains: every document has the chance of the class, however many labels are fitted on."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["one", "two", "three", "four"], k=30)), "en", "s", 150) for i in range(2000)]
+    labels = [(i, int(rng.random() < 0.8)) for i in range(2000)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = make(labels, "doc_id long, quality int")
+    means = [quality.score(docs, quality.train(docs, marks, labelled=n)).agg(F.avg("score")).first()[0] for n in (10_000, 600)]
+    assert all(abs(m - 0.8) < 0.05 for m in means), means
+
+
 def test_licences(spark, make, awkward, nothing):
     known = licenses.known_licences(spark)
     mit = licenses.KNOWN[0][1]
