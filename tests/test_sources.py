@@ -311,3 +311,13 @@ def test_plan_catalog_shows_stored_plans(spark, folder):
     assert all(r.header.layout == "mirrored" for r in rows if r.file != "c.plan.json")
     (folder / "empty").mkdir()
     assert catalogs.plan_catalog(spark, str(folder / "empty")).count() == 0
+
+
+def test_stored_plan_is_compressed_and_keeps_its_order(spark, folder):
+    paths = spark.range(0, 4000, 1, 3).selectExpr("concat('/Volumes/D0/orders/o', id, '/part.jpg') as src_path", "'D0' as drive_name")
+    entries = edit.manual_entry(paths)
+    plan_store.write_plan(spark, entries, {"id": "p"}, str(folder / "plan"))
+    stored = sum(f.stat().st_size for f in (folder / "plan" / "tables").rglob("part-*"))
+    assert stored * 4 < sum(len(line) for line in entries.toJSON().collect())
+    back = [r.src_path for r in plan_store.read_plan(spark, str(folder / "plan"))[0].orderBy("ord").collect()]
+    assert back == [f"/Volumes/D0/orders/o{i}/part.jpg" for i in range(4000)]
