@@ -154,3 +154,33 @@ def test_components(spark):
     table = spark.createDataFrame([(b, a) for a, b in edges], "a string, b string")
     got = connected_components(table, spark.createDataFrame([(n,) for n in nodes], "node string"))
     assert {r.node: r.component for r in got.collect()} == parent
+
+
+def own_items(spark):
+    """Sixty copies of one folder of 32 files, each with one or two files of its own in places of theirs."""
+    sets = [{f"i{k}" for k in range(32) if k not in lost} | {f"own{n}_{k}" for k in lost}
+            for n, lost in enumerate([{n % 3} for n in range(40)] + [{4, 5 + n % 2} for n in range(20)] + [set(), set()])]
+    return {f"p{n:03d}": ("a", 32, s) for n, s in enumerate(sets)}
+
+
+def test_projects_that_differ_in_items_of_their_own_are_indexed_once(spark):
+    projects, items = tables(spark, own_items(spark))
+    sigs, store = similarity._prepared(projects, items, True)
+    cores, index = similarity._indexed(sigs.filter("project_key = twin and n > 0"), items, store, 0.9)
+    assert cores.select("core").distinct().count() == 6
+    assert index.select("project_key").distinct().count() <= 6
+
+
+@pytest.mark.parametrize("tile", [2, 2_000])
+def test_links_of_projects_with_items_of_their_own(spark, tile, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    sample = own_items(spark)
+    want, groups = brute(sample, 0.9)
+    projects, items = tables(spark, sample)
+    members, pairs = similarity.similar_classes(projects, items, 0.9)
+    twins = {("p060", "p061")}
+    assert {(r.a, r.b) for r in pairs.collect()} == {p for p in want if "p061" not in p}
+    assert pairs.count() == len({p for p in want if "p061" not in p})
+    assert {r.project_key: r.n_links for r in members.collect()} == {k: sum(k in p for p in want) for k in sample}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(projects, items, 0.9).collect()} == want >= twins
+    assert {r.project_key: r.component for r in similarity.similar_groups(projects, items, 0.9).collect()} == groups
