@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.skew import pick_first, running_count
+from stowage.operators.skew import running_count
 
 # A file that moves keeps these.
 MOVE_KEY = ("size", "name", "ext", "mtime")
@@ -13,8 +13,9 @@ _FACTS = ("size", "mtime")
 
 
 def _first_of_path(scan: DataFrame, order: str) -> DataFrame:
-    best = pick_first(scan, ["path"], [F.col(order)], {})
-    return best.filter("is_winner").drop("is_winner")
+    # The rank filter works in map tasks first, and the scan is shuffled once.
+    rank = F.rank().over(Window.partitionBy("path").orderBy(order))
+    return scan.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def _paired(lost: DataFrame, found: DataFrame) -> DataFrame:
