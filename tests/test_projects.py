@@ -138,3 +138,16 @@ def test_settings_override():
     assert stored.effective_threshold == 0.9
     assert stored.override(detect_nested=True, rules=None).rules == BUILTIN_RULES
     assert Rule.from_json({"id": "x", "expr": {"op": "file", "glob": "*"}}).name == "x"
+
+
+def test_names_leave_folders_out_of_detection(spark):
+    paths = [f"/v/{top}/{name}/img/{i}.jpg" for top in "ab" for name in ("p1", "q1") for i in range(3)]
+    rules = (Rule("p", "P", "", all_(name("P*"), count("*.jpg", 2))), Rule("x", "X", "", all_(not_(name("*")), file("*.jpg"))))
+    files = tree(spark, paths, root="/v")
+    own = P.own_folders(files, rules, everywhere=False)
+    assert {r.folder for r in own.collect()} == {"/v/a/p1/img", "/v/b/p1/img"}
+    settings = ProjectSettings(rules=rules)
+    assert sorted(map(tuple, P.detect_projects(own, settings).collect())) == sorted(
+        map(tuple, P.detect_projects(P.own_folders(files, rules), settings).collect()))
+    assert P.own_folders(files, (), everywhere=False).count() == 0 and P.own_folders(files, ()).count() == 4
+    assert P.own_folders(files, (Rule("f", "F", "", file("*.jpg")),), everywhere=False).count() == 4
