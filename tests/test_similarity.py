@@ -184,3 +184,24 @@ def test_links_of_projects_with_items_of_their_own(spark, tile, monkeypatch):
     assert {r.project_key: r.n_links for r in members.collect()} == {k: sum(k in p for p in want) for k in sample}
     assert {(r.a, r.b) for r in similarity.similar_pairs(projects, items, 0.9).collect()} == want >= twins
     assert {r.project_key: r.component for r in similarity.similar_groups(projects, items, 0.9).collect()} == groups
+
+
+def test_an_item_listed_twice_counts_twice(spark):
+    # As signature items come from a scan that lists a path twice.
+    lists = {"a": ["x", "x", "y"], "b": ["y", "x", "x"], "c": ["x", "y"], "d": ["x", "x", "x", "y"]}
+    frame = spark.createDataFrame([(k, "r", 3) for k in lists], "project_key string, rule_id string, file_count long")
+    items = materialize(spark.createDataFrame([(k, i) for k, l in lists.items() for i in l], "project_key string, item string"))
+    pairs = {(r.a, r.b): round(r.similarity, 6) for r in similarity.similar_pairs(frame, items, 0.5).collect()}
+    assert pairs == {("a", "b"): 1.0, ("a", "c"): 0.666667, ("a", "d"): 0.75, ("b", "c"): 0.666667, ("b", "d"): 0.75,
+                     ("c", "d"): 0.5}
+
+
+def test_items_of_one_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CODE_BITS", 3)
+    lists = {"a": [f"i{n}" for n in range(30)], "b": [f"k{n}" for n in range(30)], "c": [f"i{n}" for n in range(28)] + ["u", "v"]}
+    rows = [(k, i) for k, l in lists.items() for i in l]
+    codes = similarity.coded(spark.createDataFrame(rows, "project_key string, item string"))
+    assert dict(codes.dtypes)["item"] == "bigint"
+    assert codes.select("item").distinct().count() == 62
+    held = {k: {r.item for r in codes.filter(F.col("project_key") == k).collect()} for k in lists}
+    assert (len(held["a"] & held["c"]), len(held["a"] & held["b"])) == (28, 0)
