@@ -22,7 +22,9 @@ from stowage.sources import plan_store
 select src_path, min(src_path) over (partition by drive_name) as group_ord,
   row_number() over (partition by drive_name order by src_path) as place from entries""", entries=ENTRIES))
 def _(spark, sf_dir):
-    ordered = preflight.in_run_order(entries_of(spark, sf_dir), "src_path")
+    # Stored, as the drives, the bounds of the ranges and the ranges are each made of it.
+    entries = materialize(entries_of(spark, sf_dir).select("src_path", "volume_uuid", "drive_name"), "entries")
+    ordered = preflight.in_run_order(entries, "src_path")
     return running_count(ordered, "group_ord", ["src_path"], F.lit(True), "place").select(
         "src_path", "group_ord", F.col("place").cast("long").alias("place"))
 

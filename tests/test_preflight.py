@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.plans import edit, preflight
 from stowage.schemas import ENTRY
@@ -89,3 +90,24 @@ def test_many_destinations_are_refused_for_the_reasons_of_one(make):
         assert got == {p: preflight.destination_error(p, ["/Keep/"], mode, existing) for p in paths}
     unknown = preflight.refused_destinations(make([(None,)], "path string"), (), "fresh", there.limit(0)).collect()
     assert [r.why for r in unknown] == ["no destination"]
+
+
+def test_entries_of_one_drive_do_not_meet_in_one_task(spark):
+    entries = spark.createDataFrame([(f"/Volumes/A/f{i}", None, "A", i) for i in range(20)] + [("/Volumes/B/g", None, "B", 7)],
+                                    "src_path string, volume_uuid string, drive_name string, ord long")
+    ordered = preflight.in_run_order(entries)
+    assert {(r.drive_name, r.group_ord) for r in ordered.collect()} == {("A", 0), ("B", 7)}
+    assert "hashpartitioning" not in ordered._jdf.queryExecution().toString()
+
+
+def test_flat_destinations_are_made_from_stored_entries(spark):
+    entries = spark.createDataFrame(
+        [("/Volumes/A/x.txt", "A", "x.txt", "pending", 1), ("/Volumes/A/b/x.txt", "A", "x.txt", "pending", 2),
+         ("/Volumes/A/gone.txt", "A", "gone.txt", "pending", 3)],
+        "src_path string, drive_name string, name string, status string, ord long").withColumn(
+        "volume_uuid", F.lit(None).cast("string"))
+    live = spark.createDataFrame([("/Volumes/A/x.txt",), ("/Volumes/A/b/x.txt",)], "path string")
+    resolved = preflight.resolve_destinations(entries, "/B", "flat", live.limit(0), live=live)
+    assert {(r.src_path, r.dst_path) for r in resolved.collect()} == {
+        ("/Volumes/A/x.txt", "/B/x.txt"), ("/Volumes/A/b/x.txt", "/B/x (2).txt"), ("/Volumes/A/gone.txt", None)}
+    assert "ExistingRDD" not in resolved._jdf.queryExecution().executedPlan().toString()
