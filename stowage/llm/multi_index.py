@@ -4,7 +4,7 @@ Vectors are cut into two halves, each with a codebook of its own; a cell is a
 pair of centroids. A query visits cells in the order of the sum of the two
 squared distances, which a heap yields without looking at all pairs, until the
 cells it has seen hold enough entries. The entries are ranked by their exact
-distance, in blocks of entries that share their first centroid.
+distance, in blocks of entries whose first centroids are in one group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
 CODES = 512  # centroids of a half, at most; otherwise as many as the square root of the number of entries
 SHARE = 0.4  # of all entries, to visit for a query: vectors without clusters need that for a recall above 0.9
 LEAST = 40  # entries to visit at least for each neighbour asked for: no share of a handful of entries holds the nearest
-BLOCK = 1 << 14  # entries, and queries, that meet in one group at most (about)
+BLOCK = 1 << 14  # entries, and queries, that meet in one block at most (about)
+GROUPS = 16  # of first centroids, at most: a block gives each of its queries up to ten neighbours
 NEIGHBOURS = 10
 EVERY = 100  # rows with an id divisible by this are the queries
 SEED = 23
@@ -119,7 +120,7 @@ _FOUND = ["query_id", "twin", "vec_id", "score"]
 _NONE = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
-def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int) -> pa.Table:
+def _nearest(queries: pa.Table, entries: pa.Table, neighbours: int) -> pa.Table:
     """The nearest visited entries of each query of a block."""
     if not queries.num_rows or not entries.num_rows:  # a block that only one side has
         return pa.table(_NONE, names=_FOUND)
@@ -129,17 +130,15 @@ def _nearest(queries: pa.Table, entries: pa.Table, width: int, neighbours: int)
         return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
     ids, points = entries["vec_id"].to_numpy(), matrix(entries)
-    second = entries["cell"].to_numpy() % width
-    asked, vectors, visited = queries["query_id"].to_numpy(), matrix(queries), queries["seconds"].to_pylist()
+    cells, places = np.unique(entries["cell"].to_numpy(), return_inverse=True)
+    asked, vectors, visited = queries["query_id"].to_numpy(), matrix(queries), queries["cells"]
     twins = queries["twin"].to_numpy()
     size = (points ** 2).sum(axis=1)
     by_id = np.argsort(ids, kind="stable")
     sorted_ids = ids[by_id]
     out = []
     for i, query in enumerate(vectors):
-        open_cells = np.zeros(width, bool)
-        open_cells[visited[i]] = True
-        open_entries = open_cells[second]
+        open_entries = np.isin(cells, visited[i].values.to_numpy())[places]
         # The query's own row is one with its id and its vector; other rows of that id are candidates.
         same = by_id[np.searchsorted(sorted_ids, asked[i]):np.searchsorted(sorted_ids, asked[i], "right")]
         open_entries[same[(points[same] == query).all(axis=1)][:1]] = False
@@ -195,9 +194,11 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
         books.counts[r.cell] = r["count"]
     total = int(books.counts.sum())
     enough = max(LEAST * neighbours, math.ceil(share * total))
-    # Blocks of bounded size: a first centroid's entries, and the queries that visit it, in so many parts each.
+    # Blocks of bounded size: the entries of a group of first centroids, and the queries that visit it, in so many parts
+    # each. There are no more groups with more centroids, so what the blocks give grows with the queries alone.
+    groups = min(GROUPS, len(books.halves[0]))
     by_first = books.counts.reshape(-1, width).sum(axis=1)
-    entry_parts = [int(-(-n // block)) or 1 for n in by_first]
+    entry_parts = [int(-(-by_first[g::groups].sum() // block)) or 1 for g in range(groups)]
     queries = materialize(index.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct()
                           .withColumn("twin", F.xxhash64("vector")), "queries")
     query_parts = -(-queries.count() // block) or 1
@@ -209,32 +210,31 @@ def search(vectors: DataFrame, every: int = EVERY, neighbours: int = NEIGHBOURS,
                 first, second = books.distances(_stack(one))
                 seen = np.array(books.visit(first[0], second[0], enough), np.int64)
                 part = hash(int(one.column("vec_id")[0].as_py())) % query_parts
-                seen.sort()
+                at_group = seen // width % groups
                 keys, lists = [], []
-                codes_seen, starts = np.unique(seen // width, return_index=True)
-                for code, seconds in zip(codes_seen, np.split(seen % width, starts[1:])):
-                    for p in range(entry_parts[code]):
-                        keys.append((int(code), p, part))
-                        lists.append(seconds)
+                for group in np.unique(at_group):
+                    for p in range(entry_parts[group]):
+                        keys.append((int(group), p, part))
+                        lists.append(seen[at_group == group])
                 at = pa.array(np.zeros(len(keys), np.int64))
                 yield pa.record_batch(
                     [*(pa.array(k, pa.int32()) for k in zip(*keys)), one.column("vec_id").take(at),
                      one.column("vector").take(at), one.column("twin").take(at), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["code", "entry_part", "query_part", "query_id", "vector", "twin", "seconds"])
+                    names=["code_group", "entry_part", "query_part", "query_id", "vector", "twin", "cells"])
 
     # Few rows with much work each: read as one split they would be one task.
     asked = queries.repartition(partitions(rows.sparkSession), "vec_id").mapInArrow(
-        probes, "code int, entry_part int, query_part int, query_id long, vector array<double>, twin long, "
-                "seconds array<int>")
-    code = F.floor(F.col("cell") / width).cast("int")
-    parts = F.element_at(F.array(*[F.lit(n) for n in entry_parts]), code + 1)
+        probes, "code_group int, entry_part int, query_part int, query_id long, vector array<double>, twin long, "
+                "cells array<int>")
+    group = F.pmod(F.floor(F.col("cell") / width), F.lit(groups)).cast("int")
+    parts = F.element_at(F.array(*[F.lit(n) for n in entry_parts]), group + 1)
     kept = entry.select(
-        code.alias("code"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("entry_part"),
+        group.alias("code_group"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("entry_part"),
         F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("query_part"), "vec_id", "vector", "cell")
 
-    keys = ["code", "entry_part", "query_part"]
+    keys = ["code_group", "entry_part", "query_part"]
     near = asked.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInArrow(
-        lambda q, e: _nearest(q, e, width, neighbours), "query_id long, twin long, vec_id long, score double")
+        lambda q, e: _nearest(q, e, neighbours), "query_id long, twin long, vec_id long, score double")
     best = Window.partitionBy("query_id", "twin").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select(
         "query_id", "rank", "vec_id", "score")

@@ -204,3 +204,13 @@ def test_more_parts_than_entries_change_nothing(make):
     docs = make(rows, "vec_id long, embedding array<double>")
     one, many = ({tuple(r) for r in multi_index.search(docs, every=20, block=b).collect()} for b in (1 << 14, 3))
     assert one == many and len(one) == 200
+
+
+def test_neighbours_do_not_depend_on_the_groups_of_centroids(make, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = make(list(enumerate(rng.normal(size=(900, 8)).tolist())), "vec_id long, embedding array<double>")
+    got = []
+    for groups in (1, 5, 1000):
+        monkeypatch.setattr(multi_index, "GROUPS", groups)
+        got.append({(r.query_id, r["rank"], r.vec_id) for r in multi_index.search(docs, every=30).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300
