@@ -151,3 +151,16 @@ def test_names_leave_folders_out_of_detection(spark):
         map(tuple, P.detect_projects(P.own_folders(files, rules), settings).collect()))
     assert P.own_folders(files, (), everywhere=False).count() == 0 and P.own_folders(files, ()).count() == 4
     assert P.own_folders(files, (Rule("f", "F", "", file("*.jpg")),), everywhere=False).count() == 4
+
+
+def test_names_are_judged_by_whole_folder_names(spark):
+    paths = ["/v/pics/x/1.jpg", "/v/my pics/1.jpg", "/v/a/PICS.old/2.jpg", "/v/b/pics", "/v/c/d/1.jpg", "/v/1.jpg"]
+    files = tree(spark, paths, root="/v")
+
+    def held(expr):
+        return {r.folder for r in P.own_folders(files, (Rule("r", "R", "", expr),), everywhere=False).collect()}
+
+    assert held(name("pics")) == {"/v/pics/x"}
+    assert held(any_(name("pics*"), all_(name("?"), not_(name("[abc]")), not_(name("b"))))) == {"/v/pics/x", "/v/a/PICS.old", "/v/c/d"}
+    assert held(not_(name("b"))) == {"/v/pics/x", "/v/my pics", "/v/a/PICS.old", "/v/c/d"}
+    assert held(name("c/d")) == set() and held(not_(name("c/d"))) == {"/v/pics/x", "/v/my pics", "/v/a/PICS.old", "/v/b", "/v/c/d"}

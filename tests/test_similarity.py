@@ -205,3 +205,16 @@ def test_items_of_one_hash_stay_apart(spark, monkeypatch):
     assert codes.select("item").distinct().count() == 62
     held = {k: {r.item for r in codes.filter(F.col("project_key") == k).collect()} for k in lists}
     assert (len(held["a"] & held["c"]), len(held["a"] & held["b"])) == (28, 0)
+
+
+def test_items_that_the_same_projects_hold_are_compared_as_one(spark):
+    base = {f"i{n}" for n in range(300)}
+    sets = {"a": base, "b": base - {f"i{n}" for n in range(20)}, "c": base - {f"i{n}" for n in range(20, 35)}, "d": {"x", "y"}}
+    projects = {k: ("r", 256, s) for k, s in sets.items()}
+    frame, items = tables(spark, projects)
+    sigs, store = similarity._prepared(frame, items, True)
+    assert {r.project_key: r.n for r in sigs.collect()} == {k: len(s) for k, s in sets.items()}
+    # 265, 20, 15 and 2 items stand in as many levels as these numbers have bits.
+    assert similarity.stored_items(store).groupBy("project_key").count().collect() and similarity.stored_items(store).count() < 25
+    got = {(r.a, r.b): round(r.similarity, 9) for r in similarity.similar_pairs(frame, items, 0.8).collect()}
+    assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))}
