@@ -83,3 +83,10 @@ def test_parse_size_refuses():
     assert buckets.parse_size("1kb", base=1024) == 1024
     with pytest.raises(ValueError):
         buckets.parse_size("big")
+
+
+def test_mirrored_dst_collapses_mixed_runs_of_separators(spark):
+    rows = [("D 1", "/v/a//./b/.//././c", "/v"), ("a:b", "/v//x/.y/./z", "/v//"), ("..", "/w/./.", "/v"), ("　", "/v", "/v")]
+    frame = spark.createDataFrame(rows, "drive string, path string, root string")
+    got = frame.select(names.mirrored_dst("drive", "path", "root").alias("dst"))
+    assert [r.dst for r in got.collect()] == ["D 1/a/b/c", "a_b/x/.y/z", "../w/.", "unknown/"]

@@ -164,3 +164,13 @@ def test_names_are_judged_by_whole_folder_names(spark):
     assert held(any_(name("pics*"), all_(name("?"), not_(name("[abc]")), not_(name("b"))))) == {"/v/pics/x", "/v/a/PICS.old", "/v/c/d"}
     assert held(not_(name("b"))) == {"/v/pics/x", "/v/my pics", "/v/a/PICS.old", "/v/c/d"}
     assert held(name("c/d")) == set() and held(not_(name("c/d"))) == {"/v/pics/x", "/v/my pics", "/v/a/PICS.old", "/v/b", "/v/c/d"}
+
+
+def test_split_files_stores_no_part_of_a_path_twice(spark):
+    files = tree(spark, ["/v/p/a/1.jpg", "/v/p/a/2.jpg", "/v/q/3.jpg"], root="/v")
+    own = P.own_folders(files, (Rule("p", "P", "", name("p")),))
+    found = P.detect_projects(own, ProjectSettings(rules=(Rule("p", "P", "", name("p")),)))
+    inside, loose = P.split_files(files, P.folder_projects(own, found))
+    assert set(inside.columns) == {*files.columns, "project_key", "project_folder"} and loose.columns == files.columns
+    assert {r.path for r in inside.collect()} == {"/v/p/a/1.jpg", "/v/p/a/2.jpg"} and [r.path for r in loose.collect()] == ["/v/q/3.jpg"]
+    assert all(name.endswith(".zstd.parquet") for name in inside.inputFiles())
