@@ -87,3 +87,32 @@ def test_project_winner_with_hot_component(spark):
     for mode in dedup.TIE_BREAKS:
         kept = build.choose_projects(projects, groups, mode).filter("is_winner").collect()
         assert [r.folder for r in kept] == [{"oldest": "/r/p059"}.get(mode, "/r/p000")]
+
+
+def test_places_of_one_key_fill_several_tasks(spark):
+    # Places of two ranges and more apart, far from zero too; keys may be null.
+    rows = [(k, n * step + 1, n) for k, step in (("a", 9_000), ("b", 1), (None, 1 << 33)) for n in range(40)]
+    df = spark.createDataFrame(rows, "k string, ord long, n long").repartition(5, "n")
+    placed = skew.place_among(df, "k", "ord", "place")
+    assert placed.columns == ["k", "ord", "n", "place"]
+    assert {(r.k, r.n): r.place for r in placed.collect()} == {(k, n): n + 1 for k, _, n in rows}
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tasks = placed.filter("k is null").select(F.spark_partition_id().alias("t")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert tasks > 1
+
+
+def test_the_kept_path_is_shuffled_once(files):
+    marked = dedup.dedupe_files(files, "newest", ("scan_order", "path"))
+    groups = {}
+    for r in files.collect():
+        groups.setdefault((r.size, r.name, r.ext or ""), []).append(r)
+    best = {k: min(rows, key=lambda r: (-r.mtime, r.scan_order, r.path)).path for k, rows in groups.items()}
+    got = {r.path: (r.is_winner, r.winner_path) for r in marked.collect()}
+    assert got == {r.path: (best[r.size, r.name, r.ext or ""] == r.path, best[r.size, r.name, r.ext or ""])
+                   for r in files.collect()}
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS winner_path" in plan and ", winner_path, path" not in plan
