@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.skew import running_count
+from stowage.session import materialize
 
 # A file that moves keeps these.
 MOVE_KEY = ("size", "name", "ext", "mtime")
@@ -13,9 +14,11 @@ _FACTS = ("size", "mtime")
 
 
 def _first_of_path(scan: DataFrame, order: str) -> DataFrame:
-    # The rank filter works in map tasks first, and the scan is shuffled once.
-    rank = F.rank().over(Window.partitionBy("path").orderBy(order))
-    return scan.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    # The rank filter works in map tasks first, and the scan is shuffled once: the join asks for the same partitions, as
+    # null paths are equal in a struct.
+    keyed = scan.select(F.struct("path").alias("at"), *MOVE_KEY, F.col(order).alias("_order"))
+    rank = F.rank().over(Window.partitionBy("at").orderBy("_order"))
+    return keyed.withColumn("_rank", rank).filter("_rank = 1").select("at", *MOVE_KEY)
 
 
 def _paired(lost: DataFrame, found: DataFrame) -> DataFrame:
@@ -42,18 +45,15 @@ def scan_diff(before: DataFrame, after: DataFrame, order: str = "ord", moves: bo
     files as removed and added. If a scan lists a path twice, the first by
     ``order`` counts. Null paths match each other, null sizes and times too.
     """
-    old = _first_of_path(before, order).select("path", *MOVE_KEY).alias("o")
-    new = _first_of_path(after, order).select("path", *MOVE_KEY).alias("n")
-    # Presence is a column of its own, as a path may be null.
-    old, new = old.withColumn("there", F.lit(True)).alias("o"), new.withColumn("there", F.lit(True)).alias("n")
-    both = old.join(new, F.col("o.path").eqNullSafe(F.col("n.path")), "full")
+    old, new = _first_of_path(before, order).alias("o"), _first_of_path(after, order).alias("n")
+    both = old.join(new, F.col("o.at") == F.col("n.at"), "full")
     same: Column = F.lit(True)
     for fact in _FACTS:
         same = same & F.col(f"o.{fact}").eqNullSafe(F.col(f"n.{fact}"))
-    change = (F.when(F.col("o.there").isNull(), "added").when(F.col("n.there").isNull(), "removed")
-              .when(~same, "changed"))
+    # The struct tells presence, as a path may be null.
+    change = F.when(F.col("o.at").isNull(), "added").when(F.col("n.at").isNull(), "removed").when(~same, "changed")
     rows = both.select(
-        change.alias("change"), F.when(F.col("n.there"), F.col("n.path")).otherwise(F.col("o.path")).alias("path"),
+        change.alias("change"), F.coalesce("n.at", "o.at")["path"].alias("path"),
         *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("name", "ext")],
         *[F.col(f"{side}.{fact}").alias(f"{prefix}{fact}") for fact in _FACTS for side, prefix in (("o", "old_"), ("n", ""))])
     rows = rows.filter("change is not null").withColumn("old_path", F.when(F.col("change") == "changed", F.col("path")))
@@ -61,6 +61,8 @@ def scan_diff(before: DataFrame, after: DataFrame, order: str = "ord", moves: bo
     if not moves:
         return rows.withColumn("old_path", F.when(F.col("change") == "removed", F.col("path")).otherwise(
             F.col("old_path"))).select(out)
+    # Stored, as pairs and the result are made of it: only what differs.
+    rows = materialize(rows, "changes")
     lost = rows.filter("change = 'removed'").select("path", "name", "ext", F.col("old_size").alias("size"), F.col("old_mtime").alias("mtime"))
     found = rows.filter("change = 'added'").select("path", *MOVE_KEY)
     pairs = _paired(lost, found)
