@@ -12,8 +12,8 @@ from registered.base import NOW_MS, query, using
 from registered.checks import _trash_sql, trash_parts
 from registered.plans import AFTER, ENTRIES, OUTCOMES, entries_of, outcomes_of
 from stowage.inventory_views import view
-from stowage.plans import edit
-from stowage.session import materialize, work_dir
+from stowage.plans import build, edit
+from stowage.session import work_dir
 from stowage.sources import catalogs, inventory, plan_store, scan_store, versions
 from stowage.streaming import live
 
@@ -164,7 +164,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Outcomes told in two halves, the second before the first was compacted and again after."""
     # Stored, as the plan and each half of its outcomes are made of it.
-    plan, entries = _folder(spark, "plan"), materialize(entries_of(spark, sf_dir), "entries")
+    plan, entries = _folder(spark, "plan"), build.kept(entries_of(spark, sf_dir))
     plan_store.write_plan(spark, entries, {"id": "p"}, plan)
     outcomes = outcomes_of(entries).withColumn("seq", F.lit(0))
     half = F.pmod(F.xxhash64("src_path"), F.lit(2))
