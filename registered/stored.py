@@ -27,14 +27,16 @@ def _folder(spark, label):
 def written_scans(spark, sf_dir):
     """Headers of one NDJSON scan for each drive, in several files by path; a broken line stands behind every record."""
     folder = _folder(spark, "scans")
-    files = view(spark, sf_dir, "files_li").repartitionByRange(16, "drive_name", "path").sortWithinPartitions(
+    # A compressed file is read by one task, so there are more of them where Spark is told to make more tasks.
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = view(spark, sf_dir, "files_li").repartitionByRange(parts, "drive_name", "path").sortWithinPartitions(
         "drive_name", "path")
     record = F.to_json(F.struct("name", "path", "size", "mtime", "ext"))
     lines = files.select("drive_name", F.explode(F.array(record, F.concat(F.lit("{"), record))).alias("value"))
-    lines.write.partitionBy("drive_name").text(f"{folder}/records")
+    lines.write.partitionBy("drive_name").text(f"{folder}/records", compression="gzip")
     unread = files.filter("size = 4").select(
         "drive_name", F.to_json(F.struct("path", F.lit("EACCES").alias("error"))).alias("value"))
-    unread.write.partitionBy("drive_name").text(f"{folder}/errors")
+    unread.write.partitionBy("drive_name").text(f"{folder}/errors", compression="gzip")
     headers = [f"{folder}/{drive}.header.json" for drive in DRIVES]
     for drive, header in zip(DRIVES, headers):
         plan_store.write_header(spark, {
